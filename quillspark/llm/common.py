@@ -45,3 +45,42 @@ def held_out(doc_id: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def map_texts(df: DataFrame, make, fields: str, text: str = "text", drop_text: bool = True) -> DataFrame:
+    """Adds columns computed from whole texts, a few megabytes at a time.
+
+    ``make()`` runs once for each partition, on the executor, and gives a function
+    (bytes, offsets) -> list of arrays, one value for each text.  ``fields``: DDL
+    of the added columns; columns of ``df`` with those names are replaced.  A null text
+    counts as empty.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    from .textnp import pieces
+
+    new = StructType.fromDDL(fields)
+    names = {f.name.lower() for f in new.fields}
+    df = df.select(*(c for c in df.columns if c.lower() not in names or c == text))
+    kept = [f for f in df.schema.fields if not (drop_text and f.name == text)]
+    out = StructType(kept + list(new.fields))
+    types = [f.type for f in to_arrow_schema(new)]
+    keep = [f.name for f in kept]
+
+    def run(batches):
+        f = make()
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text))
+            parts = [[] for _ in types]
+            for _, _, raw, off in pieces(column):
+                for part, value in zip(parts, f(raw, off), strict=True):
+                    part.append(value if isinstance(value, pa.Array) else pa.array(value))
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            columns += [pa.concat_arrays(p).cast(t) for p, t in zip(parts, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=keep + [x.name for x in new.fields])
+
+    return df.mapInArrow(run, out)
