@@ -4,8 +4,10 @@ Two zstandard dictionaries are trained: one on ordinary text, one on toxic
 text.  A window is one word (set between a space and a padding, since the
 compressor looks for no matches in the last bytes of its input).  Its distance
 is how much longer it is when compressed with the ordinary dictionary than
-with the toxic one.  A document's score comes from how many of its windows
-reach each distance threshold, by a logistic calibration.
+with the toxic one.  Distance and toxic length together form a cell, whose
+weight is the log ratio of its shares of the windows of toxic and of ordinary
+calibration documents.  A document's score comes from how many of its windows
+reach each threshold of that weight, by a logistic calibration.
 
 Most windows of a toxic document are ordinary.  The toxic dictionary is
 therefore trained on those windows of toxic documents that occur in
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from . import textnp as T
 from .common import held_out, map_texts, table
 
-LEVEL, PAD, STEPS = 19, b" " * 12, 10
+LEVEL, PAD = 19, b" " * 12
+STEPS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0)
 ORDINARY_BYTES, TOXIC_BYTES, SAMPLES = 256 << 10, 64 << 10, 400_000
 Z_MIN = 4.0
 CACHE = 1_000_000
@@ -76,7 +79,8 @@ class Distance:
             raw = words.raw.tobytes()
             at = first[new]
             w = [b" " + raw[a:b] + PAD for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]
-            values[new] = self.ordinary(w) - self.toxic(w)
+            short = self.toxic(w)
+            values[new] = np.clip(self.ordinary(w) - short + 8, 0, 31) * 64 + np.minimum(short, 63)
             if len(self.keys) > CACHE:
                 self.keys, self.values = u, values
             else:
@@ -91,19 +95,30 @@ def _split(raw: np.ndarray, off: np.ndarray) -> tuple[T.Words, np.ndarray]:
     return words, words.hashes()
 
 
-def features(distance: Distance, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+def features(distance: Distance, weights: np.ndarray, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     words, hashes = _split(raw, off)
     n = len(off) - 1
     if not len(words):
-        return np.zeros((n, STEPS + 2))
-    d, text = distance(words, hashes), T.text_of(words.first)
+        return np.zeros((n, len(STEPS) + 2))
+    w, text = weights[distance(words, hashes)], T.text_of(words.first)
     out = [np.log1p(np.diff(words.first))]
-    out += [np.log1p(np.bincount(text[d >= t], minlength=n)) for t in range(1, STEPS + 1)]
+    out += [np.log1p(np.bincount(text[w >= t], minlength=n)) for t in STEPS]
     most = np.zeros(n)
-    np.maximum.at(most, text, d)
+    np.maximum.at(most, text, w)
     return np.stack([*out, most], axis=1)
 
 
+def _cell_weights(distance: Distance, text, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+    count = np.zeros((2, 32 * 64))
+    for lo, hi, raw, off in T.pieces(text):
+        words, h = _split(raw, off)
+        doc = T.text_of(words.first) + lo
+        cells = distance(words, h)
+        for k in (0, 1):
+            count[k] += np.bincount(cells[use[doc] & (y[doc] == k)], minlength=32 * 64)
+    return np.log((count[1] + 0.5) / (count[1].sum() + 1)) - np.log((count[0] + 0.5) / (count[0].sum() + 1))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
     mean, scale = x.mean(0), x.std(0)
     scale[scale == 0] = 1
@@ -143,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_chars: int
     toxic, ordinary = _samples(text, y, half)
     model |= {"ordinary": _dictionary(ordinary, ORDINARY_BYTES), "toxic": _dictionary(toxic, TOXIC_BYTES)}
     distance = Distance(model["ordinary"], model["toxic"])
-    x = np.concatenate([features(distance, raw, off) for _, _, raw, off in T.pieces(text)])[~half]
+    model["weights"] = _cell_weights(distance, text, y, ~half)
+    x = np.concatenate([features(distance, model["weights"], raw, off) for _, _, raw, off in T.pieces(text)])[~half]
     weight = np.where(y == 1, 1 / share.get(1, 1), 1 / share.get(0, 1))[~half]
     return model | _logistic(x, y[~half], weight)
 
@@ -195,7 +211,7 @@ def score(docs: DataFrame, model: dict, drop_text: bool = False) -> DataFrame:
         distance = Distance(m["ordinary"], m["toxic"])
 
         def run(raw, off):
-            x = (features(distance, raw, off) - m["mean"]) / m["scale"]
+            x = (features(distance, m["weights"], raw, off) - m["mean"]) / m["scale"]
             return [1 / (1 + np.exp(-np.clip(x @ m["b"][:-1] + m["b"][-1], -30, 30)))]
 
         return run
