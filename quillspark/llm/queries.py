@@ -9,6 +9,7 @@ MODULES = {
     "op3_mixing": "mixing",
     "op5_tokens": "token_output",
     "op6_toxicity": "toxicity",
+    "op7_decontaminate": "decontaminate",
     "op10_chat": "chat",
 }
 
