@@ -6,10 +6,13 @@ import importlib
 
 #: Query name -> module.  Each module has ``query(spark, sf_dir)`` and, where SQL can express it, ``ORACLE``.
 MODULES = {
+    "op1_langid": "langid",
     "op3_mixing": "mixing",
     "op5_tokens": "token_output",
     "op6_toxicity": "toxicity",
     "op7_decontaminate": "decontaminate",
+    "op8_html": "html_extract",
+    "op9_topk": "topk",
     "op10_chat": "chat",
 }
 
