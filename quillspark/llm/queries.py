@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_langid": "langid",
     "op3_mixing": "mixing",
+    "op4_substrings": "substring_dedup",
     "op5_tokens": "token_output",
     "op6_toxicity": "toxicity",
     "op7_decontaminate": "decontaminate",

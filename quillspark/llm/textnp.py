@@ -176,3 +176,20 @@ def text_of(first: np.ndarray) -> np.ndarray:
 
 def slices(first: np.ndarray) -> list[slice]:
     return [slice(a, b) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (length[0] of them), start[1], ..."""
+    before = np.cumsum(length) - length
+    return np.repeat(start - before, length) + np.arange(int(length.sum()))
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each ``width`` consecutive values."""
+    if len(x) < width:
+        return x[:0]
+    m, w = x, 1
+    while 2 * w <= width:
+        m = np.minimum(m[:-w], m[w:])
+        w *= 2
+    return np.minimum(m[: len(x) - width + 1], m[width - w :]) if w < width else m
