@@ -7,6 +7,7 @@ import importlib
 #: Query name -> module.  Each module has ``query(spark, sf_dir)`` and, where SQL can express it, ``ORACLE``.
 MODULES = {
     "op1_langid": "langid",
+    "op2_jaccard": "ngram_jaccard",
     "op3_mixing": "mixing",
     "op4_substrings": "substring_dedup",
     "op5_tokens": "token_output",
