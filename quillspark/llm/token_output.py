@@ -27,6 +27,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,8 @@ from .common import scratch_path, shuffle_partitions, table
 MAGIC = b"QTOK1"
 END = 0
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 20_000, 64 << 10
-CACHE = 1_000_000
+#: Distinct pieces that one Python process remembers, and bytes of text that it encodes at once.
+CACHE, PIECE = 1_500_000, 512 << 10
 SEGMENT_TOKENS = 4_000_000
 LEVEL = 3
 
@@ -93,15 +96,15 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.begin, self.length, self.flat = np.zeros(1, np.int64), np.ones(1, np.int64), np.full(1, END, np.uint32)
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.begin, self.length, self.flat = np.zeros(1, np.int32), np.ones(1, np.int32), np.full(1, END, f"<u{self.width}")
 
     def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(length.sum()))
-        slot = np.arange(len(self.begin), len(self.begin) + len(ids))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(length) - length])
+        length = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), self.flat.dtype, int(length.sum()))
+        slot = np.arange(len(self.begin), len(self.begin) + len(ids), dtype=np.int32)
+        self.begin = np.concatenate([self.begin, (len(self.flat) + np.cumsum(length) - length).astype(np.int32)])
         self.length = np.concatenate([self.length, length])
         self.flat = np.concatenate([self.flat, flat])
         keys, slot = np.concatenate([self.keys, keys]), np.concatenate([self.slot, slot])
@@ -130,10 +133,16 @@ class Encoder:
         slots = np.insert(slots, first[1:], 0)  # slot 0 is the end id
         length = self.length[slots]
         total = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[np.repeat(self.begin[slots] - total[:-1], length) + np.arange(total[-1])]
+        ids = self.flat[T.ragged(self.begin[slots].astype(np.int64), length)]
         return ids, total[first + np.arange(n + 1)]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each Python process, so that its tasks share what it remembers."""
+    return Encoder(path)
+
+
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """From at most ``SAMPLE_DOCS`` documents of up to ``SAMPLE_CHARS`` characters, chosen by a hash of the id."""
     n = docs.count()
@@ -198,7 +207,7 @@ def write(docs: DataFrame, where: str, path: str | None = None) -> bytes:
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, digest = Encoder(path), _hash(dictionary)
+        encoder, digest = encoder_of(path), _hash(dictionary)
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
         file, number = TaskContext.get().partitionId(), 0
         keys, nulls, held, size = [], [], [], 0
@@ -214,9 +223,8 @@ def write(docs: DataFrame, where: str, path: str | None = None) -> bytes:
         for batch in batches:
             column = batch.column(0)
             ids_of, null = column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
-            for lo, hi, raw, off in T.pieces(batch.column(1)):
+            for lo, hi, raw, off in T.pieces(batch.column(1), PIECE):
                 ids, at = encoder(raw, off)
-                ids = ids.astype(f"<u{encoder.width}")
                 keys += ids_of[lo:hi].tolist()
                 nulls += null[lo:hi].tolist()
                 held += [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
