@@ -7,18 +7,20 @@ decides ties later.  A missing path gives an empty frame.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SCORES = T.MapType(T.StringType(), T.DoubleType())
-QUESTION = T.StructType.fromDDL("query string, target_op string, domain string, difficulty string")
-RESPONSE = T.StructType.fromDDL("key string, query string, target_op string, domain string, config string, response string, word_count int, model string, provider string")
-JUDGMENT = T.StructType.fromDDL("key string, type string, query string, config_a string, config_b string, winner string, reason string, target_op string, domain string, order array<string>, scores_a map<string,double>, scores_b map<string,double>, comparison string, model string, judge_model string")
-PAIR = T.StructType.fromDDL("query string, preferred string, rejected string, stage int, dominant_dimension string, score_delta double, total_delta double, source string, source_model string, winner_config string, loser_config string")
-SFT_EXAMPLE = T.StructType.fromDDL("key string, messages array<struct<role:string,content:string>>, stage int, stage_name string, quality_dimension string, query string, target_op string, domain string")
+from ..functions.text import words
+from ..operators.relational import union_all
+
+QUESTION = "query string, target_op string, domain string, difficulty string"
+RESPONSE = "key string, query string, target_op string, domain string, config string, response string, word_count int, model string, provider string"
+JUDGMENT = "key string, type string, query string, config_a string, config_b string, winner string, reason string, target_op string, domain string, order array<string>, scores_a map<string,double>, scores_b map<string,double>, comparison string, model string, judge_model string"
+PAIR = "query string, preferred string, rejected string, stage int, dominant_dimension string, score_delta double, total_delta double, source string, source_model string, winner_config string, loser_config string"
+SFT_EXAMPLE = "key string, messages array<struct<role:string,content:string>>, stage int, stage_name string, quality_dimension string, query string, target_op string, domain string"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -32,18 +34,18 @@ def _with_seq(df: DataFrame) -> DataFrame:
     return df.withColumn("seq", F.monotonically_increasing_id())
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """One record a line; blank lines are skipped; a malformed line fails (``strict``) or becomes nulls."""
     if not exists(spark, path):
-        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("seq", T.LongType())]))
+        return spark.createDataFrame([], f"{schema}, seq long")
     return _with_seq(spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path))
 
 
-def json_array(spark: SparkSession, path: str, schema: T.StructType, fallback: DataFrame | None = None) -> DataFrame:
+def json_array(spark: SparkSession, path: str, schema: str, fallback: DataFrame | None = None) -> DataFrame:
     """A file that holds one array of records; a missing file gives the first ten rows of ``fallback``, or none."""
     if exists(spark, path):
         return _with_seq(spark.read.schema(schema).option("multiLine", True).json(path))
-    return fallback.orderBy("seq").limit(10) if fallback is not None else spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("seq", T.LongType())]))
+    return fallback.orderBy("seq").limit(10) if fallback is not None else spark.createDataFrame([], f"{schema}, seq long")
 
 
 def string_array(spark: SparkSession, path: str) -> DataFrame:
@@ -60,10 +62,6 @@ def text_documents(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     frames = [spark.read.text(p, wholetext=True).select(F.lit(i).cast("long").alias("seq"), F.lit(k).alias("doc_type"), F.col("value").alias("content")) for i, (k, p) in enumerate(paths.items()) if exists(spark, p)]
     if not frames:
         return spark.createDataFrame([], "seq long, doc_type string, content string, word_count int")
-    from functools import reduce
-
-    from ..functions.text import words
-
     return reduce(DataFrame.unionByName, frames).withColumn("word_count", words(F.col("content")))
 
 
@@ -91,10 +89,8 @@ def runnable(spark: SparkSession, artifacts: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([(k,) for k, p in artifacts.items() if exists(spark, p)], "config string")
 
 
-def labelled_union(spark: SparkSession, registry: list[dict], schema: T.StructType, kinds: set[str] | None = None) -> DataFrame:
+def labelled_union(spark: SparkSession, registry: list[dict], schema: str, kinds: set[str] | None = None) -> DataFrame:
     """All files of the registry (path, kind, source, source_model) as one frame; only the wanted kinds are opened."""
-    from ..operators.relational import union_all
-
     frames = [json_lines(spark, r["path"], schema).withColumns({"source": F.lit(r["source"]), "source_model": F.lit(r["source_model"]), "kind": F.lit(r["kind"])}) for r in registry if kinds is None or r["kind"] in kinds]
     return union_all(frames) if frames else spark.createDataFrame([], schema)
 
