@@ -82,7 +82,10 @@ class Search:
     def add(self, ids: np.ndarray, values: np.ndarray) -> None:
         dims = max(len(values), len(self.values))
         q, c = (np.pad(x, ((0, dims - len(x)), (0, 0))) for x in (self.values, values))
-        exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dims, 1) < 2**53
+        most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dims, 1)
+        if most >= 2**63:
+            raise OverflowError("scores may not fit a long")
+        exact = most < 2**53
         q, c = (q.astype(np.float64), c.astype(np.float64)) if exact else (q, c)
         rest_q, rest_c = _rests(q), _rests(c)
         for lo in range(0, len(self.ids), 256):
@@ -95,7 +98,8 @@ class Search:
         keep = np.flatnonzero(ids != self.ids[i])
         score = score[keep]
         for b in range(1, len(rest_q)):
-            alive = score + rest_q[b] * rest_c[b][keep] * (1 + 1e-9) + 1e-3 >= self.floor[i]
+            rest, least = rest_q[b] * rest_c[b][keep], self.floor[i]
+            alive = score + rest + 1e-9 * (np.abs(score) + rest) >= least - 1e-9 * abs(least) - 1e-3
             if not alive.all():
                 keep, score = keep[alive], score[alive]
             if not len(keep):
@@ -127,7 +131,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: i
     Ties go to the smaller id; all candidates are returned where there are
     fewer than k.  Vectors of unequal length compare as if filled up with zeros.
     Repeated rows are candidates as often as they come; repeated query ids must not occur
-    (the first is used).  An empty side gives an empty result.
+    (the first is used).  An empty side gives an empty result.  Vectors so large that a
+    score might not fit a long raise an error.
     """
     queries = queries.dropDuplicates(["vec_id"])
     counts = [x.count() for x in (queries, candidates)]
