@@ -6,8 +6,8 @@ languages that (probably) contain the n-gram.  A text is decided by the
 popcounts of its n-grams' masks per language, corrected for the share of false
 positives that the fill of each language's bits implies.
 
-Fitting takes at most ``max_docs`` labelled rows of each language, chosen by a
-hash of the id, with texts up to ``max_chars``.  An n-gram belongs to a
+Fitting takes at most ``max_docs`` labelled rows of each language and about
+``max_total`` of all, chosen by a hash of the id, with texts up to ``max_chars``.  An n-gram belongs to a
 language if it occurs there more than once and at a tenth at least of the
 highest rate that any language has.  Prediction reads whole texts.
 """
@@ -85,13 +85,14 @@ class Model:
         return np.maximum(corrected, 0).T
 
 
-def fit(rows: DataFrame, max_docs: int = 1500, max_chars: int = 200_000) -> Model | None:
+def fit(rows: DataFrame, max_docs: int = 1500, max_total: int = 30_000, max_chars: int = 200_000) -> Model | None:
     """Learns from the rows of ``rows`` (doc_id, text, lang); None if no row has both text and lang."""
     rows = rows.where("text is not null and lang is not null")
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
         return None
     langs = sorted(n)
+    max_docs = max(1, min(max_docs, max_total // len(langs)))
     share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1_000_000, int(1_000_000 * max_docs / n[k]) + 1))))
     chosen = rows.where((F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1_000_000)) < share[F.col("lang")]) & (F.length("text") <= max_chars))
     sample = chosen.select("lang", "text").toArrow()
