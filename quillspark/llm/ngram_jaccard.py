@@ -23,8 +23,10 @@ Groups.  Documents with equal sets are one class and join once.  A key shared
 by up to ``ALL_PAIRS`` classes gives all pairs; a larger one links all to
 one of them, and is kept.  After the components of the checked links are
 known, only kept keys that still hold several components are looked at again:
-pairs across components that pass the filter are checked.  So copies are not
-expanded into all pairs, yet no component misses a link.
+pairs across components that pass the filter are checked, first the nearest
+one of each class, then more, and in the end all that are still across
+components.  So copies are not expanded into all pairs, yet no component
+misses a link.
 
 Keys travel as packed arrays: 6 bytes of hash and 2 of a local index for each.
 """
@@ -43,6 +45,8 @@ from .components import components
 K = 5
 SMALLEST = 4  # smaller sets link only with equal ones
 ALL_PAIRS = 8
+#: Pairs of a class that are checked at a time across components; the last round has no bound.
+NEAREST = (1, 16, None)
 LEAVES = 1000
 IDS_BROADCAST = 500_000
 SET_BYTES = 5
@@ -310,8 +314,8 @@ def check(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return sets.repartition(shuffle_partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _again(members: DataFrame, known: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs across components, among the classes of each kept key, that the bit sketches leave."""
+def _again(members: DataFrame, known: DataFrame, reps: DataFrame, most: int | None) -> DataFrame:
+    """Pairs across components, among the classes of each kept key, that the bit sketches leave; the ``most`` nearest of each class."""
     m = members.join(reps.drop("sketch"), "h1").join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = m.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gid")
     m = m.join(mixed, "gid", "left_semi").select("gid", "rep", "component").join(reps.select("rep", "n", "sketch"), "rep")
@@ -326,7 +330,10 @@ def _again(members: DataFrame, known: DataFrame, reps: DataFrame) -> DataFrame:
         a_out, b_out = [], []
         for i in rest.tolist():
             other = np.flatnonzero((component != component[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i])))
-            near = other[np.bitwise_count(folded[other] ^ folded[i]).sum(1) <= (n[other] + n[i]) // 9]
+            apart = np.bitwise_count(folded[other] ^ folded[i]).sum(1)
+            near, apart = other[apart <= (n[other] + n[i]) // 9], apart[apart <= (n[other] + n[i]) // 9]
+            if most is not None and len(near) > most:
+                near = near[np.argsort(apart, kind="stable")[:most]]
             a_out.append(np.minimum(rep[near], rep[i]))
             b_out.append(np.maximum(rep[near], rep[i]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
@@ -362,9 +369,14 @@ def linked(docs: DataFrame) -> DataFrame:
     links = stored(links.unionByName(shared) if repeated else links, "checked")
     known = components(links)
     members = found.where("gid is not null").select("gid", F.col("a").alias("h1"))
-    more = stored(_again(members, known, reps).join(near, ["a", "b"], "left_anti"), "again")
-    if more.limit(1).count():
-        known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(check(docs, more)))
+    for most in NEAREST:
+        left_over = stored(_again(members, known, reps, most), "again")
+        if not left_over.limit(1).count():
+            break
+        new = stored(left_over.join(near, ["a", "b"], "left_anti"), "untried")
+        if new.limit(1).count():
+            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(check(docs, new)))
+            near = near.unionByName(new)
     of_class = classes.join(known, classes["rep"] == known["node"], "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("_c"))
     out = sig.select("doc_id", "n", "h1", "h2").join(of_class, ["n", "h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id")).alias("component_id"))

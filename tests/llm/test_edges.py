@@ -184,12 +184,12 @@ def test_bands_reach_the_next_only():
     assert all(5 * (b - 1) // 4 < c for b, c in zip(low[1:], low[2:], strict=False))
 
 
-@pytest.mark.parametrize("contract", [True, False])
-def test_components(spark, contract):
+@pytest.mark.parametrize(("contract", "one_task"), [(True, 0), (False, 0), (True, 100)])
+def test_components(spark, contract, one_task):
     links = [(i, i + 1) for i in range(1, 30)] + [(100, 90), (95, 90), (95, 120), (7, 7)]
-    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long"), contract).collect()}
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long"), contract, one_task).collect()}
     assert got == dict.fromkeys(range(1, 31), 1) | dict.fromkeys([90, 95, 100, 120], 90)
-    assert components.components(spark.createDataFrame([], "a long, b long"), contract).count() == 0
+    assert components.components(spark.createDataFrame([], "a long, b long"), contract, one_task).count() == 0
 
 
 # --- 3
