@@ -4,7 +4,7 @@ Two zstandard dictionaries are trained: one on ordinary text, one on toxic
 text.  A window is one word (set between a space and a padding, since the
 compressor looks for no matches in the last bytes of its input).  Its distance
 is how much longer it is when compressed with the ordinary dictionary than
-with the toxic one.  Distance and toxic length together form a cell, whose
+with the toxic one.  Distance, toxic length and the window's own length form a cell, whose
 weight is the log ratio of its shares of the windows of toxic and of ordinary
 calibration documents.  A document's score comes from how many of its windows
 reach each threshold of that weight, by a logistic calibration.
@@ -30,15 +30,18 @@ from .common import held_out, map_texts, table
 
 LEVEL, PAD = 19, b" " * 12
 STEPS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0)
-ORDINARY_BYTES, TOXIC_BYTES, SAMPLES = 256 << 10, 64 << 10, 400_000
+ORDINARY_BYTES, TOXIC_BYTES, SAMPLES = 256 << 10, 64 << 10, 200_000
 Z_MIN = 4.0
 CACHE = 1_000_000
+CELLS = 32 * 64 * 16
+#: Bytes of text handled at once while fitting, on the driver.
+FIT_PIECE = 512 << 10
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary; where there is too little to train on, the samples themselves."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=48, d=8).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:] or PAD
 
@@ -80,7 +83,8 @@ class Distance:
             at = first[new]
             w = [b" " + raw[a:b] + PAD for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]
             short = self.toxic(w)
-            values[new] = np.clip(self.ordinary(w) - short + 8, 0, 31) * 64 + np.minimum(short, 63)
+            size = np.minimum(words.end[at] - words.start[at], 15)
+            values[new] = (np.clip(self.ordinary(w) - short + 8, 0, 31) * 64 + np.minimum(short, 63)) * 16 + size
             if len(self.keys) > CACHE:
                 self.keys, self.values = u, values
             else:
@@ -109,13 +113,13 @@ def features(distance: Distance, weights: np.ndarray, raw: np.ndarray, off: np.n
 
 
 def _cell_weights(distance: Distance, text, y: np.ndarray, use: np.ndarray) -> np.ndarray:
-    count = np.zeros((2, 32 * 64))
-    for lo, hi, raw, off in T.pieces(text):
+    count = np.zeros((2, CELLS))
+    for lo, _, raw, off in T.pieces(text, FIT_PIECE):
         words, h = _split(raw, off)
         doc = T.text_of(words.first) + lo
         cells = distance(words, h)
         for k in (0, 1):
-            count[k] += np.bincount(cells[use[doc] & (y[doc] == k)], minlength=32 * 64)
+            count[k] += np.bincount(cells[use[doc] & (y[doc] == k)], minlength=CELLS)
     return np.log((count[1] + 0.5) / (count[1].sum() + 1)) - np.log((count[0] + 0.5) / (count[0].sum() + 1))
 
 
@@ -134,7 +138,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
     return {"mean": mean, "scale": scale, "b": b}
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_chars: int = 1_000_000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_chars: int = 1_000_000) -> dict:
     """Learns from rows of ``docs`` that ``labels`` marks and that aren't held out.
 
     Without an ordinary or a toxic document in the sample, the model gives every text the share of toxic labels.
@@ -159,33 +163,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_chars: int
     model |= {"ordinary": _dictionary(ordinary, ORDINARY_BYTES), "toxic": _dictionary(toxic, TOXIC_BYTES)}
     distance = Distance(model["ordinary"], model["toxic"])
     model["weights"] = _cell_weights(distance, text, y, ~half)
-    x = np.concatenate([features(distance, model["weights"], raw, off) for _, _, raw, off in T.pieces(text)])[~half]
+    x = np.concatenate([features(distance, model["weights"], raw, off) for _, _, raw, off in T.pieces(text, FIT_PIECE)])[~half]
     weight = np.where(y == 1, 1 / share.get(1, 1), 1 / share.get(0, 1))[~half]
     return model | _logistic(x, y[~half], weight)
 
 
 def _samples(text, y: np.ndarray, half: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Windows for the toxic and for the ordinary dictionary, from the documents of ``half``."""
-    pairs = []
-    for lo, hi, raw, off in T.pieces(text):
+    # Documents that hold each window, all and toxic ones, piece by piece: no document is in two pieces.
+    parts = []
+    for lo, _, raw, off in T.pieces(text, FIT_PIECE):
         words, h = _split(raw, off)
         doc = T.text_of(words.first) + lo
-        use = half[doc]
-        pairs.append(np.unique(np.stack([h[use], doc[use].astype(np.uint64)]), axis=1))
-    pairs = np.concatenate(pairs, axis=1)
-    keys, inverse = np.unique(pairs[0], return_inverse=True)
-    mark = y[pairs[1].astype(np.int64)]
-    k1, k = np.bincount(inverse, weights=mark), np.bincount(inverse)
+        h, doc = h[half[doc]], doc[half[doc]]
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        u, inverse = np.unique(h[new], return_inverse=True)
+        parts.append((u, np.bincount(inverse, weights=y[doc[new]], minlength=len(u)), np.bincount(inverse, minlength=len(u))))
+    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    k1, k = (np.bincount(inverse, weights=np.concatenate([p[i] for p in parts]), minlength=len(keys)) for i in (1, 2))
+    del parts, inverse
     n1, n0 = max(1, (half & (y == 1)).sum()), max(1, (half & (y == 0)).sum())
     p = k / (n1 + n0)
     z = (k1 / n1 - (k - k1) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
     telling = keys[(z >= Z_MIN) & (k1 >= 2)]
     toxic, ordinary = [], []
     total = 0
-    for _, _, raw, off in T.pieces(text):
+    for _, _, raw, off in T.pieces(text, FIT_PIECE):
         total += len(T.Words(raw, off))
     stride = max(1, total // SAMPLES)
-    for lo, _, raw, off in T.pieces(text):
+    for lo, _, raw, off in T.pieces(text, FIT_PIECE):
         words, h = _split(raw, off)
         doc = T.text_of(words.first) + lo
         low = words.raw.tobytes()
