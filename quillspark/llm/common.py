@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +33,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_temporary: ContextVar[list[str] | None] = ContextVar("temporary", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again: the lineage is cut, and a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    if (paths := _temporary.get()) is not None:
+        paths.append(path)
+    return out
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch tables that nothing reads any more."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables that are ``stored`` inside are deleted at the end, but for those given to the function that this yields."""
+    paths: list[str] = []
+    token = _temporary.set(paths)
+
+    def keep(*frames: DataFrame) -> None:
+        for df in frames:
+            paths.remove(df._stored_at)
+
+    try:
+        yield keep
+    finally:
+        _temporary.reset(token)
+        discard(spark, *paths)
 
 
 def held_out(doc_id: Column) -> Column:

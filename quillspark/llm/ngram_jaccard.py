@@ -11,35 +11,43 @@ principle linked documents agree in at least m - D segments.  They are joined on
 can be there.  Empty segments are no keys.  A pair can only be missed if
 both documents have m - D or more empty segments; such documents (few, small)
 also join on the least |A| - ceil(0.8 |A|) + 1 of their shingles, of which linked
-documents must share one.  The join is exact.
+documents must share one.  No pair is missed.
 
 Filter.  A second sketch, of 4 to 8 bits for each shingle, has bit hash(s)
 flipped for every shingle s.  The Hamming distance of two such sketches is a lower
 bound of the number of differing shingles; pairs over D are dropped.
 
-Check.  What is left is compared shingle by shingle.
+Check.  What is left is compared shingle by shingle: 64-bit hashes find the
+shingles that two documents may share, and their words are compared byte by
+byte before they count.
 
-Groups.  Documents with equal sets are one class and join once.  A key shared
+Groups.  Documents with equal words (a 128-bit digest of them; of the sorted set for
+sets under ``SMALLEST``) are one class and join once.  A key shared
 by up to ``ALL_PAIRS`` classes gives all pairs; a larger one links all to
 one of them, and is kept.  After the components of the checked links are
 known, only kept keys that still hold several components are looked at again:
 pairs across components that pass the filter are checked, first the nearest
 one of each class, then more, and in the end all that are still across
 components.  So copies are not expanded into all pairs, yet no component
-misses a link.
+misses a link.  The members of such a key are dealt over chunks of a few megabytes of
+sketches, and those outside its largest component meet every chunk, so no
+task holds a whole key.
 
 Keys travel as packed arrays: 6 bytes of hash and 2 of a local index for each.
+They are dealt over blocks of about ``BLOCK_KEYS`` keys, which a task takes one after another.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as T
-from .common import map_texts, shuffle_partitions, stored, table
+from .common import map_texts, shuffle_partitions, stored, table, temporary
 from .components import components
 
 K = 5
@@ -49,39 +57,61 @@ ALL_PAIRS = 8
 NEAREST = (1, 16, None)
 LEAVES = 1000
 IDS_BROADCAST = 500_000
-SET_BYTES = 5
+#: Join keys of a block; at most so many blocks, each of which may be passed in several turns.
+BLOCK_KEYS, BLOCKS = 1_000_000, 4096
+#: Bytes of bit sketches of a chunk of a key's members.
+CHUNK_BYTES = 2 << 20
 U = np.uint64
 
 
-def shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, in ascending order; offsets of the texts (texts + 1)."""
-    words = T.Words(T.LOWER[raw], off)
-    h, counts, n = words.hashes(), words.counts(), len(off) - 1
+def _shingles(words: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each text, their texts and their first words; not distinct."""
+    h, counts = words.hashes(), words.counts()
     at = np.flatnonzero(T.window_starts(words.first, K))
-    value, doc = T.windows(h, K)[at], T.text_of(words.first)[at]
-    short = np.flatnonzero((counts > 0) & (counts < K))
-    if len(short):
-        whole = np.array([T.windows(h[words.first[i] : words.first[i + 1]], int(counts[i]))[0] + U(counts[i]) for i in short.tolist()], np.uint64)
-        value, doc = np.concatenate([value, T.mix(whole)]), np.concatenate([doc, short])
+    value, doc = [T.windows(h, K)[at]], [T.text_of(words.first)[at]]
+    at = [at]
+    for k in range(1, K):
+        # A text of fewer words is one shingle.
+        short = np.flatnonzero(counts == k)
+        if len(short):
+            value.append(T.mix(T.windows(h, k)[words.first[short]] + U(k)))
+            doc.append(short)
+            at.append(words.first[short])
+    return np.concatenate(value), np.concatenate(doc), np.concatenate(at)
+
+
+def _distinct(value: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of each text in ascending order, offsets of the texts, and where each was first."""
     order = np.argsort(value, kind="stable")
     order = order[np.argsort(doc[order].astype(np.uint32), kind="stable")]
     value, doc = value[order], doc[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-    value, doc = value[new], doc[new]
-    return value, np.searchsorted(doc, np.arange(n + 1))
+    return value[new], np.searchsorted(doc[new], np.arange(n + 1)), order[new]
 
 
-def _per_text(ufunc, values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(first) - 1, np.uint64)
-    full = np.flatnonzero(np.diff(first))
-    if len(full):
-        out[full] = ufunc.reduceat(values, first[full])
-    return out
+def shingles(words: T.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, in ascending order; offsets of the texts (texts + 1)."""
+    value, doc, _ = _shingles(words)
+    return _distinct(value, doc, len(words.first) - 1)[:2]
 
 
-def class_hashes(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _per_text(np.bitwise_xor, T.mix(value + U(11)), first), _per_text(np.add, T.mix(value + U(23)), first)
+def _split(raw: np.ndarray, off: np.ndarray) -> T.Words:
+    return T.Words(T.LOWER[raw], off)
+
+
+def class_digests(words: T.Words, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each text that are equal for texts of equal words, and for equal sets of fewer than ``SMALLEST`` shingles."""
+    data, at = words.joined()
+    whole = data.tobytes()
+    out = np.zeros((len(n), 2), "<i8")
+    for i, (a, b, size) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), n.tolist(), strict=True)):
+        own = whole[a:b]
+        if 0 < size < SMALLEST:
+            w = own.split(b" ")
+            own = b"\n".join(sorted({b" ".join(w[j : j + K]) for j in range(max(1, len(w) - K + 1))}))
+        out[i] = np.frombuffer(hashlib.blake2b(own, digest_size=16).digest(), "<i8")
+    return np.ascontiguousarray(out[:, 0]), np.ascontiguousarray(out[:, 1])
 
 
 def _sketches(value: np.ndarray, first: np.ndarray) -> list[bytes]:
@@ -100,9 +130,9 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def make():
         def run(raw, off):
-            value, first = shingles(raw, off)
-            h1, h2 = class_hashes(value, first)
-            return [np.diff(first), h1.view(np.int64), h2.view(np.int64), pa.array(_sketches(value, first), pa.binary())]
+            words = _split(raw, off)
+            value, first = shingles(words)
+            return [np.diff(first), *class_digests(words, np.diff(first)), pa.array(_sketches(value, first), pa.binary())]
 
         return run
 
@@ -155,86 +185,113 @@ def keys(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 FOUND = "gid long, a long, b long"
 
 
-def join_keys(docs: DataFrame) -> DataFrame:
-    """Classes (h1) that share a key: pairs (a, b), and (gid, a) for the classes of a key that has more than ``ALL_PAIRS``."""
+def join_keys(docs: DataFrame, n_shingles: int) -> DataFrame:
+    """Classes (h1) that share a key: pairs (a, b), and (gid, a) for the classes of a key that has more than ``ALL_PAIRS``.
+
+    ``n_shingles``: the sum over all documents, about three times the number of keys.
+    """
     spark = docs.sparkSession
-    blocks = shuffle_partitions(spark)
+    parts = shuffle_partitions(spark)
+    blocks = max(parts, min(BLOCKS, n_shingles // (3 * BLOCK_KEYS)))
 
     def send(batches):
         for batch in batches:
             for top in range(0, batch.num_rows, 60_000):
                 for _, _, raw, off in T.pieces(batch.column(0).slice(top, 60_000)):
-                    value, first = shingles(raw, off)
-                    h1, _ = class_hashes(value, first)
+                    words = _split(raw, off)
+                    value, first = shingles(words)
+                    h1, _ = class_digests(words, np.diff(first))
                     _, one = np.unique(h1, return_index=True)
                     use = np.zeros(len(h1), bool)
                     use[one] = True
                     key, doc = keys(value[np.repeat(use, np.diff(first))], np.concatenate([[0], np.cumsum(np.where(use, np.diff(first), 0))]))
+                    del value, words
                     if not len(key):
                         continue
                     block = (key % U(blocks)).astype(np.uint32)
-                    order = np.argsort(block, kind="stable")
-                    key, doc, block = (key[order] >> U(16)).astype("<u8"), doc[order].astype("<u2"), block[order]
-                    begin = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
-                    packed = key.view(np.uint8).reshape(-1, 8)[:, :6]
-                    rows = list(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True))
+                    order = np.lexsort((doc, block))
+                    key, doc, block = key[order] >> U(16), doc[order], block[order]
+                    begin = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1])
+                    # Each row names the classes that it uses.
+                    new = np.ones(len(doc), bool)
+                    new[1:] = (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])
+                    place = np.cumsum(new) - 1
+                    ends = np.append(begin[1:], len(block))
+                    local = (place - np.repeat(place[begin], ends - begin)).astype("<u2").tobytes()
+                    classes = h1[doc[new]].astype("<i8").tobytes()
+                    packed = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                    spans = list(zip(begin.tolist(), ends.tolist(), place[begin].tolist(), [*place[begin[1:]].tolist(), int(place[-1]) + 1], strict=True))
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "block": pa.array([int(block[a]) for a, _ in rows], pa.int32()),
-                            "keys": pa.array([packed[a:b].tobytes() for a, b in rows], pa.binary()),
-                            "docs": pa.array([doc[a:b].tobytes() for a, b in rows], pa.binary()),
-                            "classes": pa.array([h1.astype("<u8").tobytes()] * len(rows), pa.binary()),
+                            "part": pa.array((block[begin] % parts).astype(np.int32)),
+                            "block": pa.array(block[begin].astype(np.int32)),
+                            "keys": pa.array([packed[6 * a : 6 * b] for a, b, _, _ in spans], pa.binary()),
+                            "docs": pa.array([local[2 * a : 2 * b] for a, b, _, _ in spans], pa.binary()),
+                            "classes": pa.array([classes[8 * c : 8 * d] for _, _, c, d in spans], pa.binary()),
                         }
                     )
 
     def meet(batches):
-        at, held = None, []
+        at, held, size = None, [], 0
 
         def flush():
-            if not held:
-                return
-            key = np.concatenate([h[0] for h in held])
-            cls = np.concatenate([h[1] for h in held])
+            turns = -(-size // BLOCK_KEYS)
+            for turn in range(turns):
+                yield from _met([_unpacked(row, turn, turns) for row in held], at, blocks, ALL_PAIRS)
             held.clear()
-            order = np.lexsort((cls, key))
-            key, cls = key[order], cls[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-            key, cls = key[new], cls[new]
-            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(begin, len(key)))
-            pairs = [np.zeros((0, 2), np.uint64)]
-            for s in range(2, ALL_PAIRS + 1):
-                b = begin[size == s]
-                for i in range(s - 1):
-                    for j in range(i + 1, s):
-                        pairs.append(np.stack([cls[b + i], cls[b + j]], 1))
-            b, s = begin[size > ALL_PAIRS], size[size > ALL_PAIRS]
-            pairs.append(np.stack([np.repeat(cls[b], s - 1), cls[T.ragged(b + 1, s - 1)]], 1))
-            pairs = np.concatenate(pairs)
-            if len(pairs):
-                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-                new = np.ones(len(pairs), bool)
-                new[1:] = (pairs[1:] != pairs[:-1]).any(1)
-                pairs = pairs[new].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["gid", "a", "b"])
-            if len(b):
-                gid = np.repeat(key[b] * U(blocks) + U(at), s).view(np.int64)
-                member = np.ascontiguousarray(cls[T.ragged(b, s)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(gid), pa.array(member), pa.nulls(len(gid), pa.int64())], names=["gid", "a", "b"])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["block"] != at:
+            for block, *row in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                if block != at:
                     yield from flush()
-                    at = row["block"]
-                k = np.zeros((len(row["keys"]) // 6, 8), np.uint8)
-                k[:, :6] = np.frombuffer(row["keys"], np.uint8).reshape(-1, 6)
-                held.append((k.view("<u8").ravel(), np.frombuffer(row["classes"], "<u8")[np.frombuffer(row["docs"], "<u2")]))
+                    at, size = block, 0
+                held.append([x.as_py() for x in row])
+                size += len(held[-1][0]) // 6
         yield from flush()
 
-    sent = docs.select("text").mapInArrow(send, "block int, keys binary, docs binary, classes binary")
-    return sent.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(meet, FOUND)
+    sent = docs.select("text").mapInArrow(send, "part int, block int, keys binary, docs binary, classes binary")
+    return sent.repartition(parts, "part").sortWithinPartitions("block").select("block", "keys", "docs", "classes").mapInArrow(meet, FOUND)
+
+
+def _unpacked(row: list[bytes], turn: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and classes of the keys of this turn."""
+    k = np.zeros((len(row[0]) // 6, 8), np.uint8)
+    k[:, :6] = np.frombuffer(row[0], np.uint8).reshape(-1, 6)
+    key, cls = k.view("<u8").ravel(), np.frombuffer(row[2], "<u8")[np.frombuffer(row[1], "<u2")]
+    if turns == 1:
+        return key, cls
+    now = (key >> U(16)) % U(turns) == turn
+    return key[now], cls[now]
+
+
+def _met(parts: list[tuple[np.ndarray, np.ndarray]], at: int, blocks: int, all_pairs: int):
+    key, cls = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((cls, key))
+    key, cls = key[order], cls[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+    key, cls = key[new], cls[new]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(key)))
+    pairs = [np.zeros((0, 2), np.uint64)]
+    for s in range(2, all_pairs + 1):
+        b = begin[size == s]
+        for i in range(s - 1):
+            for j in range(i + 1, s):
+                pairs.append(np.stack([cls[b + i], cls[b + j]], 1))
+    b, s = begin[size > all_pairs], size[size > all_pairs]
+    pairs.append(np.stack([np.repeat(cls[b], s - 1), cls[T.ragged(b + 1, s - 1)]], 1))
+    pairs = np.concatenate(pairs)
+    if len(pairs):
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        new = np.ones(len(pairs), bool)
+        new[1:] = (pairs[1:] != pairs[:-1]).any(1)
+        pairs = pairs[new].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["gid", "a", "b"])
+    if len(b):
+        gid = np.repeat(key[b] * U(blocks) + U(at), s).view(np.int64)
+        member = np.ascontiguousarray(cls[T.ragged(b, s)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(gid), pa.array(member), pa.nulls(len(gid), pa.int64())], names=["gid", "a", "b"])
 
 
 def _folded(sketch: bytes, bits: int) -> np.ndarray:
@@ -280,56 +337,80 @@ def check(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def make():
         def run(raw, off):
-            value, first = shingles(raw, off)
-            short = np.ascontiguousarray(T.mix(value + U(71)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES])
-            return [pa.array([short[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())]
+            data, at = _split(raw, off).joined()
+            whole = data.tobytes()
+            return [pa.array([whole[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())]
 
         return run
 
-    def values(b: bytes) -> np.ndarray:
-        x = np.zeros((len(b) // SET_BYTES, 8), np.uint8)
-        x[:, :SET_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, SET_BYTES)
-        return np.unique(x.view("<u8").ravel())
-
     def compare(batches):
         at, centres = None, []
         for batch in batches:
             a_out, b_out = [], []
-            for doc, a, part, role, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, a, part, role, own in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
                 if (a, part) != at:
                     at, centres = (a, part), []
-                x = values(own)
+                x = ShingleSet(own.as_py())
                 if role == 0:
                     centres.append(x)
-                    continue
-                for c in centres:
-                    both = len(np.intersect1d(c, x, assume_unique=True))
-                    if 100 * both >= 80 * (len(c) + len(x) - both):
-                        a_out.append(a)
-                        b_out.append(doc)
-                        break
+                elif any(100 * (both := c.shared(x)) >= 80 * (len(c) + len(x) - both) for c in centres):
+                    a_out.append(a)
+                    b_out.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     sets = map_texts(texts.join(roles, "id").select("id", "a", "part", "role", "text"), make, "own binary")
     return sets.repartition(shuffle_partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(compare, "a long, b long").distinct()
 
 
+class ShingleSet:
+    """The distinct shingles of one text of lower-cased words that are joined by one space."""
+
+    def __init__(self, joined: bytes):
+        self.raw = np.frombuffer(joined, np.uint8)
+        words = T.Words(self.raw, np.array([0, len(joined)]))
+        value, doc, at = _shingles(words)
+        self.value, _, first = _distinct(value, doc, 1)
+        last = at[first] + min(K, len(words)) - 1
+        self.start = words.start[at[first]]
+        self.length = words.end[last] - self.start
+
+    def __len__(self) -> int:
+        return len(self.value)
+
+    def shared(self, other: ShingleSet) -> int:
+        """How many shingles both have, byte by byte."""
+        _, i, j = np.intersect1d(self.value, other.value, assume_unique=True, return_indices=True)
+        alike = self.length[i] == other.length[j]
+        i, j = i[alike], j[alike]
+        return int(T.same_bytes(self.raw, self.start[i], other.raw, other.start[j], self.length[i]).sum())
+
+
 def _again(members: DataFrame, known: DataFrame, reps: DataFrame, most: int | None) -> DataFrame:
-    """Pairs across components, among the classes of each kept key, that the bit sketches leave; the ``most`` nearest of each class."""
-    m = members.join(reps.drop("sketch"), "h1").join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = m.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gid")
-    m = m.join(mixed, "gid", "left_semi").select("gid", "rep", "component").join(reps.select("rep", "n", "sketch"), "rep")
+    """Pairs across components, among the classes of each kept key, that the bit sketches leave; of each class the ``most`` nearest in each chunk."""
+    m = members.join(reps.select("h1", "rep", F.length("sketch").alias("w")), "h1").join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    kinds = m.groupBy("gid", "component").agg(F.sum("w").alias("w"), F.count("*").alias("c"))
+    mixed = kinds.groupBy("gid").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("kinds"), F.sum("w").alias("all")).where("kinds > 1")
+    rest = kinds.join(mixed, "gid").where("component <> top.component").groupBy("gid").agg(F.sum("w").alias("rest"))
+    chunks = lambda w: F.ceil(F.col(w) / CHUNK_BYTES).cast("int")
+    plan = stored(mixed.join(rest, "gid").select("gid", F.col("top.component").alias("top"), chunks("all").alias("n"), chunks("rest").alias("k")), "plan")
+    m = m.select("gid", "rep", "component").join(plan, "gid").join(reps.select("rep", F.col("n").alias("size"), "sketch"), "rep")
+    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # Each member goes to its own chunk, for every share of the rest; the rest goes to every chunk.
+    fields = ["gid", "rep", "component", "size", "sketch"]
+    own = m.select(*fields, F.lit(False).alias("asks"), deal("n").alias("chunk"), "k").select(*fields, "asks", "chunk", every("k").alias("share"))
+    asking = m.where("component <> top").select(*fields, F.lit(True).alias("asks"), deal("k").alias("share"), "n").select(*fields, "asks", every("n").alias("chunk"), "share")
 
     def run(group: pa.Table) -> pa.Table:
-        rep, n, component = (group.column(c).to_numpy() for c in ("rep", "n", "component"))
+        rep, n, component, asks = (group.column(c).to_numpy() for c in ("rep", "size", "component", "asks"))
         sketch = group.column("sketch").to_pylist()
         bits = 8 * min(map(len, sketch))
         folded = np.stack([_folded(s, bits) for s in sketch])
-        kinds, size = np.unique(component, return_counts=True)
-        rest = np.flatnonzero(component != kinds[size.argmax()])
+        del sketch
+        there = np.flatnonzero(~asks)
         a_out, b_out = [], []
-        for i in rest.tolist():
-            other = np.flatnonzero((component != component[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i])))
+        for i in np.flatnonzero(asks).tolist():
+            other = there[(component[there] != component[i]) & (5 * np.minimum(n[there], n[i]) >= 4 * np.maximum(n[there], n[i]))]
             apart = np.bitwise_count(folded[other] ^ folded[i]).sum(1)
             near, apart = other[apart <= (n[other] + n[i]) // 9], apart[apart <= (n[other] + n[i]) // 9]
             if most is not None and len(near) > most:
@@ -339,7 +420,7 @@ def _again(members: DataFrame, known: DataFrame, reps: DataFrame, most: int | No
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
         return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64)})
 
-    return m.groupBy("gid").applyInArrow(run, "a long, b long").distinct()
+    return own.unionByName(asking).groupBy("gid", "chunk", "share").applyInArrow(run, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -348,13 +429,23 @@ def linked(docs: DataFrame) -> DataFrame:
     Null or empty texts, and texts without words: n_shingles 0, a component of
     their own.  Texts of fewer than five words have one shingle, the whole
     sequence.  Rows that share a doc_id are one document, which has all their links.  A null doc_id is
-    linked with nothing and has a null component.  Other columns are ignored.
+    linked with nothing and has a null component.  Ids are integers (others fail).  Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = stored(signatures(docs), "signatures")
-    classes = sig.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = stored(sig.join(classes, ["n", "h1", "h2"]).where("doc_id = rep").select("rep", "n", "h1", "sketch").dropDuplicates(["rep", "n", "h1"]), "reps")
-    found = stored(join_keys(docs.where("doc_id is not null")), "found")
+    with temporary(docs.sparkSession) as keep:
+        of_class = stored(_components_of_classes(docs, sig), "classes")
+        keep(of_class)
+    out = sig.drop("sketch").join(of_class, ["h1", "h2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("_c")).otherwise(F.col("doc_id"))).alias("component_id"))
+
+
+def _components_of_classes(docs: DataFrame, sig: DataFrame) -> DataFrame:
+    """h1, h2, _c."""
+    classes = sig.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    reps = stored(sig.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("rep"), "n", "h1", "h2", "sketch").dropDuplicates(["rep", "h1", "h2"]), "reps")
+    n_shingles = reps.agg(F.sum("n")).first()[0] or 0
+    found = stored(join_keys(docs.where("doc_id is not null"), n_shingles), "found")
     left, right = (reps.select(F.col("h1").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     pairs = found.where("gid is null").select("a", "b").distinct()
     # Sizes first: the sketches of pairs that differ too much in size are not fetched.
@@ -363,10 +454,9 @@ def linked(docs: DataFrame) -> DataFrame:
     ordered = pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "na", "nb", "sa", "sb")
     near = stored(_filtered(ordered).distinct(), "near")
     # Rows that share an id keep their classes together.
-    shared = sig.join(classes, ["n", "h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    repeated = reps.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() or sig.groupBy("doc_id").agg(F.countDistinct("n", "h1", "h2").alias("c")).where("c > 1 and doc_id is not null").limit(1).count()
-    links = check(docs, near)
-    links = stored(links.unionByName(shared) if repeated else links, "checked")
+    several = sig.where("n > 0 and doc_id is not null").groupBy("doc_id").agg((F.min("h1") != F.max("h1")).alias("x")).where("x").select("doc_id")
+    shared = sig.join(several, "doc_id", "left_semi").where("n > 0").join(classes, ["h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = stored(check(docs, near).unionByName(shared), "checked")
     known = components(links)
     members = found.where("gid is not null").select("gid", F.col("a").alias("h1"))
     for most in NEAREST:
@@ -377,9 +467,7 @@ def linked(docs: DataFrame) -> DataFrame:
         if new.limit(1).count():
             known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(check(docs, new)))
             near = near.unionByName(new)
-    of_class = classes.join(known, classes["rep"] == known["node"], "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("_c"))
-    out = sig.select("doc_id", "n", "h1", "h2").join(of_class, ["n", "h1", "h2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id")).alias("component_id"))
+    return classes.join(known, classes["rep"] == known["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("_c"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Vectorised word splitting and hashing over Arrow string buffers.
 
 Texts never become Python strings here: the UTF-8 bytes of an Arrow batch are
-viewed as one numpy array, words are runs of bytes outside a separator class,
-and 64-bit hashes of words and of word windows come from prefix sums.  A batch
-is cut into pieces of about ``PIECE`` bytes (whole texts, never parts of one),
+viewed as one numpy array, and words are runs of bytes outside a separator class.
+64-bit hashes chain a bijective mixer over the eight-byte lanes of a word, and over
+the halves of a window, so that no structure of a text makes two of them equal;
+``same_bytes`` compares what hashes call equal.  A batch is cut into pieces of about ``PIECE`` bytes (whole texts, never parts of one),
 so memory is bounded by the piece or by the longest single text.
 
 Null texts count as empty.
@@ -11,6 +12,7 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,33 +39,10 @@ ALNUM = _separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _P = U64(0x9E3779B97F4A7C15)
 _Q = U64(0xD6E8FEB86659FD93)
-
-
-def _inverse(x: np.uint64) -> np.uint64:
-    return U64(pow(int(x), -1, 2**64))
-
-
-class _Powers:
-    """Grows tables of the powers of an odd base and of its inverse."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.inv = base, _inverse(base)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            for name, base in (("up", self.base), ("down", self.inv)):
-                t = np.full(max(n, 2 * len(self.up)), base, dtype=np.uint64)
-                t[0] = 1
-                setattr(self, name, np.multiply.accumulate(t))
-        return self.up, self.down
-
-
-_byte_powers, _word_powers = _Powers(_P), _Powers(_Q)
+#: Longer words are hashed and compared one by one.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -136,26 +115,86 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.raw)
-        if not len(self.start):
-            return np.zeros(0, dtype=np.uint64)
-        up, down = _byte_powers.get(n + 1)
-        total = np.empty(n + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE[self.raw] * up[:n], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        length = self.end - self.start
+        h = mix(length.astype(np.uint64) * _P + _Q)
+        wide = lanes(self.raw)
+        for j, at in _by_lane(length):
+            h[at] = mix(h[at] ^ _lane(wide, self.start[at] + 8 * j, length[at] - 8 * j))
+        for i in np.flatnonzero(length > LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.raw[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
+        return h
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of each text's words joined by one space, and the offsets of the texts in them."""
+        keep = np.zeros(len(self.raw) + 1, np.int8)
+        keep[self.start] += 1
+        np.add.at(keep, self.end, -1)
+        keep = np.cumsum(keep[:-1], dtype=np.int8).astype(bool)
+        last = np.zeros(len(self.start), bool)
+        last[self.first[1:][self.first[1:] > self.first[:-1]] - 1] = True
+        gap = self.end[~last]
+        keep[gap] = True
+        data = self.raw.copy()
+        data[gap] = 0x20
+        size = np.concatenate([[0], np.cumsum(self.end - self.start + ~last)])
+        return data[keep], size[self.first]
+
+
+def lanes(raw: np.ndarray) -> np.ndarray:
+    """The bytes as little-endian 64-bit numbers, with room behind them."""
+    out = np.zeros(len(raw) // 8 + 2, "<u8")
+    out.view(np.uint8)[: len(raw)] = raw
+    return out
+
+
+def _lane(wide: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each byte offset on; those beyond ``left`` bytes are 0."""
+    i, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+    x = (wide[i] >> shift) | ((wide[i + 1] << U64(1)) << (U64(63) - shift))
+    return x & (~U64(0) >> ((8 - np.minimum(left, 8)) << 3).astype(np.uint64))
+
+
+def _by_lane(length: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(j, spans of up to ``LONG`` bytes that have a j-th lane)."""
+    at = np.flatnonzero((length > 0) & (length <= LONG))
+    j = 0
+    while len(at):
+        yield j, at
+        j += 1
+        at = at[length[at] > 8 * j]
+
+
+def same_bytes(raw: np.ndarray, start: np.ndarray, other: np.ndarray, other_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the spans of two byte arrays are equal, byte by byte."""
+    same = np.ones(len(length), bool)
+    a = lanes(raw)
+    b = a if other is raw else lanes(other)
+    for j, at in _by_lane(length):
+        left = length[at] - 8 * j
+        same[at] &= _lane(a, start[at] + 8 * j, left) == _lane(b, other_start[at] + 8 * j, left)
+    for i in np.flatnonzero(length > LONG).tolist():
+        n = int(length[i])
+        same[i] = np.array_equal(raw[start[i] : start[i] + n], other[other_start[i] : other_start[i] + n])
+    return same
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _Q + b)
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word windows that start at each position, over all texts joined; n - k + 1 values."""
-    n = len(h)
-    if n < k:
+    if len(h) < k:
         return np.zeros(0, dtype=np.uint64)
-    up, down = _word_powers.get(n + 1)
-    total = np.empty(n + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(h * up[:n], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[: n - k + 1])
+    out, done, block, size = None, 0, h, 1
+    while True:
+        if k & size:
+            out = block if out is None else _pair(out[: len(block) - done], block[done:])
+            done += size
+            if done == k:
+                return out
+        block = _pair(block[:-size], block[size:])
+        size *= 2
 
 
 def window_starts(first: np.ndarray, k: int) -> np.ndarray:

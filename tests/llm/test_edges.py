@@ -134,10 +134,19 @@ def edited(rng, words, n):
     return words
 
 
-@pytest.mark.parametrize("all_pairs", [2, 8])
-def test_jaccard_against_brute_force(spark, monkeypatch, all_pairs):
-    """Chains of edits, sizes around the bands, and groups over the all-pairs size."""
-    monkeypatch.setattr(ngram_jaccard, "ALL_PAIRS", all_pairs)
+def thue_morse(a, b, n=10):
+    """A word of 2**n letters and its complement: equal under any polynomial hash with an odd base modulo 2**64."""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize(("all_pairs", "block_keys", "chunk"), [(2, 50, 100), (8, 10**6, 1 << 20)])
+def test_jaccard_against_brute_force(spark, monkeypatch, all_pairs, block_keys, chunk):
+    """Chains of edits, sizes around the bands, groups over the all-pairs size, blocks in several turns, and keys in several chunks."""
+    for name, value in (("ALL_PAIRS", all_pairs), ("BLOCK_KEYS", block_keys), ("BLOCKS", 3), ("CHUNK_BYTES", chunk)):
+        monkeypatch.setattr(ngram_jaccard, name, value)
     rng = random.Random(all_pairs)
     rows = []
     for size in (1, 4, 5, 8, 9, 10, 13, 16, 30, 60, 120):
@@ -147,6 +156,12 @@ def test_jaccard_against_brute_force(spark, monkeypatch, all_pairs):
                 base = edited(rng, base, rng.choice([0, 1, 2])) if rng.random() < 0.7 else base + [f"e{rng.randrange(9)}"]
                 rows.append((len(rows) + 10, " ".join(base)))
     rows += [(5, None), (6, ""), (7, " \n")]
+    # Equal sets of different texts.
+    rows += [(len(rows) + 10 + i, " ".join(["a", "b"][: 1 + i % 2] * n)) for i, n in enumerate((5, 4, 6, 5, 9, 7))]
+    p, q = thue_morse("x", "y")
+    rows += [(2000, f"{p} b c d e"), (2001, f"{q} b c d e"), (2002, f"{p} b c d E")]
+    p, q = (" ".join(x) for x in thue_morse("x", "y"))
+    rows += [(2003, f"{p} end"), (2004, f"{q} end")]
     rng.shuffle(rows)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_components(rows)
