@@ -13,7 +13,7 @@ both documents have m - D or more empty segments; such documents (few, small)
 also join on the least |A| - ceil(0.8 |A|) + 1 of their shingles, of which linked
 documents must share one.  No pair is missed.
 
-Filter.  A second sketch, of 4 to 8 bits for each shingle, has bit hash(s)
+Filter.  A second sketch, of 2 to 4 bits for each shingle, has bit hash(s)
 flipped for every shingle s.  The Hamming distance of two such sketches is a lower
 bound of the number of differing shingles; pairs over D are dropped.
 
@@ -116,7 +116,7 @@ def class_digests(words: T.Words, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _sketches(value: np.ndarray, first: np.ndarray) -> list[bytes]:
     n = np.diff(first)
-    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64))
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
     bits[n == 0] = 0
     base = np.concatenate([[0], np.cumsum(bits)])
     doc = T.text_of(first)
@@ -209,7 +209,7 @@ def join_keys(docs: DataFrame, n_shingles: int) -> DataFrame:
                     if not len(key):
                         continue
                     block = (key % U(blocks)).astype(np.uint32)
-                    order = np.lexsort((doc, block))
+                    order = np.argsort((block.astype(np.uint64) << U(32)) | doc.astype(np.uint64), kind="stable")
                     key, doc, block = key[order] >> U(16), doc[order], block[order]
                     begin = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1])
                     # Each row names the classes that it uses.
