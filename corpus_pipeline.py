@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, mixing, ngram_jaccard, token_output, toxicity
-from quillspark.llm.common import stored, table
+from quillspark.llm.common import stored, table, temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC_FROM = 0.3
@@ -23,10 +23,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingles, the one with the least id; one row where rows share an id."""
+    """Of documents linked by similar shingles, the one with the least id; where rows share that id, the one with the first text.
+
+    Documents without words are linked with nothing and stay, as do rows without an id.
+    """
+    docs = docs.select(*COLUMNS)
     classes = stored(ngram_jaccard.linked(docs).where("doc_id = component_id").select("doc_id").distinct(), "stay")
-    kept = docs.select(*COLUMNS).join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    kept = docs.join(classes, "doc_id", "left_semi")
+    several = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    first = kept.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", *(F.col("r")[c].alias(c) for c in rest))
+    return kept.join(several, "doc_id", "left_anti").unionByName(first.select(*COLUMNS)).unionByName(docs.where("doc_id is null"))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +43,13 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each copy in the mix, in the order of its stream; a copy that the budget cuts (one of a source at most) keeps the words it has in the mix, joined by spaces.
+    """One row for each copy in the mix; the copy at which the budget is used up keeps the words it has in the mix, joined by spaces.
 
-    A document without words takes no part of a budget of words and stays as it is.
+    A document without words takes no part of a budget of words and stays as it is.  The rows have no
+    order here, as the next stage sorts them by id.
     """
-    mixed = mixing.mix(docs.select(*COLUMNS))
-    copies = mixing.stream(mixed)
+    mixed = stored(mixing.mix(docs.select(*COLUMNS)), "mixed")
+    copies = mixing.stream(mixed, ordered=False)
     words = F.regexp_extract_all("text", F.lit(mixing.WORD_RE), F.lit(0))
     cut = F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")
     text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))
@@ -69,5 +77,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with temporary(spark) as keep:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep(docs)
     return docs

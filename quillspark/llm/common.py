@@ -76,6 +76,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def fit_in_a_task(rows: DataFrame, order: list, fit):
+    """What ``fit`` (an iterator of Arrow batches in the given order -> a model) gives for a bounded sample of rows; None without rows.
+
+    It runs in one task on an executor, which is started again elsewhere if that is lost; only the model reaches the driver.
+    """
+    import pickle
+
+    import pyarrow as pa
+
+    def run(batches):
+        model = fit(batches)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    found = rows.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(found["model"])) if found else None
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

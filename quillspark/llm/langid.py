@@ -6,8 +6,8 @@ languages that (probably) contain the n-gram.  A text is decided by the
 popcounts of its n-grams' masks per language, corrected for the share of false
 positives that the fill of each language's bits implies.
 
-Fitting takes at most ``max_docs`` labelled rows of each language and about
-``max_total`` of all, chosen by a hash of the id, with texts up to ``max_chars``.  An n-gram belongs to a
+Fitting takes about ``max_docs`` labelled rows of each language and
+``max_total`` of all (every row of a rarer language), chosen by a hash of the id, with whole texts, in one task.  An n-gram belongs to a
 language if it occurs there more than once and at a tenth at least of the
 highest rate that any language has.  Prediction reads whole texts.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as T
-from .common import held_out, map_texts, table
+from .common import fit_in_a_task, held_out, map_texts, table
 
 ORDERS = (3, 5)
 SLOTS = 1 << 21
@@ -85,7 +85,7 @@ class Model:
         return np.maximum(corrected, 0).T
 
 
-def fit(rows: DataFrame, max_docs: int = 1500, max_total: int = 30_000, max_chars: int = 200_000) -> Model | None:
+def fit(rows: DataFrame, max_docs: int = 1500, max_total: int = 30_000) -> Model | None:
     """Learns from the rows of ``rows`` (doc_id, text, lang); None if no row has both text and lang."""
     rows = rows.where("text is not null and lang is not null")
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -93,26 +93,32 @@ def fit(rows: DataFrame, max_docs: int = 1500, max_total: int = 30_000, max_char
         return None
     langs = sorted(n)
     max_docs = max(1, min(max_docs, max_total // len(langs)))
-    share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1_000_000, int(1_000_000 * max_docs / n[k]) + 1))))
-    chosen = rows.where((F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1_000_000)) < share[F.col("lang")]) & (F.length("text") <= max_chars))
-    sample = chosen.select("lang", "text").toArrow()
-    lang = np.array([langs.index(x) for x in sample["lang"].to_pylist()], np.int64)
-    text = sample["text"].combine_chunks()
-    # One table of distinct n-grams with their counts for each language, merged piece by piece.
-    keys, counts = np.zeros(0, np.uint64), np.zeros((len(langs), 0), np.int64)
-    for lo, hi, raw, off in T.pieces(text):
-        for order in ORDERS:
-            h, t = grams(raw, off, order)
-            u, inverse = np.unique(h, return_inverse=True)
-            own = np.bincount(lang[lo:hi][t] * len(u) + inverse, minlength=len(langs) * len(u)).reshape(len(langs), len(u))
-            merged, where = np.unique(np.concatenate([keys, u]), return_inverse=True)
-            both = np.zeros((len(langs), len(merged)), np.int64)
-            both[:, where[: len(keys)]] = counts
-            both[:, where[len(keys) :]] += own
-            keys, counts = merged, both
-    rate = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-    belongs = (counts >= 2) & (rate >= rate.max(0, initial=0, keepdims=True) / 10)
-    return Model(langs, langs.index(max(langs, key=lambda k: n[k])), [keys[b] for b in belongs])
+    # One row for each language.
+    share = rows.sparkSession.createDataFrame([(k, min(1_000_000, int(1_000_000 * max_docs / n[k]) + 1)) for k in langs], "lang string, share int")
+    drawn = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid"))
+    chosen = rows.select("lang", "text", drawn.alias("drawn")).join(F.broadcast(share), "lang").where(F.pmod("drawn", F.lit(1_000_000)) < F.col("share"))
+
+    def run(batches):
+        # One table of distinct n-grams with their counts for each language, merged piece by piece.
+        keys, counts = np.zeros(0, np.uint64), np.zeros((len(langs), 0), np.int32)
+        place = {k: i for i, k in enumerate(langs)}
+        for batch in batches:
+            lang = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
+            for lo, hi, raw, off in T.pieces(batch.column(1)):
+                for order in ORDERS:
+                    h, t = grams(raw, off, order)
+                    u, inverse = np.unique(h, return_inverse=True)
+                    own = np.bincount(lang[lo:hi][t] * len(u) + inverse, minlength=len(langs) * len(u)).reshape(len(langs), len(u))
+                    merged, where = np.unique(np.concatenate([keys, u]), return_inverse=True)
+                    both = np.zeros((len(langs), len(merged)), np.int32)
+                    both[:, where[: len(keys)]] = counts
+                    both[:, where[len(keys) :]] += own.astype(np.int32)
+                    keys, counts = merged, both
+        rate = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+        belongs = (counts >= 2) & (rate >= rate.max(0, initial=0, keepdims=True) / 10)
+        return Model(langs, langs.index(max(langs, key=lambda k: n[k])), [keys[b] for b in belongs])
+
+    return fit_in_a_task(chosen.select("lang", "text", "drawn"), ["drawn", "lang", "text"], run)
 
 
 def identify(docs: DataFrame, model: Model | None, drop_text: bool = False) -> DataFrame:
@@ -121,10 +127,10 @@ def identify(docs: DataFrame, model: Model | None, drop_text: bool = False) -> D
     ``und`` with score 0: a null text, one without a letter, or any text if
     there is no model.  A text whose n-grams no language knows gets the most
     frequent language, with score 0; ties go to the first language by name.
-    Repeated rows and other columns pass through.
+    Repeated rows and other columns pass through (but one named quill__letter).
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    lettered = docs.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    lettered = docs.withColumn("quill__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def make():
         m = held.value
@@ -142,7 +148,7 @@ def identify(docs: DataFrame, model: Model | None, drop_text: bool = False) -> D
         return run
 
     out = map_texts(lettered, make, "lang_pred string, score double", drop_text=drop_text)
-    return out.withColumns({"lang_pred": F.when(F.col("_letter"), F.col("lang_pred")).otherwise(F.lit(UNKNOWN)), "score": F.when(F.col("_letter"), F.col("score")).otherwise(F.lit(0.0))}).drop("_letter")
+    return out.withColumns({"lang_pred": F.when(F.col("quill__letter"), F.col("lang_pred")).otherwise(F.lit(UNKNOWN)), "score": F.when(F.col("quill__letter"), F.col("score")).otherwise(F.lit(0.0))}).drop("quill__letter")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,20 +3,23 @@
 The corpus is its own reference, cut into reference blocks.  A window of 35
 words belongs to the block that its minimizer (the least hash of the 8-word
 sequences in it) names, so equal windows meet in one block, and the windows
-that follow each other in a text mostly go to the same block, as one run.  A
-block indexes the windows of all its runs and factors each run greedily
-against that index: a factor goes on for as long as the next window is found
-right behind the source of the one before.  A factor that ends at the end of
-its run, or at a change of source, loses nothing: every window is looked up
-itself, so those that lie across a factor's boundary are found as well.
-Factors span at least 35 words by construction; the words they cover are the
-duplicate spans.  All occurrences count, the first one too.
+that follow each other in a text mostly go to the same block, as one run.  Only
+blocks that could hold a match of a run are asked; every block indexes all its runs.
+
+Parsing is greedy.  At a window that the index knows from another place, the
+factor is extended word by word against the reference for as long as the words
+agree.  The next look-up is then at the factor's boundary: the first window
+that isn't inside the factor.  So a window that lies across two factors is
+looked up itself, and none is missed.  Factors span at least 35 words; the words
+they cover are the duplicate spans.  All occurrences count, the first one too.
+
+A word of a run is known by the window that ends in it.  Two windows are equal if
+their 64-bit hashes and the 64-bit hashes of their minimizers are, 128 bits in all.
 
 Skew: texts held together (about 2 MB) are first factored against themselves,
 and send each distinct window once.  A passage that is in a third of all
 texts thus reaches its block once for each such piece, not once for each text.
-Blocks are four times as many as shuffle partitions and are indexed one after
-another.
+Blocks hold about ``BLOCK_BYTES`` of text and are indexed one after another.
 """
 
 from __future__ import annotations
@@ -31,7 +34,10 @@ from . import textnp as T
 from .common import shuffle_partitions, stored, table
 
 WINDOW, GRAM = 35, 8
-RUN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("count", "<u4")])
+BLOCK_BYTES, BLOCKS = 32 << 20, 4096
+#: Windows of a run that are parsed in one go.
+STRETCH = 256
+RUN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("count", "<u4"), ("anchor", "<u8")])
 DOC = np.dtype([("id", "<i8"), ("key", "<i8")])
 FACTOR = "doc_id long, key long, start int, words int, from_doc_id long, from_start int"
 
@@ -47,28 +53,69 @@ def _runs(doc: np.ndarray, pos: np.ndarray, *same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def factors(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Factors of the windows ``h`` that occur more than once: (doc, start, windows, source doc, source start).
-
-    The source of a window is its first occurrence; that of a first occurrence is the second one.
-    """
+def _places(h: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The index: a number for each different window, whether it occurs again, and where (its first place; of a first place, the second)."""
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
     order = np.argsort(h, kind="stable")
-    s = h[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    apart = anchor[order[1:]] != anchor[order[:-1]]
+    if (apart & ~new[1:]).any():
+        order = np.lexsort((anchor, h))
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (anchor[order[1:]] != anchor[order[:-1]])
     begin = np.flatnonzero(new)
-    size = np.diff(np.append(begin, len(s)))
+    size = np.diff(np.append(begin, len(h)))
     group = np.cumsum(new) - 1
-    many = size[group] > 1
-    source = np.empty(len(s), np.int64)
-    source[order] = np.where(new, order[np.minimum(begin[group] + 1, len(s) - 1)], order[begin[group]]) if len(s) else 0
-    dup = np.zeros(len(s), bool)
-    dup[order] = many
-    at = np.flatnonzero(dup)
-    src = source[at]
-    d, p, sd, sp = doc[at], pos[at], doc[src], pos[src]
-    first = _runs(d, p, sd, sp - p)
-    return d[first], p[first], np.diff(np.append(first, len(at))), sd[first], sp[first]
+    number, source, again = (np.empty(len(h), t) for t in (np.int64, np.int64, bool))
+    number[order], again[order] = group, size[group] > 1
+    source[order] = np.where(new, order[np.minimum(begin[group] + 1, len(h) - 1)], order[begin[group]])
+    return number, again, source
+
+
+def _extended(number: np.ndarray, p: np.ndarray, p_end: np.ndarray, q: np.ndarray, q_end: np.ndarray) -> np.ndarray:
+    """How many windows from p on equal those from q on, up to both ends; each one more is one more word."""
+    most = np.minimum(p_end - p, q_end - q)
+    got, on, step = np.zeros(len(p), np.int64), np.arange(len(p)), 8
+    while len(on):
+        t = got[on, None] + np.arange(step)
+        inside = t < most[on, None]
+        t = np.minimum(t, most[on, None] - 1)
+        equal = inside & (number[p[on, None] + t] == number[q[on, None] + t])
+        whole = equal.all(1)
+        got[on] += np.where(whole, step, equal.argmin(1))
+        on = on[whole]
+        step = min(2 * step, STRETCH)
+    return got
+
+
+def factors(places: tuple[np.ndarray, np.ndarray, np.ndarray], doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Greedy factors of runs of windows against all of them (``_places``): (doc, start, windows, source doc, source start)."""
+    number, again, source = places
+    n = len(number)
+    if not n:
+        return (np.zeros(0, np.int64),) * 5
+    begin = _runs(doc, pos)
+    length = np.diff(np.append(begin, n))
+    end = np.repeat(begin + length, length)
+    inside = np.arange(n) - np.repeat(begin, length)
+    p = np.flatnonzero(inside % STRETCH == 0)
+    stop = np.minimum(p + STRETCH, end[p])
+    following = np.append(np.where(again, np.arange(n), n), n)
+    following = np.minimum.accumulate(following[::-1])[::-1]
+    out = []
+    while True:
+        p = following[p]
+        on = p < stop
+        p, stop = p[on], stop[on]
+        if not len(p):
+            break
+        q = source[p]
+        size = _extended(number, p, stop, q, end[q])
+        out.append(np.stack([p, size, q]))
+        p = p + size
+    f, size, q = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+    return doc[f], pos[f], size, doc[q], pos[q]
 
 
 def _cut(column_ids, keys, text):
@@ -95,45 +142,51 @@ def _table(docs: np.ndarray, f: tuple[np.ndarray, ...]) -> dict:
 FACTOR_TYPE = np.dtype([("doc_id", "<i8"), ("key", "<i8"), ("start", "<i4"), ("words", "<i4"), ("from_doc_id", "<i8"), ("from_start", "<i4")])
 
 
+ID, KEY, SPANS = "quill__id", "quill__key", "quill__spans"
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds what tells rows apart: _id (0 for null) and _key, a hash of id and text."""
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_key": F.xxhash64("doc_id", "text")})
+    """Adds what tells rows apart: an id (0 for null) and a hash of id and text."""
+    return docs.withColumns({ID: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), KEY: F.xxhash64("doc_id", "text")})
 
 
 def find_factors(docs: DataFrame) -> DataFrame:
     """Every duplicate factor of ``keyed`` documents, with its source."""
     spark = docs.sparkSession
-    n = 4 * shuffle_partitions(spark)
+    parts = shuffle_partitions(spark)
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(4 * parts, min(BLOCKS, n_bytes // BLOCK_BYTES))
 
     def send(batches):
         for batch in batches:
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for docs_, h, doc, pos, value in _cut(ids, keys, batch.column(2)):
-                own = factors(h, doc, pos)
+            for docs_, h, doc, pos, anchor in _cut(ids, keys, batch.column(2)):
+                places = _places(h, anchor)
+                own = factors(places, doc, pos)
                 found = np.zeros(len(own[0]), FACTOR_TYPE)
                 for name, column in _table(docs_, own).items():
                     found[name] = column
-                _, first = np.unique(h, return_index=True)
+                _, first = np.unique(places[0], return_index=True)
                 first.sort()
-                h, doc, pos, value = h[first], doc[first], pos[first], value[first]
-                block = (T.mix(value) % np.uint64(n)).astype(np.int64)
+                h, doc, pos, anchor = h[first], doc[first], pos[first], anchor[first]
+                block = (T.mix(anchor) % np.uint64(n)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
-                h, doc, pos, block = h[order], doc[order], pos[order], block[order]
-                begin = _runs(doc, pos, block)
+                h, doc, pos, block, anchor = h[order], doc[order], pos[order], block[order], anchor[order]
+                begin = _runs(doc, pos, block, anchor)
                 count = np.diff(np.append(begin, len(h)))
                 blocks, at = np.unique(block[begin], return_index=True)
                 runs = np.zeros(len(begin), RUN)
-                runs["start"], runs["count"] = pos[begin], count
-                out = {"block": [], "docs": [], "runs": [], "hashes": [], "found": []}
+                runs["start"], runs["count"], runs["anchor"] = pos[begin], count, anchor[begin]
+                out = {"part": [], "block": [], "docs": [], "runs": [], "hashes": [], "found": []}
                 for i, b in enumerate(blocks.tolist()):
                     lo, hi = at[i], at[i + 1] if i + 1 < len(at) else len(begin)
                     used, index = np.unique(doc[begin[lo:hi]], return_inverse=True)
                     part = runs[lo:hi]
                     part["doc"] = index
                     last = begin[hi] if hi < len(begin) else len(h)
-                    for name, v in (("block", b), ("docs", docs_[used].tobytes()), ("runs", part.tobytes()), ("hashes", h[begin[lo] : last].astype("<u8").tobytes()), ("found", found.tobytes() if not i else b"")):
+                    for name, v in (("part", b % parts), ("block", b), ("docs", docs_[used].tobytes()), ("runs", part.tobytes()), ("hashes", h[begin[lo] : last].astype("<u8").tobytes()), ("found", found.tobytes() if not i else b"")):
                         out[name].append(v)
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "block" else pa.binary()) for k, v in out.items()})
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k in ("part", "block") else pa.binary()) for k, v in out.items()})
 
     def index(batches):
         at, held = None, []
@@ -143,27 +196,29 @@ def find_factors(docs: DataFrame) -> DataFrame:
                 return
             docs_, runs, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            f = factors(hashes, np.repeat(runs["doc"].astype(np.int64), runs["count"]), T.ragged(runs["start"].astype(np.int64), runs["count"].astype(np.int64)))
+            count = runs["count"].astype(np.int64)
+            f = factors(_places(hashes, np.repeat(runs["anchor"], count)), np.repeat(runs["doc"].astype(np.int64), count), T.ragged(runs["start"].astype(np.int64), count))
             if len(f[0]):
                 yield pa.RecordBatch.from_pydict(_table(docs_, f))
 
         docs_before = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["block"] != at:
+            for block, *row in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                if block != at:
                     yield from flush()
-                    at, docs_before = row["block"], 0
-                d, r = np.frombuffer(row["docs"], DOC), np.frombuffer(row["runs"], RUN).copy()
+                    at, docs_before = block, 0
+                names, runs, hashes, own = (x.as_py() for x in row)
+                d, r = np.frombuffer(names, DOC), np.frombuffer(runs, RUN).copy()
                 r["doc"] += docs_before
                 docs_before += len(d)
-                held.append((d, r, np.frombuffer(row["hashes"], "<u8")))
-                if row["found"]:
-                    own = np.frombuffer(row["found"], FACTOR_TYPE)
+                held.append((d, r, np.frombuffer(hashes, "<u8")))
+                if own:
+                    own = np.frombuffer(own, FACTOR_TYPE)
                     yield pa.RecordBatch.from_pydict({k: np.ascontiguousarray(own[k]) for k in FACTOR_TYPE.names})
         yield from flush()
 
-    sent = docs.select("_id", "_key", "text").mapInArrow(send, "block int, docs binary, runs binary, hashes binary, found binary")
-    return sent.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block").mapInArrow(index, FACTOR)
+    sent = docs.select(ID, KEY, "text").mapInArrow(send, "part int, block int, docs binary, runs binary, hashes binary, found binary")
+    return sent.repartition(parts, "part").sortWithinPartitions("block").select("block", "docs", "runs", "hashes", "found").mapInArrow(index, FACTOR)
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -173,19 +228,18 @@ def remove(docs: DataFrame) -> DataFrame:
     begin at any other place, same text included; windows are judged on the
     input.  Null or empty text: no words, an empty text.  Repeated rows are
     duplicates of each other.  Null ids and other columns pass through; columns named like the
-    added ones, _id, _key or _spans are replaced.
+    added ones, and those that begin with quill__, are replaced.  Ids are integers (others fail).
     """
-    docs = docs.select(*(c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "_id", "_key", "_spans")))
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in ("n_words", "n_removed") and not c.lower().startswith("quill__")))
     found = stored(find_factors(keyed(docs)), "factors")
-    spans = found.groupBy(F.col("doc_id").alias("_i"), F.col("key").alias("_k")).agg(F.collect_set(F.struct("start", "words")).alias("_spans"))
-    rows = keyed(docs)
-    rows = rows.join(spans, (F.col("_id") == F.col("_i")) & (F.col("_key") == F.col("_k")), "left").drop("_i", "_k", "_id", "_key")
+    spans = found.groupBy(F.col("doc_id").alias(ID), F.col("key").alias(KEY)).agg(F.collect_set(F.struct("start", "words")).alias(SPANS))
+    rows = keyed(docs).join(spans, [ID, KEY], "left").drop(ID, KEY)
     kept = [f for f in docs.schema.fields if f.name != "text"]
     names = [f.name for f in kept]
 
     def run(batches):
         for batch in batches:
-            column, spans = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("_spans"))
+            column, spans = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index(SPANS))
             for lo, hi, raw, off in T.pieces(column):
                 words, part = T.Words(raw, off), spans.slice(lo, hi - lo)
                 doc = np.repeat(np.arange(hi - lo), np.asarray(pa.compute.list_value_length(part).fill_null(0)))

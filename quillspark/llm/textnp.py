@@ -164,11 +164,11 @@ def _by_lane(length: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         at = at[length[at] > 8 * j]
 
 
-def same_bytes(raw: np.ndarray, start: np.ndarray, other: np.ndarray, other_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+def same_bytes(raw: np.ndarray, start: np.ndarray, other: np.ndarray, other_start: np.ndarray, length: np.ndarray, other_lanes: np.ndarray | None = None) -> np.ndarray:
     """Whether the spans of two byte arrays are equal, byte by byte."""
     same = np.ones(len(length), bool)
     a = lanes(raw)
-    b = a if other is raw else lanes(other)
+    b = a if other is raw else lanes(other) if other_lanes is None else other_lanes
     for j, at in _by_lane(length):
         left = length[at] - 8 * j
         same[at] &= _lane(a, start[at] + 8 * j, left) == _lane(b, other_start[at] + 8 * j, left)

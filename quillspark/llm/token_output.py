@@ -25,6 +25,7 @@ once; the ids are those of the whole text.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from functools import lru_cache
@@ -87,34 +88,56 @@ def cuts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
+def _cuttable(tokenizer) -> bool:
+    """Whether ``cuts`` holds for a tokenizer: the common byte-level pattern, nothing before it, and no special token that a cut could part."""
+    spec = json.loads(tokenizer.to_str())
+    pre = spec.get("pre_tokenizer") or {}
+    tokens = [t["content"] for t in spec.get("added_tokens", [])]
+    return spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not any(c in t for t in tokens for c in " \n.,")
+
+
 class Encoder:
+    """Encodes texts piece by piece and remembers the ids of pieces; a piece is known by its bytes, which its hash only finds."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.cuttable = _cuttable(self.tokenizer)
         self._reset()
 
     def _reset(self) -> None:
         self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.begin, self.length, self.flat = np.zeros(1, np.int32), np.ones(1, np.int32), np.full(1, END, f"<u{self.width}")
-
-    def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        self.begin, self.length, self.flat = np.zeros(1, np.int64), np.ones(1, np.int32), np.full(1, END, f"<u{self.width}")
+        # Slot 0 is the end id, without bytes.
+        self.text, self.lanes = np.zeros(0, np.uint8), T.lanes(np.zeros(0, np.uint8))
+        self.text_at, self.text_size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _add(self, pieces: list[bytes], keys: np.ndarray | None = None) -> np.ndarray:
+        """Slots of new pieces; those with keys are found again."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
         length = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), self.flat.dtype, int(length.sum()))
         slot = np.arange(len(self.begin), len(self.begin) + len(ids), dtype=np.int32)
-        self.begin = np.concatenate([self.begin, (len(self.flat) + np.cumsum(length) - length).astype(np.int32)])
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
         self.flat = np.concatenate([self.flat, flat])
-        keys, slot = np.concatenate([self.keys, keys]), np.concatenate([self.slot, slot])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.slot = keys[order], slot[order]
+        self.text_at = np.concatenate([self.text_at, len(self.text) + np.cumsum(size) - size])
+        self.text_size = np.concatenate([self.text_size, size])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(pieces), np.uint8)])
+        self.lanes = T.lanes(self.text)
+        if keys is not None:
+            keys, known = np.concatenate([self.keys, keys]), np.concatenate([self.slot, slot])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.slot = keys[order], known[order]
+        return slot
 
     def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with its end id, and the offsets of the texts in them."""
         n = len(off) - 1
-        start = cuts(raw, off)
+        start = cuts(raw, off) if self.cuttable else np.unique(off[:-1][np.diff(off) > 0])
         words = T.Words.__new__(T.Words)
         words.raw, words.start, words.end = raw, start, np.append(start[1:], len(raw)) if len(start) else start
         first = np.searchsorted(start, off)
@@ -128,12 +151,19 @@ class Encoder:
         if not known.all():
             data = raw.tobytes()
             new = np.flatnonzero(~known)
-            self._add(u[new], [data[a:b].decode() for a, b in zip(start[at[new]].tolist(), words.end[at[new]].tolist(), strict=True)])
+            self._add([data[a:b] for a, b in zip(start[at[new]].tolist(), words.end[at[new]].tolist(), strict=True)], u[new])
         slots = self.slot[np.searchsorted(self.keys, u)][inverse] if len(u) else np.zeros(0, np.int64)
-        slots = np.insert(slots, first[1:], 0)  # slot 0 is the end id
+        size = words.end - words.start
+        same = size == self.text_size[slots]
+        same[same] = T.same_bytes(raw, start[same], self.text, self.text_at[slots[same]], size[same], self.lanes)
+        if not same.all():
+            # Other bytes under the same hash: encoded by themselves.
+            other = np.flatnonzero(~same)
+            slots[other] = self._add([raw[start[i] : words.end[i]].tobytes() for i in other.tolist()])
+        slots = np.insert(slots, first[1:], 0)
         length = self.length[slots]
         total = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[T.ragged(self.begin[slots].astype(np.int64), length)]
+        ids = self.flat[T.ragged(self.begin[slots], length)]
         return ids, total[first + np.arange(n + 1)]
 
 
@@ -144,11 +174,10 @@ def encoder_of(path: str) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
-    """From at most ``SAMPLE_DOCS`` documents of up to ``SAMPLE_CHARS`` characters, chosen by a hash of the id."""
-    n = docs.count()
-    bar = min(1_000_000, int(1_000_000 * SAMPLE_DOCS / max(n, 1)) + 1)
-    chosen = docs.where((F.pmod(F.xxhash64(F.col("doc_id"), F.lit("dictionary")), F.lit(1_000_000)) < bar) & (F.length("text") <= SAMPLE_CHARS))
-    text = chosen.select("doc_id", "text").limit(2 * SAMPLE_DOCS).toArrow().sort_by("doc_id")["text"].combine_chunks()
+    """From ``SAMPLE_DOCS`` documents of up to ``SAMPLE_CHARS`` characters, the first by a hash of id and text."""
+    short = docs.where(F.length("text") <= SAMPLE_CHARS).select("text", F.xxhash64("doc_id", "text", F.lit("dictionary")).alias("drawn"))
+    # Each task keeps its first ones, so no more than that many a task are merged.
+    text = short.orderBy("drawn", "text").limit(SAMPLE_DOCS).toArrow()["text"].combine_chunks()
     encoder, samples = Encoder(path), []
     for _, _, raw, off in T.pieces(text):
         ids, at = encoder(raw, off)
@@ -197,7 +226,8 @@ def write(docs: DataFrame, where: str, path: str | None = None) -> bytes:
     """Writes doc_id, text as segments into ``where``; returns the dictionary (also stored there).
 
     Null text: the end id alone.  Null doc_id: marked, sorted first.  Repeated
-    rows are written as often as they come, rows of one id in order of text.
+    rows are written as often as they come, rows of one id (or none) in order of a hash of the text, so that
+    they are dealt over tasks as well.  Ids are integers (others fail).
     An empty table gives a folder without segments.  Other columns are ignored.
     """
     path = path or default_tokenizer()
@@ -234,7 +264,8 @@ def write(docs: DataFrame, where: str, path: str | None = None) -> bytes:
         if held:
             yield flush()
 
-    ordered = docs.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    docs = docs.withColumn("salt", F.xxhash64("text"))
+    ordered = docs.repartitionByRange(shuffle_partitions(spark), "doc_id", "salt").sortWithinPartitions("doc_id", "salt", "text").select("doc_id", "text")
     ordered.mapInArrow(run, "file int, segment int, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{where}/segments")
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{where}/dictionary")
     return dictionary

@@ -13,28 +13,29 @@ Most windows of a toxic document are ordinary.  The toxic dictionary is
 therefore trained on those windows of toxic documents that occur in
 significantly more toxic than ordinary documents of the training rows.
 
-Fitting uses a bounded sample of the labelled rows (``max_docs`` of each
-class, chosen by a hash of the id, texts up to ``max_chars``); half of it
+Fitting uses a bounded sample of the labelled rows (about ``max_docs`` of each
+class, chosen by a hash of the id, whole texts of at most ``max_bytes`` a class) in one task; half of it
 trains the dictionaries, the other half the calibration.  Scoring covers all windows of all texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as T
-from .common import held_out, map_texts, table
+from .common import fit_in_a_task, held_out, map_texts, table
 
 LEVEL, PAD = 19, b" " * 12
 STEPS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0)
-ORDINARY_BYTES, TOXIC_BYTES, SAMPLES = 256 << 10, 64 << 10, 200_000
+ORDINARY_BYTES, TOXIC_BYTES, SAMPLES = 256 << 10, 64 << 10, 400_000
 Z_MIN = 4.0
 CACHE = 1_000_000
 CELLS = 32 * 64 * 16
-#: Bytes of text handled at once while fitting, on the driver.
+#: Bytes of text handled at once while fitting.
 FIT_PIECE = 512 << 10
 
 
@@ -138,7 +139,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
     return {"mean": mean, "scale": scale, "b": b}
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_chars: int = 1_000_000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_bytes: int = 64 << 20) -> dict:
     """Learns from rows of ``docs`` that ``labels`` marks and that aren't held out.
 
     Without an ordinary or a toxic document in the sample, the model gives every text the share of toxic labels.
@@ -147,20 +148,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_chars: int
     n = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = {k: min(1.0, max_docs / v) for k, v in n.items()}
     cut = F.when(F.col("toxic") == 1, F.lit(int(share.get(1, 1) * 1e6))).otherwise(F.lit(int(share.get(0, 1) * 1e6)))
-    chosen = marks.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1_000_000)) < cut)
+    drawn = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
+    chosen = marks.where(F.pmod(drawn, F.lit(1_000_000)) < cut)
     # At most about 2 * max_docs (id, label) pairs are broadcast.
-    rows = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
-    y = rows["toxic"].to_numpy().astype(float)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("drawn", drawn)
     total = sum(n.values())
     model = {"prior": n.get(1, 0) / total if total else 0.0}
+
+    def run(batches):
+        held, size = {0: [], 1: []}, {0: 0, 1: 0}
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if size[y] < max_bytes or not held[y]:
+                    held[y].append(text.as_py())
+                    size[y] += len(held[y][-1].encode())
+        y = np.repeat([0.0, 1.0], [len(held[0]), len(held[1])])
+        return _fit(pa.array(held[0] + held[1], pa.large_string()), y, share)
+
+    return model | (fit_in_a_task(rows.select("toxic", "text", "drawn", "doc_id"), ["drawn", "doc_id", "toxic", "text"], run) or {})
+
+
+def _fit(text, y: np.ndarray, share: dict) -> dict:
     if min((y == 1).sum(), (y == 0).sum()) < 4:
-        return model
+        return {}
     half = np.zeros(len(y), bool)
     for k in (0, 1):
         half[np.flatnonzero(y == k)[::2]] = True
-    text = rows["text"].combine_chunks()
     toxic, ordinary = _samples(text, y, half)
-    model |= {"ordinary": _dictionary(ordinary, ORDINARY_BYTES), "toxic": _dictionary(toxic, TOXIC_BYTES)}
+    model = {"ordinary": _dictionary(ordinary, ORDINARY_BYTES), "toxic": _dictionary(toxic, TOXIC_BYTES)}
+    del toxic, ordinary
     distance = Distance(model["ordinary"], model["toxic"])
     model["weights"] = _cell_weights(distance, text, y, ~half)
     x = np.concatenate([features(distance, model["weights"], raw, off) for _, _, raw, off in T.pieces(text, FIT_PIECE)])[~half]
