@@ -30,7 +30,7 @@ from .common import map_texts, table
 N = 13
 END, SEPARATOR, WORDS = 0, 1, 2
 SAMPLE = 8
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def _split(raw: np.ndarray, off: np.ndarray) -> T.Words:
@@ -41,7 +41,7 @@ class Phrases:
     """The distinct windows of a block of benchmark items, as rows of symbols."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = N):
-        self.ids = [str(i) for i, _ in items]
+        self.ids = [None if i is None else str(i) for i, _ in items]
         text = pa.array([t or "" for _, t in items], pa.string())
         rows, owner, keys = [], [], []
         for lo, _, raw, off in T.pieces(text, 1 << 62):
@@ -217,7 +217,7 @@ def _pass(docs: DataFrame, phrases: Phrases) -> DataFrame:
             items: list[set] = [set() for _ in range(n)]
             for f, q in zip(first.tolist(), phrase.tolist(), strict=True):
                 items[int(text[f])].update(p.items[q])
-            found = [sorted(p.ids[i] for i in x) for x in items]
+            found = [sorted({p.ids[i] for i in x} - {None}) for x in items]
             hit = np.concatenate([[0], np.cumsum(covered)])
             return [words.counts(), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(found, pa.list_(pa.string())), hit[words.first[1:]] - hit[words.first[:-1]]]
 
@@ -227,14 +227,15 @@ def _pass(docs: DataFrame, phrases: Phrases) -> DataFrame:
 
 
 def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
-    rows, size = [], 0
+    rows, size, some = [], 0, False
     for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         rows.append((r["item_id"], r["text"]))
         size += len(r["text"])
         if size >= block_chars:
             yield Phrases(rows)
-            rows, size = [], 0
-    yield Phrases(rows)
+            rows, size, some = [], 0, True
+    if rows or not some:
+        yield Phrases(rows)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -243,19 +244,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
     A window is 13 consecutive words of an item, or a whole item of fewer
     words; an item without words has none.  ``contaminated``: at least a 20th
     of the words are hit.  A null or empty text has no words and isn't
-    contaminated.  A null item_id counts as the id "None".  Items that share an
+    contaminated.  An item without an id hits words but is not listed.  Items that share an
     id count once.  Other columns pass through, those with the names
-    of added ones are replaced; repeated rows stay.
+    of added ones, or beginning with quill__, are replaced; repeated rows stay.
     """
+    docs = docs.select(*(c for c in docs.columns if not c.lower().startswith("quill__")))
     out = None
     for phrases in blocks(benchmark, block_chars):
         if out is None:
             out = _pass(docs, phrases)
             continue
-        out = out.withColumnsRenamed({c: f"_{c}" for c in ("n_words", "spans", "items", "n_hit")})
-        both = F.concat("_spans", "spans")
+        before = {c: f"quill__{c}" for c in ("n_words", "spans", "items", "n_hit")}
+        out = _pass(out.withColumnsRenamed(before), phrases)
+        both = F.concat("quill__spans", "spans")
         hit = F.array_distinct(F.flatten(F.transform(both, lambda s: F.sequence(s["begin"], s["end"] - 1))))
-        out = _pass(out, phrases).withColumn("spans", F.array_sort(F.array_distinct(both))).withColumn("items", F.concat("_items", "items")).withColumn("n_hit", F.size(hit).cast("long")).drop("_n_words", "_spans", "_items", "_n_hit")
+        out = out.withColumns({"spans": F.array_sort(F.array_distinct(both)), "items": F.concat("quill__items", "items"), "n_hit": F.size(hit).cast("long")}).drop(*before.values())
     out = out.withColumn("items", F.array_sort(F.array_distinct("items")))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

@@ -3,8 +3,8 @@
 Every element of a page is a node with two states, main text or not.  A node's
 potential is how likely each state shows its tag, the words of its
 class, id and role, the amount of its own text and its share of link text.  The
-potential between parent and child is how likely the child's state follows
-the parent's, by the kind of the child's tag.  Sum-product messages go from the leaves
+potential between parent and child is how likely a child of its kind of tag and of its
+state is, given the parent's state.  Sum-product messages go from the leaves
 up and from the root down; they are exact on a tree and give each node's
 marginal.  All potentials are counted on labelled pages (``html_pages``), once
 for each Python process, from a fixed seed.
@@ -30,13 +30,15 @@ from .html_pages import pages
 
 TRAINING_PAGES = 1500
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'<]|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PART = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup and never text of the page.
 RAW = frozenset("script style noscript template iframe svg object textarea".split())
+#: Controls, whose text is never that of the page.
+CONTROLS = frozenset("select button datalist optgroup option".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt s samp small span strike strong sub sup time tt u var".split())
 #: A start tag of these closes an open paragraph.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -52,10 +54,13 @@ class Node:
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
-    """Elements in page order, and runs of text: (element of the block, pieces)."""
+    """Elements in page order, and runs of text: (element of the block, pieces).  Time grows with the length of the page, whatever is in it."""
     nodes, blocks = [Node("#root", -1, "")], []
     stack, at, end = [0], 0, len(html)
     block, pieces, links = 0, [], 0
+    # Depths of open elements: of the blocks, of those that bound or close list items and cells, and how many there are of each tag.
+    outer, marks, opened = [0], [], defaultdict(int)
+    last_end = html.rfind(">")
 
     def flush():
         nonlocal pieces
@@ -67,11 +72,15 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
         nonlocal block, links
         while len(stack) > depth:
             n = nodes[stack.pop()]
+            opened[n.tag] -= 1
+            if marks and marks[-1] == len(stack):
+                marks.pop()
             if n.tag == "a":
                 links -= 1
             elif n.tag not in INLINE:
                 flush()
-                block = next(i for i in reversed(stack) if nodes[i].tag not in INLINE)
+                outer.pop()
+                block = stack[outer[-1]]
 
     def text(s: str):
         if not s or s.isspace() and not pieces:
@@ -83,22 +92,27 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
             nodes[block].links += size
 
     while at < end:
-        m = TOKEN.search(html, at)
+        # Behind the last > only a comment can begin.
+        m = TOKEN.search(html, at, last_end + 1) if at <= last_end else None
         if not m:
-            text(html[at:])
+            stop = html.find("<!--", at)
+            text(html[at : stop if stop >= 0 else end])
             break
         if m.start() > at:
             text(html[at : m.start()])
         at = m.end()
+        if html.startswith("<!--", m.start()) and not m[0].endswith("-->"):
+            break
         name = m[2] or m[5]
         if not name:
             continue
         name = name.lower()
         if m[1] or m[4]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == name:
-                    close(depth)
-                    break
+            if opened[name] > 0:
+                depth = len(stack) - 1
+                while nodes[stack[depth]].tag != name:
+                    depth -= 1
+                close(depth)
             continue
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
@@ -110,20 +124,15 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
             if name in ("br", "hr"):
                 text(" ")
             continue
-        if name in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                tag = nodes[stack[depth]].tag
-                if tag == "p":
-                    close(depth)
-                    break
-                if tag not in INLINE:
-                    break
+        # All elements above the innermost block are inline.
+        if name in CLOSES_P and nodes[block].tag == "p":
+            close(outer[-1])
         if name in CLOSES_OWN:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in reversed(list(marks[-4:])):
                 tag = nodes[stack[depth]].tag
                 if tag in CLOSES_OWN[name]:
                     close(depth)
-                    if tag != "td" and tag != "th" or name != "tr":
+                    if tag not in ("td", "th") or name != "tr":
                         break
                 elif tag in SCOPE:
                     break
@@ -133,13 +142,19 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
         elif name not in INLINE:
             flush()
             block = len(nodes) - 1
+            outer.append(len(stack))
+        if name in SCOPE or name in CLOSES_OWN:
+            marks.append(len(stack))
+        opened[name] += 1
         stack.append(len(nodes) - 1)
     flush()
     return nodes, blocks
 
 
 def observations(n: Node) -> list[str]:
-    out = [f"t:{n.tag}", f"n:{min(int(math.log2(n.own + 1)), 9)}"]
+    out = [f"n:{min(int(math.log2(n.own + 1)), 9)}"]
+    if _kind(n.tag) in ("inline", "block"):
+        out.append(f"t:{n.tag}")
     if n.own:
         out.append(f"l:{int(3.99 * min(1.0, n.links / n.own))}")
     if n.attrs:
@@ -168,7 +183,9 @@ class Model:
                 moves[_kind(n.tag)][labels[n.parent - 1] if n.parent else 1][label] += 1
         #: For each observation, its likelihood in main text over that elsewhere.
         self.ratio = {o: (s[1] + 0.2) / (seen[o[0], 1] + 20) * (seen[o[0], 0] + 20) / (s[0] + 0.2) for o, s in states.items()}
-        self.moves = {k: [[x / sum(row) for x in row] for row in m] for k, m in moves.items()}
+        #: P(kind and state of a child | state of its parent), up to a factor for each kind.
+        children = [sum(sum(m[state]) for m in moves.values()) for state in (0, 1)]
+        self.moves = {k: [[x / n for x in row] for row, n in zip(m, children, strict=True)] for k, m in moves.items()}
         self.other = self.moves["block"]
 
     def marginals(self, nodes: list[Node]) -> list[float]:
@@ -205,6 +222,9 @@ class Model:
     def extract(self, html: str) -> str:
         nodes, blocks = parse(html)
         p = self.marginals(nodes)
+        for i, n in enumerate(nodes):
+            if n.tag in CONTROLS or n.parent >= 0 and p[n.parent] < 0:
+                p[i] = -1.0
         texts = (" ".join("".join(pieces).split()) for i, pieces in blocks if p[i] >= 0.5)
         return "\n".join(t for t in texts if t)
 

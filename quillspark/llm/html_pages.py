@@ -73,6 +73,9 @@ class _Maker:
         n = r.randint(1, 8)
         if kind == "nav":
             return (self.some("nav", "nav", "div", "ul"), self.attrs(names) if r.random() < 0.6 else {}, [self.links(n)], False)
+        if kind == "comments" and r.random() < 0.3:
+            # A plain list behind the text.
+            return (self.some("ol", "ul", "section", "div"), {}, [(self.some("li", "li", "div"), {}, [("p", {}, self.inline(False, r.randint(1, 60)), False)], False) for _ in range(n)], False)
         if kind == "comments":
             one = lambda: ("div", {"class": "comment"}, [("p", {}, self.inline(False, r.randint(2, 60)), False)], False)
             return (self.some("div", "section", "aside"), self.attrs(names), [("h3", {}, [self.words(2)], False), *(one() for _ in range(n))], False)
@@ -90,15 +93,15 @@ class _Maker:
             blocks.append(self.body_block())
             if r.random() < 0.04:
                 blocks.append(self.junk(self.some("ad", "share", "notice", "aside")))
-        if r.random() < 0.1:
+        if r.random() < 0.2:
             blocks.append(self.junk("comments"))
         k = r.random()
         if k < 0.5:
             main = ("article", self.attrs(CONTENT) if r.random() < 0.4 else {}, blocks, True)
-        elif k < 0.65:
+        elif k < 0.7:
             main = ("main", {}, blocks, True)
         elif k < 0.75:
-            main = ("main", {}, [("article", {}, blocks, True)], True)
+            main = ("main", {}, [("article", {}, blocks, True)], False)
         elif k < 0.95:
             main = (self.some("div", "section"), self.attrs(CONTENT), blocks, True)
         else:
@@ -108,9 +111,12 @@ class _Maker:
         middle = [main] if main else blocks
         body = [*before, *middle, *after]
         if r.random() < 0.3:
-            body = [("div", {"class": self.some("wrapper", "container", "page", "layout")}, body, True)]
+            body = [("div", {"class": self.some("wrapper", "container", "page", "layout")}, body, main is None)]
+        if r.random() < 0.1:
+            body = [("table", {}, [("tr", {}, [("td", {}, body[:1], False), ("td", {}, body[1:], main is None)], False)], False)]
         head = ("head", {}, [("title", {}, [self.words(r.randint(2, 10))], False)], False)
-        return ("html", {}, [head, ("body", {}, body, True)], True)
+        # What holds an element of main text isn't main text itself.
+        return ("html", {}, [head, ("body", {}, body, main is None)], False)
 
 
 def pages(n: int, seed: int = 1) -> list[tuple]:

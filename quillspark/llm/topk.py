@@ -9,6 +9,8 @@ far plus the largest possible rest (the product of the norms of the dimensions
 still to come) stays below the query's k-th best score are dropped, and the
 others compacted.  Bounds err upwards, and candidates that reach the threshold
 exactly stay, so ties are decided by the smaller id and the result is exact.
+Scores under 2**53 are summed as floats, larger ones as 64-bit integers, and those
+of components that are too large for that as integers of any length.
 
 Queries that meet all rows in blocks are the feature here; lanes and blocks
 bound what one task holds.  Each lane returns k rows for a query, and a
@@ -30,10 +32,28 @@ DIMS = 16
 QUERY_BLOCK, CANDIDATE_BLOCK, LANE_BLOCKS = 16_384, 8_192, 16
 
 
-def quantized(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding -> vec_id, v: floor(64 * x) of each component.  Vectors that are null or hold a null or non-finite component, and null ids, are left out."""
+def usable(vectors: DataFrame) -> DataFrame:
+    """vec_id, embedding -> vec_id, v: the components as doubles.  Vectors that are null or hold a null or non-finite component, and null ids, are left out."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 64)).alias("v"))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+#: Components from here on are integers already, so that 64 * x is exact.
+WHOLE = 2.0**52
+
+
+def floors(x: np.ndarray) -> np.ndarray:
+    """floor(64 * x) as doubles; beyond ``WHOLE`` it may round or overflow, see ``exact_floors``."""
+    with np.errstate(over="ignore"):
+        return np.floor(64 * x)
+
+
+def exact_floors(x: np.ndarray) -> np.ndarray:
+    """floor(64 * x) as Python integers."""
+    out = np.empty(x.shape, object)
+    for at, value in np.ndenumerate(x):
+        out[at] = 64 * int(value) if abs(value) >= WHOLE else math.floor(64 * float(value))
+    return out
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -46,13 +66,13 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
             ids = np.concatenate([h[0] for h in held])
             dims = max(h[1].shape[1] for h in held)
             values = np.concatenate([np.pad(h[1], ((0, 0), (0, dims - h[1].shape[1]))) for h in held])
-            return pa.RecordBatch.from_pydict({"ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "dims": pa.array([dims], pa.int32()), "data": pa.array([np.ascontiguousarray(values.T).astype("<i8").tobytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "dims": pa.array([dims], pa.int32()), "data": pa.array([np.ascontiguousarray(values.T).astype("<f8").tobytes()], pa.binary())})
 
         for batch in batches:
             ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             length = np.asarray(column.value_lengths())
             flat, width = column.flatten().to_numpy(zero_copy_only=False), int(length.max(initial=0))
-            values = np.zeros((len(ids), width), np.int64)
+            values = np.zeros((len(ids), width))
             values[np.arange(width) < length[:, None]] = flat
             for lo in range(0, len(ids), size):
                 if n and n + len(ids[lo : lo + size]) > size:
@@ -68,7 +88,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
 
 def _matrix(ids: bytes, dims: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, "<i8")
-    return i, np.frombuffer(data, "<i8").reshape(dims, len(i))
+    return i, np.frombuffer(data, "<f8").reshape(dims, len(i))
 
 
 class Search:
@@ -81,18 +101,37 @@ class Search:
 
     def add(self, ids: np.ndarray, values: np.ndarray) -> None:
         dims = max(len(values), len(self.values))
-        q, c = (np.pad(x, ((0, dims - len(x)), (0, 0))) for x in (self.values, values))
-        most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dims, 1)
-        if most >= 2**63:
-            raise OverflowError("scores may not fit a long")
-        exact = most < 2**53
-        q, c = (q.astype(np.float64), c.astype(np.float64)) if exact else (q, c)
+        x, y = (np.pad(v, ((0, dims - len(v)), (0, 0))) for v in (self.values, values))
+        q, c = floors(x), floors(y)
+        most_q, most_c = (np.abs(v).max(0, initial=0) * max(dims, 1) ** 0.5 for v in (q, c))
+        # Queries or candidates so large that a sum of products might not fit 64 bits.
+        big_q, big_c = most_q >= 2.0**31, most_c >= 2.0**31
+        q, small = np.where(big_q, 0.0, q), np.flatnonzero(~big_c)
+        if len(small):
+            part = c[:, small] if big_c.any() else c
+            wide = float(most_q[~big_q].max(initial=0)) * float(most_c[small].max(initial=0)) >= 2.0**53
+            self._add(np.flatnonzero(~big_q), q.astype(np.int64) if wide else q, ids[small], part.astype(np.int64) if wide else part)
+        if big_q.any() or big_c.any():
+            self._add_exactly(np.flatnonzero(big_q), x, ids, y)
+            self._add_exactly(np.flatnonzero(~big_q), x, ids[big_c], y[:, big_c])
+
+    def _add_exactly(self, queries: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
+        """Python integers; a score beyond a long becomes the nearest long."""
+        if not len(queries) or not len(ids):
+            return
+        c = exact_floors(y)
+        for i in queries.tolist():
+            other = ids != self.ids[i]
+            score = exact_floors(x[:, i]) @ c[:, other]
+            self._keep(i, np.array([max(-(2**63), min(2**63 - 1, s)) for s in score], np.int64), ids[other])
+
+    def _add(self, queries: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray) -> None:
         rest_q, rest_c = _rests(q), _rests(c)
-        for lo in range(0, len(self.ids), 256):
-            hi = min(lo + 256, len(self.ids))
-            head = q[:DIMS, lo:hi].T @ c[:DIMS]
-            for i in range(lo, hi):
-                self._one(i, head[i - lo], ids, q[:, i], c, rest_q[:, i], rest_c)
+        for lo in range(0, len(queries), 256):
+            at = queries[lo : lo + 256]
+            head = q[:DIMS, at].T @ c[:DIMS]
+            for i, score in zip(at.tolist(), head, strict=True):
+                self._one(i, score, ids, q[:, i], c, rest_q[:, i], rest_c)
 
     def _one(self, i, score, ids, q, c, rest_q, rest_c) -> None:
         keep = np.flatnonzero(ids != self.ids[i])
@@ -107,8 +146,11 @@ class Search:
             if b * DIMS < len(q):
                 part = slice(b * DIMS, (b + 1) * DIMS)
                 score = score + q[part] @ (c[part] if len(keep) == c.shape[1] else c[part][:, keep])
+        self._keep(i, score.astype(np.int64), ids[keep])
+
+    def _keep(self, i: int, score: np.ndarray, found: np.ndarray) -> None:
         old_score, old_ids = self.best[i]
-        score, found = np.concatenate([old_score, score.astype(np.int64)]), np.concatenate([old_ids, ids[keep]])
+        score, found = np.concatenate([old_score, score]), np.concatenate([old_ids, found])
         if len(score) > self.k:
             least = np.partition(score, len(score) - self.k)[len(score) - self.k]
             score, found = score[score >= least], found[score >= least]
@@ -130,11 +172,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: i
 
     Ties go to the smaller id; all candidates are returned where there are
     fewer than k.  Vectors of unequal length compare as if filled up with zeros.
-    Repeated rows are candidates as often as they come; repeated query ids must not occur
-    (the first is used).  An empty side gives an empty result.  Vectors so large that a
-    score might not fit a long raise an error.
+    Repeated rows are candidates as often as they come; of queries that share an id
+    the least vector is used.  An empty side gives an empty result.  A score that does not fit a long
+    becomes the nearest long.  ``v`` holds finite doubles, of which floor(64 * x) is compared; other columns are ignored.
     """
-    queries = queries.dropDuplicates(["vec_id"])
+    queries, candidates = queries.groupBy("vec_id").agg(F.min("v").alias("v")), candidates.select("vec_id", "v")
     counts = [x.count() for x in (queries, candidates)]
     n_q = max(1, math.ceil(counts[0] / query_block))
     # As many lanes as memory asks for, or as there are cores to use.
@@ -174,7 +216,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: i
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    vectors = quantized(table(spark, sf_dir, "embeddings"))
+    vectors = usable(table(spark, sf_dir, "embeddings"))
     return top_k(vectors.where("vec_id % 20 = 0"), vectors)
 
 

@@ -1,9 +1,12 @@
 """Every operator with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -506,7 +509,7 @@ def test_decontaminate_against_brute_force(spark, block_chars):
     texts = [None, "", "w1", "W1 w2! ärger w1 éé Ärger w1 ÉÉ", LONG]
     for _ in range(40):
         texts.append(" ".join([*rng.choices(words, k=rng.randint(0, 30)), rng.choice(items)[1] or "zz", *rng.choices(words, k=rng.randint(0, 9))]))
-    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*texts, texts[6]])], "doc_id long, text string, Items string")
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*texts, texts[6]])], "doc_id long, text string, Items string").withColumns({c: F.lit(1) for c in ("_spans", "_items", "_n_words", "_n_hit")})
     bench = spark.createDataFrame(items, "item_id long, text string")
     for r in decontaminate.decontaminate(df, bench, block_chars).collect():
         n, hit, found = brute_hits(r["text"] if r["text"] != LONG else "x", items)
@@ -588,6 +591,46 @@ def test_html_messages_are_exact():
     assert got == pytest.approx((weight[:, 1] / weight.sum(1)).tolist(), rel=1e-6)
 
 
+@pytest.mark.parametrize("html", ["<a " * 350_000, "<div>" * 80_000 + "</span>" * 80_000, "<b>" * 50_000 + "<div></div>" * 50_000, "<li><ul>" + "<i>" * 50_000 + "<li></li>" * 50_000, "<" + "a" * 10**6 + ' "<b>', "<!-- " * 200_000, "<a<" * 300_000 + ">"])
+def test_html_parser_is_linear(html):
+    began = time.process_time()
+    html_extract.parse(html)
+    assert time.process_time() - began < 4
+
+
+#: Layouts that the training pages don't have: other names, other nesting.
+FOREIGN = [
+    '<body><div id="top"><a href="/">Home</a> <a href="/a">News</a></div><div class="storybody"><h1>{h}</h1><p>{a}</p><p>{b}</p><ul><li>{c}</li></ul></div><div class="rail"><h3>More</h3><ul><li><a href="#">x y</a></li><li><a href="#">z</a></li></ul></div><div id="base">All rights reserved</div></body>',
+    '<body><header><nav><a href="/">Start</a></nav></header><main><section><h2>{h}</h2><p>{a}</p><blockquote>{b}</blockquote><p>{c}</p></section></main><section class="feedback"><p>Great post, thanks.</p></section><footer><p>Contact us</p></footer></body>',
+    '<body><table><tr><td><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></td><td><article><h1>{h}</h1><p>{a}<br>{b}</p><pre>{c}</pre></article></td></tr></table><p><small>Imprint</small></p></body>',
+    '<body><div class="consent-banner"><p>We use cookies.</p><button>OK</button></div><article><h1>{h}</h1><p>{a}</p><div class="ad-slot"><a href="#">Buy this</a></div><p>{b}</p><select><option>One</option><option>Two</option></select><p>{c}</p></article><ol><li><p>First!</p></li><li><p>I do not agree with this at all.</p></li></ol></body>',
+    '<body><div class="shell"><div class="menu-bar"><a href="/">A</a><a href="/b">B</a></div><div class="article-text"><h1>{h}</h1><p>{a}</p><figure><figcaption>{b}</figcaption></figure><p>{c}</p></div><form action="/s"><label>Mail</label><input><p>Get our letter</p></form></div></body>',
+]
+
+
+def foreign_pages(n, seed=3):
+    rng = random.Random(seed)
+    some = lambda lo, hi: " ".join("".join(rng.choices("abdeghiklmnoprstu", k=rng.randint(2, 9))) for _ in range(rng.randint(lo, hi)))
+    for i in range(n):
+        yield FOREIGN[i % len(FOREIGN)], {"h": some(2, 9), "a": some(12, 90), "b": some(8, 60), "c": some(6, 50)}
+
+
+def html_accuracy(n=200):
+    """Share of wanted blocks that are extracted, and share of extracted blocks that are wanted."""
+    found = extracted = wanted = 0
+    for layout, parts in foreign_pages(n):
+        want = {x for v in parts.values() for x in [v]}
+        got = [y for x in html_extract.model().extract(layout.format(**parts)).split("\n") for y in ([parts["a"], parts["b"]] if x == f"{parts['a']} {parts['b']}" else [x])]
+        found, extracted, wanted = found + sum(x in want for x in got), extracted + len(got), wanted + len(want)
+    return found / wanted, found / max(extracted, 1)
+
+
+def test_html_on_foreign_layouts():
+    recall, precision = html_accuracy()
+    assert recall >= 0.9
+    assert precision >= 0.9
+
+
 def test_html_edges(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
@@ -614,13 +657,27 @@ def test_topk_against_brute_force(spark, n, dims, scale):
     vectors = [(i, (scale * (base[i % 5] + 0.3 * rng.normal(size=dims))).tolist() if i % 3 else (scale * base[0]).tolist()) for i in range(n)]
     vectors += [(None, [1.0] * dims), (n + 40, None), (n + 41, [float("nan")] + [0.0] * (dims - 1)), (n + 42, [None] * dims), (n + 60, [float("inf")] * dims)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(4)
-    v = topk.quantized(df)
+    v = topk.usable(df)
     got = topk.top_k(v.where("vec_id % 20 = 0"), v, query_block=7, candidate_block=16, lane_blocks=3)
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_top(vectors, 20)
 
 
+def test_topk_of_huge_components(spark):
+    """Any finite component counts; scores beyond a long become the nearest one."""
+    big = [(0, [1e30, 1.0]), (1, [1e30, -1.0]), (2, [-1e30, 2.0]), (3, [0.5, 0.25]), (4, [1e9, 3e9]), (5, [1e308, 0.0]), (6, [2.0**40, 1.5]), (20, [0.01, -7.3]), (40, [3e9, 1e9]), (60, [0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in big * 2], "vec_id long, embedding array<double>, score string")
+    vectors = topk.usable(df)
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(vectors.where("vec_id % 20 = 0"), vectors, k=9, candidate_block=4).collect()]
+    whole = {i: [math.floor(Fraction(64) * Fraction(x)) for x in v] for i, v in big}
+    want = []
+    for q in (0, 20, 40, 60):
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], whole[i], strict=True)))), i) for i in [*whole, *whole] if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:9])]
+    assert sorted(got) == want
+
+
 def test_topk_empty(spark):
-    v = topk.quantized(spark.createDataFrame([], "vec_id long, embedding array<float>"))
+    v = topk.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(v, v).count() == 0
 
 
