@@ -36,10 +36,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _temporary: ContextVar[list[str] | None] = ContextVar("temporary", default=None)
 
 
+#: Rows of a text table that one Arrow batch holds at most (some megabytes), in place of Spark's 10,000.
+BATCH_ROWS = 2000
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    before = spark.conf.get(BATCH_KEY)
+    spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again: the lineage is cut, and a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     if (paths := _temporary.get()) is not None:

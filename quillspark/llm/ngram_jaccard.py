@@ -27,7 +27,7 @@ by up to ``ALL_PAIRS`` classes gives all pairs; a larger one links all to
 one of them, and is kept.  After the components of the checked links are
 known, only kept keys that still hold several components are looked at again:
 pairs across components that pass the filter are checked, first the nearest
-one of each class, then more, and in the end all that are still across
+ones of each class, then all that are still across
 components.  So copies are not expanded into all pairs, yet no component
 misses a link.  The members of such a key are dealt over chunks of a few megabytes of
 sketches, and those outside its largest component meet every chunk, so no
@@ -54,7 +54,7 @@ K = 5
 SMALLEST = 4  # smaller sets link only with equal ones
 ALL_PAIRS = 8
 #: Pairs of a class that are checked at a time across components; the last round has no bound.
-NEAREST = (1, 16, None)
+NEAREST = (8, None)
 LEAVES = 1000
 IDS_BROADCAST = 500_000
 #: Join keys of a block; at most so many blocks, each of which may be passed in several turns.
