@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..lexicons import DIMENSIONS
-from .relational import unpivot_scores
+from .relational import ranked, union_all, unpivot_scores
 
 
 def _counts(won: Column, lost: Column) -> list[Column]:
@@ -170,5 +170,33 @@ def corpus_totals(docs: DataFrame, words: Column) -> DataFrame:
 
 def running_wins(judgments: DataFrame, every: int = 20) -> DataFrame:
     """Wins so far after every ``every`` judgments of an arm, in ``seq`` order."""
-    w = Window.partitionBy("config_b").orderBy("seq")
-    return judgments.withColumn("n", F.row_number().over(w)).withColumn("wins", F.sum((F.col("winner") == F.col("config_b")).cast("long")).over(w)).where(F.col("n") % every == 0).select(F.col("config_b").alias("config"), F.col("n").cast("long"), "wins")
+    won = (F.col("winner") == F.col("config_b")).cast("long")
+    rows = ranked(judgments.select("config_b", "winner", "seq"), "config_b", F.col("seq"), name="n", totals={"wins": won})
+    return rows.where(F.col("n") % every == 0).select(F.col("config_b").alias("config"), F.col("n").cast("long"), "wins")
+
+
+def overall_variance(frameworks: dict[str, DataFrame]) -> DataFrame:
+    """framework, n, variance of all summed scores, and whether it discriminates most (the first one on a tie); no rows unless every framework has scores."""
+    total = F.aggregate(F.map_values("scores"), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    parts = [rows.where(F.col("scores").isNotNull() & (F.size("scores") > 0)).agg(F.lit(i).alias("ord"), F.lit(name).alias("framework"), F.count("*").alias("n"), F.var_pop(total).alias("variance")) for i, (name, rows) in enumerate(frameworks.items())]
+    rows = union_all(parts)
+    best = rows.agg(F.max(F.struct("variance", -F.col("ord"))).alias("b"), F.min("n").alias("least"))
+    # One row for each framework.
+    return rows.crossJoin(F.broadcast(best)).where("least > 0").select("framework", "n", "variance", (F.col("ord") == -F.col("b.col2")).alias("most_discriminating"))
+
+
+def pair_wins(judgments: DataFrame) -> DataFrame:
+    """Wins of each side and ties of every unordered pair of arms."""
+    first, second = F.least("config_a", "config_b"), F.greatest("config_a", "config_b")
+    w = F.col("winner")
+    return judgments.groupBy(first.alias("first"), second.alias("second")).agg(F.count_if(w == first).alias("first_wins"), F.count_if(w == second).alias("second_wins"), F.count_if(w == "TIE").alias("ties"))
+
+
+def mean_or_zero(value: str) -> Column:
+    return F.coalesce(F.avg(value), F.lit(0.0))
+
+
+def category_counts(docs: DataFrame, categories: list[str], column: str = "category") -> DataFrame:
+    """Documents of each category, those without any (0) and "unclassified" included."""
+    every = docs.sparkSession.createDataFrame([(c, i) for i, c in enumerate([*categories, "unclassified"])], f"{column} string, ord int")
+    return every.join(docs.groupBy(column).agg(F.count("*").alias("docs")), column, "left").withColumn("docs", F.coalesce("docs", F.lit(0)))

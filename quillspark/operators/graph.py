@@ -6,7 +6,7 @@ The two kinds of extraction differ only in the names of their fields.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import upsert
@@ -31,6 +31,7 @@ SECTIONS = {
         "general": [("properties", "Attributes"), ("actions", "Capabilities"), ("differentiators", "Differentiators"), ("relations", "Relationships"), ("some_gaps", "Notable Gaps")],
     },
 }
+# What stands before a retrieved context.
 HEADERS = {
     "seven": "## Reference Knowledge (7-category organized)\n\nThe following knowledge was extracted and organized using a 7-category ontology (entity, properties, actions, categories, differentiators, relationships, absences). Use it to inform your answer.\n\n",
     "generic": "## Reference Knowledge (Entity-organized)\n\nThe following knowledge was extracted and organized from source documents. Use it to inform your answer.\n\n",
@@ -83,8 +84,8 @@ def retrieve(found: DataFrame, extractions: DataFrame, kind: str = "seven") -> D
     g = gap_index(found, extractions, kind)
     prefix = F.when(F.col("entity") == "_global", "").otherwise(F.concat(F.lit("["), F.col("entity"), F.lit("] ")))
     parts.append(g.groupBy("graph").agg(_joined("seq", "i", line=F.concat(F.lit("- "), prefix, F.col("gap"))).alias("body")).withColumn("facet", F.lit("gaps")))
-    five = F.slice(F.array_sort(F.collect_list(F.struct("seq", "i", "gap"))), 1, 5)
-    parts.append(g.groupBy("graph").agg(F.array_join(F.transform(five, lambda x: F.concat(F.lit("- "), x["gap"])), "\n").alias("body")).withColumn("facet", F.lit("some_gaps")))
+    first = g.withColumn("r", F.row_number().over(Window.partitionBy("graph").orderBy("seq", "i"))).where("r <= 5")
+    parts.append(first.groupBy("graph").agg(_joined("r", line=F.concat(F.lit("- "), F.col("gap"))).alias("body")).withColumn("facet", F.lit("some_gaps")))
     bodies = parts[0]
     for p in parts[1:]:
         bodies = bodies.unionByName(p)

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+
 
 def grid(questions: DataFrame, arms: DataFrame) -> DataFrame:
     """Every question with every arm; arms are a handful of rows by nature (a registry)."""
@@ -74,8 +75,10 @@ def cumulative_gates(rows: DataFrame, gates: int = 5, default_stage: int = 0) ->
 
 
 def dedup_first(rows: DataFrame, *parts: Column) -> DataFrame:
-    """First row by ``seq`` of each hash of the joined parts."""
-    return first_of(rows.withColumn("_h", F.md5(F.concat_ws("|", *parts))), ["_h"]).drop("_h")
+    """First row by ``seq`` of each hash of the joined parts; combines before the shuffle."""
+    rest = rows.columns
+    first = rows.groupBy(F.md5(F.concat_ws("|", *parts)).alias("_h")).agg(F.min_by(F.struct(*rest), "seq").alias("_r"))
+    return first.select(*(F.col("_r")[c].alias(c) for c in rest))
 
 
 def difficulty() -> Column:
@@ -83,15 +86,11 @@ def difficulty() -> Column:
 
 
 def balance(rows: DataFrame, group: str = "stage", k: int | None = None, default: int = 3) -> DataFrame:
-    """The k rows of largest difference of each group; k defaults to the size of the smallest group.
-
-    k is found first, so that the window carries a literal limit.
-    """
+    """The k rows of largest difference of each group; k defaults to the size of the smallest group.  ``pos`` counts from 1."""
     rows = rows.withColumn(group, F.coalesce(group, F.lit(default)))
     if k is None:
         k = rows.groupBy(group).count().agg(F.min("count")).first()[0] or 0
-    w = Window.partitionBy(group).orderBy(difficulty().desc(), "seq")
-    return rows.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+    return ranked(rows, group, difficulty().desc(), F.col("seq"), name="pos").where(F.col("pos") <= k).withColumn("pos", F.col("pos").cast("int"))
 
 
 def hash_order(seed: str, *key: Column) -> Column:
@@ -99,21 +98,41 @@ def hash_order(seed: str, *key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *(k.cast("string") for k in key)))
 
 
-def numbered(rows: DataFrame, *order: Column, name: str = "pos", digits: str | None = None) -> DataFrame:
-    """Position of each row (from 0) in a global order.
+def numbered(rows: DataFrame, *order: Column, name: str = "pos", totals: dict[str, Column] | None = None) -> DataFrame:
+    """Position of each row (from 0) in a global order, and running ``totals`` up to and with it.
 
-    Rows are range-partitioned in that order, and the number of rows in earlier
-    partitions is added to the position inside one; no task sees all rows.  The
-    partitions are persisted, as both uses must see the same boundaries.
+    Rows are range-partitioned in that order, and what earlier partitions hold is added
+    to what is counted inside one; no task sees all rows.  The partitions are written to
+    the shared folder, as both uses must see the same boundaries.
     """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    inside = parts.withColumn("_inside", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_rows"))
-    before = sizes.select("_part", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    totals = totals or {}
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = {f"_v_{k}": v for k, v in totals.items()}
+    parts = rows.withColumns(values).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_line": F.monotonically_increasing_id()})
+    parts = stored(parts, "numbered")
+    inside = Window.partitionBy("_part").orderBy("_line")
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_rows"), *(F.sum(v).alias(f"{v}_sum") for v in values))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_rows", *(f"{v}_sum" for v in values))))
+    out = parts.withColumn("_inside", F.row_number().over(inside)).withColumns({f"{v}_run": F.sum(v).over(inside) for v in values}) if values else parts.withColumn("_inside", F.row_number().over(inside))
     # One row for each partition is broadcast.
-    return inside.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("long")).drop("_part", "_inside", "_before")
+    out = out.join(F.broadcast(before), "_part").withColumn(name, (F.col("_rows_before") + F.col("_inside") - 1).cast("long"))
+    out = out.withColumns({k: F.col(f"_v_{k}_sum_before") + F.col(f"_v_{k}_run") for k in totals}) if totals else out
+    return out.select(*(c for c in rows.columns if c not in (name, *totals)), name, *totals)
+
+
+def ranked(rows: DataFrame, group: str, *order: Column, name: str = "rank", totals: dict[str, Column] | None = None) -> DataFrame:
+    """Rank of each row (from 1) in its group, and running totals there; a group may span many tasks."""
+    totals = totals or {}
+    out = numbered(rows, F.col(group), *order, name="_at", totals=totals)
+    starts = out.groupBy(F.col(group).alias("_g")).agg(F.min("_at").alias("_first"))
+    if totals:
+        first = out.alias("o").join(starts, F.col("_at") == F.col("_first")).select(F.col("_g"), "_first", *(F.col(k).alias(f"_{k}_with") for k in totals), *(v.alias(f"_{k}_own") for k, v in totals.items()))
+        starts = first
+    # One row for each group.
+    out = out.join(F.broadcast(starts), F.col(group).eqNullSafe(F.col("_g"))).withColumn(name, F.col("_at") - F.col("_first") + 1)
+    out = out.withColumns({k: F.col(k) - F.col(f"_{k}_with") + F.col(f"_{k}_own") for k in totals}) if totals else out
+    return out.select(*(c for c in rows.columns if c not in (name, *totals)), name, *totals)
 
 
 def systematic_split(rows: DataFrame, *order: Column) -> DataFrame:
@@ -125,15 +144,20 @@ def systematic_split(rows: DataFrame, *order: Column) -> DataFrame:
 
 def group_split(rows: DataFrame, key: str, ratio: float, seed: str) -> DataFrame:
     """All rows of a key on one side; max(1, int(keys * ratio)) keys, in hash order, are test."""
-    keys = rows.select(key).distinct()
+    keys = stored(rows.select(key).distinct(), "keys")
     n = max(1, int(keys.count() * ratio))
-    test = keys.orderBy(hash_order(seed, F.col(key)), key).limit(n).withColumn("_t", F.lit(True))
+    test = numbered(keys, hash_order(seed, F.col(key)), F.col(key)).where(F.col("pos") < n).select(key, F.lit(True).alias("_t"))
     return rows.join(test, key, "left").withColumn("split", F.when(F.col("_t"), "test").otherwise("train")).drop("_t")
 
 
 def sample(rows: DataFrame, n: int, seed: str, key: str = "seq") -> DataFrame:
-    """Exactly n rows, reproducible, without replacement."""
-    return rows.orderBy(hash_order(seed, F.col(key)), key).limit(n)
+    """Exactly n rows (or all), reproducible, without replacement."""
+    return numbered(rows, hash_order(seed, F.col(key)), F.col(key), name="_pos").where(F.col("_pos") < n).drop("_pos")
+
+
+def holdout(rows: DataFrame, n: int, seed: str, key: str = "seq") -> DataFrame:
+    """split: n rows in hash order are held out, the rest is for training."""
+    return numbered(rows, hash_order(seed, F.col(key)), F.col(key), name="_pos").withColumn("split", F.when(F.col("_pos") < n, "holdout").otherwise("train")).drop("_pos")
 
 
 def stratified_sample(rows: DataFrame, group: str, n: int, seed: str) -> DataFrame:
@@ -141,11 +165,10 @@ def stratified_sample(rows: DataFrame, group: str, n: int, seed: str) -> DataFra
     groups = rows.select(group).distinct().count()
     share = n // max(groups, 1)
     h = hash_order(seed, F.col("seq"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(h, "seq")))
-    own = ranked.where(F.col("_r") <= share).select("seq")
-    rest = ranked.where(F.col("_r") > share).orderBy(h, "seq").limit(max(0, n - own.count())).select("seq")
-    chosen = own.unionByName(rest).withColumn("_c", F.lit(True))
-    return rows.join(chosen, "seq", "left").withColumn("chosen", F.coalesce("_c", F.lit(False))).drop("_c")
+    own = stored(ranked(rows, group, h, F.col("seq"), name="_r").withColumn("_own", F.col("_r") <= share), "strata")
+    left = max(0, n - own.where("_own").count())
+    at = numbered(own, F.col("_own"), h, F.col("seq"), name="_pos")
+    return at.withColumn("chosen", F.col("_own") | (F.col("_pos") < left)).drop("_r", "_own", "_pos")
 
 
 def curriculum(rows: DataFrame, mode: str, default_stage: int = 3, seed: str = "order") -> DataFrame:
@@ -184,13 +207,57 @@ def unpivot_scores(judgments: DataFrame, dims: list[str], a: str = "scores_a", b
 
 
 def context_or_default(questions: DataFrame, documents: DataFrame, limit: int = 4000, defaults: int = 2) -> DataFrame:
-    """Documents of the question's domain, joined in order and cut; without any, the first ones of all."""
+    """Documents of the question's domain, joined in order and cut; without any, the first ones of all.
+
+    A document adds two characters at least, so no more than limit / 2 + 1 of a domain, each cut at the limit, are gathered.
+    """
     text = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda d: d["content"]), "\n\n")
-    own = documents.groupBy(F.col("doc_type").alias("domain")).agg(text().alias("context"))
-    default = documents.orderBy("seq").limit(defaults).agg(text().alias("_default"))
+    short = documents.withColumn("content", F.substring("content", 1, limit))
+    first = short.withColumn("_r", F.row_number().over(Window.partitionBy("doc_type").orderBy("seq"))).where(F.col("_r") <= limit // 2 + 1)
+    own = first.groupBy(F.col("doc_type").alias("domain")).agg(text().alias("context"))
+    default = short.orderBy("seq").limit(defaults).agg(text().alias("_default"))
     return questions.join(own, "domain", "left").crossJoin(F.broadcast(default)).withColumn("context", F.substring(F.coalesce("context", "_default"), 1, limit)).drop("_default")
 
 
+def fan_out(records: DataFrame, strategies: dict[str, Column], text: str = "response", key: str = "query") -> DataFrame:
+    """A row for each record and strategy: config, response (the strategy's expression; a record passes through as its own text), key "config|first 60 characters"."""
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("config"), how.cast("string").alias("text")) for name, how in strategies.items())))
+    rows = records.withColumn("_s", each).withColumn("config", F.col("_s.config")).withColumn(text, F.col("_s.text")).drop("_s")
+    return rows.withColumn("key", F.concat_ws("|", "config", F.substring(key, 1, 60)))
+
+
+def with_stages(questions: DataFrame, stages: int = 5) -> DataFrame:
+    """Every question once for each stage."""
+    return questions.withColumn("stage", F.explode(F.sequence(F.lit(1), F.lit(stages))))
+
+
+def stage_lookup(rows: DataFrame, stages: DataFrame, key: str = "stage") -> DataFrame:
+    """Joins what belongs to a stage; a stage outside of the table's (1 to 5) fails."""
+    n = stages.count()
+    checked = F.when(F.coalesce(F.col(key).between(1, n), F.lit(False)), F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"no stage from 1 to {n}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    return rows.withColumn(key, checked.cast("int")).join(F.broadcast(stages), key)
+
+
+#: The order in which each mode takes the five stages.
+STAGE_ORDERS = {"yoga": [1, 2, 3, 4, 5], "reverse": [5, 4, 3, 2, 1], "bookend": [1, 2, 3, 4, 5, 1]}
+
+
+def stage_order(spark, orders: dict[str, list[int]] = STAGE_ORDERS) -> DataFrame:
+    """mode, ord (from 0), stage."""
+    return spark.createDataFrame([(m, i, s) for m, o in orders.items() for i, s in enumerate(o)], "mode string, ord int, stage int")
+
+
+def ends(rows: DataFrame, value: str, n: int = 10) -> DataFrame:
+    """One row: the first and the last n values in ``seq`` order; only they leave their tasks."""
+    side = lambda order, name: rows.select("seq", value).orderBy(order).limit(n).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", value))), lambda x: x[value]).alias(name))
+    return side(F.col("seq"), "head").crossJoin(F.broadcast(side(F.col("seq").desc(), "tail")))
+
+
+def enriched(results: DataFrame, config: str, key: Column) -> DataFrame:
+    """A result with its arm and its key; null operation or domain become general."""
+    return results.withColumns({"config": F.lit(config), "key": F.concat_ws("|", F.lit(config), key), "target_op": F.coalesce("target_op", F.lit("general")), "domain": F.coalesce("domain", F.lit("general"))})
+
+
 def extraction_status(judgments: DataFrame, responses: DataFrame, least: float = 0.0) -> DataFrame:
     """status of each judgment on the way to a preference pair: tie, mismatched, missing, weak or kept; with winner and loser text."""
     r = last_of(responses, ["query_id", "arm"]).select("query_id", "arm", "response")

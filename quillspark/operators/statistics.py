@@ -30,6 +30,20 @@ def resampled_interval(outcomes: np.ndarray, n: int = 10_000, alpha: float = 0.0
     return float(low), float(high)
 
 
+def resampled(outcomes: DataFrame, by: str, value: str, n: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """by, total, low, high: intervals of the mean of 0/1 outcomes by resampling.
+
+    A resample of 0/1 outcomes is decided by their counts, so the rows are summed up before the shuffle and a group of any size is two numbers.
+    """
+    counts = outcomes.groupBy(by).agg(F.sum(F.col(value).cast("long")).alias("_w"), F.count(value).alias("total"))
+
+    @F.pandas_udf("low double, high double")
+    def interval(w: pd.Series, t: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parametric_interval(int(a), int(b), n, alpha, seed) for a, b in zip(w, t, strict=True)], columns=["low", "high"])
+
+    return counts.withColumn("_i", interval(F.coalesce("_w", F.lit(0)), F.col("total"))).select(by, "total", F.col("_i.low").alias("low"), F.col("_i.high").alias("high"))
+
+
 def with_intervals(counts: DataFrame, wins: str = "wins", total: str = "total") -> DataFrame:
     """Adds ci_low, ci_high, significant (ci_low > 0.5), effect (Cohen's h against one half), effect_size and the rate as text."""
 

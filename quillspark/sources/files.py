@@ -6,15 +6,16 @@ decides ties later.  A missing path gives an empty frame.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
-from ..operators.relational import union_all
+from ..functions.text import first_sentences, words
+from ..operators.relational import difficulty, union_all
 
 QUESTION = "query string, target_op string, domain string, difficulty string"
 RESPONSE = "key string, query string, target_op string, domain string, config string, response string, word_count int, model string, provider string"
@@ -23,28 +24,55 @@ PAIR = "query string, preferred string, rejected string, stage int, dominant_dim
 SFT_EXAMPLE = "key string, messages array<struct<role:string,content:string>>, stage int, stage_name string, quality_dimension string, query string, target_op string, domain string"
 
 
+def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A relation given in code (questions, topics, registries), with ``seq`` in its order."""
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{schema}, seq long")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    """Asks the file system of the path, whichever it is."""
+    """Asks the file system of the path, whichever it is; a path with wildcards exists if anything matches."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
 
 
-def _with_seq(df: DataFrame) -> DataFrame:
-    """seq from file and position in it: ids grow with both as files are read in order of name."""
-    return df.withColumn("seq", F.monotonically_increasing_id())
+#: Bits of ``seq`` for the place in a file; the rank of the file stands above them.
+PLACE_BITS = 42
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """One record a line; blank lines are skipped; a malformed line fails (``strict``) or becomes nulls."""
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def _with_seq(df: DataFrame, first_file: int = 0) -> tuple[DataFrame, int]:
+    """seq: rank of the file by name (from ``first_file``), then the place in it; and the rank after the last file.
+
+    A file's blocks but the last are read by tasks of their own, so that block start + number in the task grows
+    through a file.  No row is moved; one row for each file is broadcast.
+    """
+    spark, names = df.sparkSession, sorted(df.inputFiles())
+    ranks = spark.createDataFrame([(n, first_file + i) for i, n in enumerate(names)], "quill__file string, quill__rank long").withColumn("quill__file", _plain(F.col("quill__file")))
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = df.select("*", _plain(F.col("_metadata.file_path")).alias("quill__file"), (F.col("_metadata.file_block_start") + number).alias("quill__place"))
+    seq = F.shiftleft("quill__rank", PLACE_BITS) + F.col("quill__place")
+    return placed.join(F.broadcast(ranks), "quill__file").withColumn("seq", seq).drop("quill__file", "quill__rank", "quill__place"), first_file + len(names)
+
+
+def _json_lines(spark: SparkSession, path: str, schema: str, strict: bool, first_file: int) -> tuple[DataFrame, int]:
     if not exists(spark, path):
-        return spark.createDataFrame([], f"{schema}, seq long")
-    return _with_seq(spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path))
+        return spark.createDataFrame([], f"{schema}, seq long"), first_file
+    return _with_seq(spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path), first_file)
+
+
+def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
+    """One record a line; blank lines are skipped; a malformed line fails (``strict``) or becomes nulls; ``path`` may have wildcards."""
+    return _json_lines(spark, path, schema, strict, 0)[0]
 
 
 def json_array(spark: SparkSession, path: str, schema: str, fallback: DataFrame | None = None) -> DataFrame:
-    """A file that holds one array of records; a missing file gives the first ten rows of ``fallback``, or none."""
+    """A file that holds one array of records; a missing file gives a warning and the first ten rows of ``fallback``, or none."""
     if exists(spark, path):
-        return _with_seq(spark.read.schema(schema).option("multiLine", True).json(path))
+        return _with_seq(spark.read.schema(schema).option("multiLine", True).json(path))[0]
+    warnings.warn(f"{path} is missing", stacklevel=2)
     return fallback.orderBy("seq").limit(10) if fallback is not None else spark.createDataFrame([], f"{schema}, seq long")
 
 
@@ -90,9 +118,21 @@ def runnable(spark: SparkSession, artifacts: dict[str, str]) -> DataFrame:
 
 
 def labelled_union(spark: SparkSession, registry: list[dict], schema: str, kinds: set[str] | None = None) -> DataFrame:
-    """All files of the registry (path, kind, source, source_model) as one frame; only the wanted kinds are opened."""
-    frames = [json_lines(spark, r["path"], schema).withColumns({"source": F.lit(r["source"]), "source_model": F.lit(r["source_model"]), "kind": F.lit(r["kind"])}) for r in registry if kinds is None or r["kind"] in kinds]
-    return union_all(frames) if frames else spark.createDataFrame([], schema)
+    """All files of the registry (path, kind, source, source_model) as one frame; only the wanted kinds are opened.
+
+    ``seq`` grows in order of the registry, then as in ``json_lines``.
+    """
+    frames, first = [], 0
+    for r in registry:
+        if kinds is None or r["kind"] in kinds:
+            rows, first = _json_lines(spark, r["path"], schema, True, first)
+            frames.append(rows.withColumns({"source": F.lit(r["source"]), "source_model": F.lit(r["source_model"]), "kind": F.lit(r["kind"])}))
+    return union_all(frames) if frames else spark.createDataFrame([], f"{schema}, seq long, source string, source_model string, kind string")
+
+
+def at_least(rows: DataFrame, k: float) -> DataFrame:
+    """Rows whose total_delta (else score_delta, else 0) reaches k; all of them for k <= 0."""
+    return rows if k <= 0 else rows.where(difficulty() >= k)
 
 
 def lookup_connector(documents: DataFrame, limit: int = 2000) -> Callable[[DataFrame], DataFrame]:
@@ -104,6 +144,22 @@ def lookup_connector(documents: DataFrame, limit: int = 2000) -> Callable[[DataF
     return search
 
 
+def summary_connector(documents: DataFrame, most: int = 3, sentences: int = 5) -> Callable[[DataFrame], DataFrame]:
+    """The offline encyclopedia: first sentences of the ``most`` first documents (topic, title, text, seq) of a topic, one paragraph each; without any, a text that says so.
+
+    Only the first documents of a topic are gathered.
+    """
+
+    def search(queries: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("topic").orderBy("seq"))
+        first = documents.withColumn("rank", rank).where(F.col("rank") <= most)
+        part = F.concat("title", F.lit(": "), first_sentences(F.col("text"), sentences))
+        found = first.groupBy(F.col("topic").alias("query")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))), lambda x: x["part"]), "\n\n").alias("result"))
+        return queries.join(found, "query", "left").withColumn("result", F.coalesce("result", F.lit("search failed: nothing found")))
+
+    return search
+
+
 def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", False).json(path)
 
@@ -124,6 +180,13 @@ def write_corpus(df: DataFrame, path: str, *order: str, text: str = "text") -> N
     df.orderBy(*order).select(F.concat(text, F.lit("\n")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_array(df: DataFrame, path: str, *order: str) -> None:
+    """Rows as one JSON array in order, one element a line; a file that one reader takes whole."""
+    rows = df.select(*order, F.to_json(F.struct(*(c for c in df.columns if c not in {"seq", "pos"}))).alias("j"))
+    one = rows.agg(F.array_sort(F.collect_list(F.struct(*order, "j"))).alias("a"))
+    one.select(F.concat(F.lit("[\n"), F.array_join(F.transform("a", lambda x: x["j"]), ",\n"), F.lit("\n]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_object(df: DataFrame, path: str) -> None:
     """A frame of one row as one JSON object."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
