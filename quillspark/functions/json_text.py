@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql.types import StringType
 from .text import strip
 
 OPEN = r"(?s)^```[^\n]*\n"
+BRACE = re.compile("[{}]")
 
 
 def unfenced(text: Column) -> Column:
@@ -32,17 +35,23 @@ def first_balanced(text: pd.Series) -> pd.Series:
         if t is None or (start := t.find("{")) < 0:
             return None
         depth = 0
-        for i in range(start, len(t)):
-            depth += (t[i] == "{") - (t[i] == "}")
+        for m in BRACE.finditer(t, start):
+            depth += 1 if m[0] == "{" else -1
             if not depth:
-                return t[start : i + 1]
+                return t[start : m.end()]
         return None
 
     return text.map(one)
 
 
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value; the parser alone would not mind what follows it."""
+    one = F.concat(F.lit("["), text, F.lit("]"))
+    return F.coalesce(F.try_parse_json(one).isNotNull() & (F.json_array_length(one) == 1), F.lit(False))
+
+
 def valid(text: Column) -> Column:
-    return F.when(F.try_parse_json(text).isNotNull(), text)
+    return F.when(is_json(text), text)
 
 
 def salvage(text: Column) -> Column:
@@ -54,7 +63,7 @@ def salvage(text: Column) -> Column:
 
 def salvage_loose(text: Column) -> Column:
     """The first fenced part that is JSON, the text itself, or all from the first brace to the last."""
-    part = F.get(F.filter(fenced_blocks(text), lambda p: F.try_parse_json(p).isNotNull()), F.lit(0))
+    part = F.get(F.filter(fenced_blocks(text), is_json), F.lit(0))
     outer = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     return F.coalesce(part, valid(text), valid(F.when(outer != "", outer)))
 

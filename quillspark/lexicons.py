@@ -57,6 +57,10 @@ TAXONOMY_ORDER = ["prakriti", "tanmatra_expert", "tanmatra_case", "sattva", "raj
 # Score dimensions in the order that decides ties, each with its curriculum stage.
 DIMENSIONS = ["factual_accuracy", "completeness", "calibration", "reasoning_depth", "usefulness"]
 
+# Dimensions of the pointwise judges of seven.
+FACET_DIMENSIONS = ["dravya", "guna", "karma", "samanya", "vishesha", "samavaya", "abhava"]
+GENERIC_DIMENSIONS = ["accuracy", "completeness", "clarity", "depth", "relevance", "coherence", "usefulness"]
+
 # Words that are frequent in the synthetic documents; a lexicon of our own for queries over them.
 SAMPLE_CATEGORIES = {"articles": ["the", "la", "der", "el"], "links": ["and", "et", "und", "y"], "places": ["of", "de", "in", "to the"]}
 SAMPLE_TRIGGERS = [r"\b(?:that|this)\b", r"\b(?:with|from) "]

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lexicons import DIMENSIONS, FACET_DIMENSIONS
 from .relational import pending
 
 
@@ -35,11 +36,36 @@ class DeterministicProvider:
         return f"answer {h[:8]} of {len(prompt.split())} words"
 
     def call_json(self, prompt: str) -> dict | None:
+        """An answer to any of the judges and extractors of ``judges``, every number from a byte of the hash."""
         h = hashlib.md5(f"{self.name}|{prompt}".encode()).digest()
-        return {"winner": "AB="[h[0] % 3], "scores": [1 + b % 5 for b in h[1:6]], "reason": "hash"}
+        scores = lambda at, names: {d: float(1 + h[at + i] % 5) for i, d in enumerate(names)}
+        checked = h[11] % 10
+        return {
+            "winner": "AB="[h[0] % 3], "response_a": scores(1, DIMENSIONS), "response_b": scores(6, DIMENSIONS), "scores": scores(1, FACET_DIMENSIONS), "reason": "hash",
+            "claims_checked": checked, "claims_accurate": min(checked, h[12] % 10), "overall_tool_value": 1 + h[13] % 5, "needs_search": h[14] % 2 == 1, "confidence": h[15] % 10 / 10,
+            "entities": [{"name": f"e{h[0] % 4}", "dravya": "thing", "guna": [f"p{h[1] % 7}"], "karma": [], "samanya": [f"c{h[2] % 3}"], "vishesha": [], "samavaya": [], "abhava": [f"g{h[3] % 5}"]}], "global_abhava": [],
+        }
 
 
-PROVIDERS: dict[str, Callable[..., Provider]] = {"deterministic": DeterministicProvider}
+class FailingProvider:
+    """Never answers; what a run does without its provider."""
+
+    def call(self, prompt: str) -> str | None:
+        return None
+
+    def call_json(self, prompt: str) -> dict | None:
+        return None
+
+
+PROVIDERS: dict[str, Callable[..., Provider]] = {"deterministic": DeterministicProvider, "failing": FailingProvider}
+
+
+def provider(name: str, *args: str) -> Callable[[], Provider]:
+    """What makes the client of a registered provider, once for each task; an unknown name fails at once."""
+    if name not in PROVIDERS:
+        raise ValueError(f"no provider {name}, only {sorted(PROVIDERS)}")
+    made = PROVIDERS[name]
+    return lambda: made(*args)
 
 
 def with_retries(call: Callable[[], str | None], tries: int = 3, wait: Callable[[int], float] = lambda n: 2.0 ** (n + 1), sleep: Callable[[float], None] = time.sleep) -> str | None:
@@ -59,7 +85,7 @@ def answer(work: DataFrame, prompt: str, provider: Callable[[], Provider], as_js
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = provider()
-        one = (lambda x: json.dumps(p.call_json(x))) if as_json else p.call
+        one = (lambda x: None if (found := p.call_json(x)) is None else json.dumps(found)) if as_json else p.call
         for frame in frames:
             yield frame.assign(**{out: [with_retries(lambda x=x: one(x)) for x in frame[prompt]]})
 

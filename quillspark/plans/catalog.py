@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import lexicons
@@ -10,19 +12,8 @@ from ..operators import aggregates as agg
 from ..operators import external, graph, statistics
 from ..operators import relational as rel
 from . import derived
-from .derived import cte, judgments, responses, scored_pairs, table
-
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+from .derived import ALL, all_judgments, cte, judgments, responses, scored_pairs, table
+from .registry import QUERIES, SQL, query
 
 
 LETTER = r"[^\p{L}\p{N}_]"
@@ -106,14 +97,24 @@ RATES = "count(*) FILTER (WHERE winner = config_b)::BIGINT AS wins, count(*) FIL
 MODEL_RATES = f"SELECT config_b AS config, model, {RATES} FROM judgments GROUP BY 1, 2"
 
 
-@query(cte() + f"SELECT config_b AS config, {RATES} FROM judgments GROUP BY 1")
+def _rates(arm: str, by: str = "") -> str:
+    n = "count(*)"
+    wins, losses = f"count(*) FILTER (WHERE winner = {arm})", "count(*) FILTER (WHERE winner = 'base')"
+    return cte().rstrip() + ALL + f"SELECT {arm} AS config{by}, {wins}::BIGINT AS wins, {losses}::BIGINT AS losses, ({n} - {wins} - {losses})::BIGINT AS ties, {n}::BIGINT AS total, {wins} / {n}::DOUBLE AS win_rate FROM all_judgments"
+
+
+ARM = "(CASE WHEN config_a = 'base' THEN config_b WHEN config_b = 'base' THEN config_a END)"
+
+
+@query(_rates(ARM) + f" WHERE {ARM} IS NOT NULL GROUP BY {ARM}")
 def win_rates(spark, d):
-    return agg.win_rates(judgments(spark, d), "base")
+    """The base stands on either side."""
+    return agg.win_rates(all_judgments(spark, d), "base")
 
 
-@query(cte() + f"SELECT config_b AS config, {RATES} FROM judgments GROUP BY 1")
+@query(_rates("config_b") + " WHERE config_b <> 'base' GROUP BY config_b")
 def win_rates_by_second_arm(spark, d):
-    return agg.win_rates(judgments(spark, d), "base", scope="config_b_only")
+    return agg.win_rates(all_judgments(spark, d), "base", scope="config_b_only")
 
 
 @query(cte() + f"SELECT config_b AS config, target_op, {RATES} FROM judgments GROUP BY GROUPING SETS ((config_b, target_op), (config_b))")
@@ -266,11 +267,14 @@ def compounding(spark, d):
     return agg.compounding(agg.win_rates(judgments(spark, d), "base"), "generic", "random", "method")
 
 
-@query(cte() + """SELECT model, count(*) FILTER (WHERE false)::BIGINT AS h2h_total, 0.0::DOUBLE AS h2h_rate, count(*) FILTER (WHERE config_b = 'method')::BIGINT AS method_total,
-  coalesce(count(*) FILTER (WHERE winner = 'method') / nullif(count(*) FILTER (WHERE config_b = 'method'), 0)::DOUBLE, 0) AS method_rate, count(*) FILTER (WHERE config_b = 'generic')::BIGINT AS generic_total,
-  coalesce(count(*) FILTER (WHERE winner = 'generic') / nullif(count(*) FILTER (WHERE config_b = 'generic'), 0)::DOUBLE, 0) AS generic_rate FROM judgments GROUP BY 1""")
+def _against(a: str, b: str, name: str) -> str:
+    of = f"(config_a = '{a}' AND config_b = '{b}' OR config_a = '{b}' AND config_b = '{a}')"
+    return f"count(*) FILTER (WHERE {of})::BIGINT AS {name}_total, coalesce(count(*) FILTER (WHERE {of} AND winner = '{b}') / nullif(count(*) FILTER (WHERE {of}), 0)::DOUBLE, 0) AS {name}_rate"
+
+
+@query(cte().rstrip() + ALL + f"SELECT model, {_against('generic', 'method', 'h2h')}, {_against('base', 'method', 'method')}, {_against('base', 'generic', 'generic')} FROM all_judgments GROUP BY 1")
 def three_comparisons(spark, d):
-    return agg.three_comparisons(judgments(spark, d), "base", "method", "generic", "model")
+    return agg.three_comparisons(all_judgments(spark, d), "base", "method", "generic", "model")
 
 
 @query(cte() + f"""SELECT config, en, fr, de, es, (fr + de + es) / 3 AS mean_others, (fr + de + es) / 3 - en AS vs_reference, ((fr > 0.5)::BIGINT + (de > 0.5)::BIGINT + (es > 0.5)::BIGINT) AS n_over_half FROM (
@@ -308,12 +312,13 @@ def judge_correlation(spark, d):
     return agg.mean_abs_correlation(wide, lexicons.DIMENSIONS).withColumn("mean_abs_r", F.round("mean_abs_r", 6))
 
 
-SECOND = cte(1).replace("judgments AS", "j2 AS", 1).replace("FROM judgments, dims", "FROM j2, dims").replace("paired", "paired2").replace("pairs AS", "pairs2 AS").replace("FROM ds", "FROM ds2").replace("ds AS", "ds2 AS", 1).replace("WITH responses AS", "responses2 AS").replace("FROM responses a", "FROM responses2 a").replace("JOIN responses b", "JOIN responses2 b").replace("dims AS", "dims2 AS", 1).replace("FROM j2, dims", "FROM j2, dims2")
+SECOND = re.sub(r"\b(responses|paired|judged|judgments|dims|ds|pairs)\b", r"\1_2", cte(1).replace("WITH ", "")).replace("judgments_2 AS", "j2 AS").replace("FROM judgments_2", "FROM j2")
 
 
-@query(cte().rstrip() + ", " + SECOND.strip() + " SELECT config_b, count(*)::BIGINT AS n, count(*) FILTER (WHERE a.winner = b.winner)::BIGINT AS agreed, count(*) FILTER (WHERE a.winner = b.winner) / count(*)::DOUBLE AS agreement FROM judgments a JOIN j2 b USING (query_id, config_b) GROUP BY GROUPING SETS ((config_b), ())")
+@query(cte().rstrip() + ", " + SECOND.strip() + " SELECT config_b, count(*)::BIGINT AS n, count(*) FILTER (WHERE w = winner)::BIGINT AS agreed, count(*) FILTER (WHERE w = winner) / count(*)::DOUBLE AS agreement FROM (SELECT b.*, coalesce(a.winner, 'UNKNOWN') AS w FROM j2 b LEFT JOIN (SELECT * FROM judgments WHERE seq % 7 <> 0) a USING (query_id, config_b)) GROUP BY GROUPING SETS ((config_b), ())")
 def judge_agreement(spark, d):
-    return agg.agreement(judgments(spark, d), judgments(spark, d, 1), ["query_id", "config_b"], "config_b").withColumn("agreement", F.col("agreement"))
+    """The first judge lacks some rows."""
+    return agg.agreement(judgments(spark, d).where("seq % 7 <> 0"), judgments(spark, d, 1), ["query_id", "config_b"], "config_b")
 
 
 @query("""SELECT lang, sum(quality)::BIGINT AS wins, count(*)::BIGINT AS total, round(sum(quality) / count(*)::DOUBLE, 9) AS win_rate, round(2 * (asin(sqrt(sum(quality) / count(*)::DOUBLE)) - asin(sqrt(0.5))), 6) AS effect,
@@ -340,11 +345,11 @@ def event_frequencies(spark, d):
     return agg.most_common(table(spark, d, "events").withColumn("seq", F.col("event_id")), F.col("event_type"))
 
 
-@query("SELECT event_type, count(*) FILTER (WHERE n > 0)::BIGINT AS searched, count(*) FILTER (WHERE n > 0) / count(*)::DOUBLE AS search_rate, sum(n)::BIGINT AS searches, 1.0::DOUBLE AS mean_calls FROM (SELECT event_type, CASE WHEN value > 50 THEN 2 WHEN value > 10 THEN 1 ELSE 0 END AS n FROM events) GROUP BY 1")
+@query("SELECT event_type, count(*) FILTER (WHERE n > 0)::BIGINT AS searched, count(*) FILTER (WHERE n > 0) / count(*)::DOUBLE AS search_rate, sum(n)::BIGINT AS searches, round(avg(coalesce(CASE WHEN event_id % 3 <> 0 THEN event_id % 4 END, 1)), 9) AS mean_calls FROM (SELECT event_type, event_id, CASE WHEN value > 50 THEN 2 WHEN value > 10 THEN 1 ELSE 0 END AS n FROM events) GROUP BY 1")
 def routing_stats(spark, d):
     n = F.when(F.col("value") > 50, 2).when(F.col("value") > 10, 1).otherwise(0)
-    rows = table(spark, d, "events").withColumn("tool_calls", F.array_repeat(F.lit("q"), n)).withColumn("api_calls", F.lit(None).cast("int"))
-    return agg.routing_stats(rows, "event_type").withColumn("searches", F.col("searches").cast("long"))
+    rows = table(spark, d, "events").withColumn("tool_calls", F.array_repeat(F.lit("q"), n)).withColumn("api_calls", F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 4).cast("int")))
+    return agg.routing_stats(rows, "event_type").withColumns({"searches": F.col("searches").cast("long"), "mean_calls": F.round("mean_calls", 9)})
 
 
 @query(cte() + "SELECT arm, target_op, round(avg(n_chars), 6) AS mean, min(n_chars) AS least, max(n_chars) AS most FROM responses GROUP BY GROUPING SETS ((arm), (target_op, arm))")
@@ -357,17 +362,32 @@ def running_wins(spark, d):
     return agg.running_wins(judgments(spark, d)).withColumn("wins", F.col("wins").cast("long"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.page') IS NOT NULL AS has_page, json_valid(props) AS is_json FROM events")
+@query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE json_extract_string(props, '$.k') END AS k, event_id % 4 <> 3 AS is_json FROM events")
 def json_salvage(spark, d):
-    rows = table(spark, d, "events").withColumn("j", json_text.salvage_loose(F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" - done"))))
-    return rows.select("event_id", F.get_json_object("j", "$.page").isNotNull().alias("has_page"), F.col("j").isNotNull().alias("is_json"))
+    """Bare, fenced, embedded and broken."""
+    i, props = F.col("event_id") % 4, F.col("props")
+    said = F.when(i == 0, props).when(i == 1, F.concat(F.lit("Here:\n```json\n"), props, F.lit("\n```\nand ```more```"))).when(i == 2, F.concat(F.lit("Here it is: "), props, F.lit(" - done"))).otherwise(F.concat(F.lit("{"), props))
+    rows = table(spark, d, "events").withColumn("j", json_text.salvage_loose(said))
+    return rows.select("event_id", F.get_json_object("j", "$.k").alias("k"), F.col("j").isNotNull().alias("is_json"))
+
 
+FACET_SQL = {"properties": ("'v' || {e}", "true"), "actions": ("'a' || {e} || '; b'", "{e} % 2 = 1"), "differentiators": ("'d' || {e}", "{e} % 3 = 0"), "relations": ("'r' || {e}", "{e} % 5 = 0")}
 
-def _extractions(spark, d):
-    """Entities made of events: a graph for each type, named by user."""
+
+def _extractions(spark, d, kind: str = "seven"):
+    """Entities made of events: a graph for each type, named by user; some with every facet, some with none but properties; a 50th of the extractions has a gap of its own."""
     e = table(spark, d, "events").select("event_type", "event_id", (F.col("user_id") % 10).alias("u"), "value")
-    one = F.struct(F.concat(F.lit("user "), F.col("u")).alias("name"), F.lit("person").alias("dravya"), F.array(F.concat(F.lit("v"), F.col("event_id"))).alias("guna"), F.array().cast("array<string>").alias("karma"), F.array(F.concat(F.lit("c"), F.col("event_id") % 3)).alias("samanya"), F.array().cast("array<string>").alias("vishesha"), F.array().cast("array<string>").alias("samavaya"), F.when(F.col("value") > 50, F.array(F.concat(F.lit("g"), F.col("event_id")))).otherwise(F.array().cast("array<string>")).alias("abhava"))
-    return e.select(F.col("event_type").alias("graph"), F.col("event_id").alias("seq"), F.struct(F.array(one).alias("entities"), F.array().cast("array<string>").alias("global_abhava")).alias("extraction"))
+    i, none = F.col("event_id"), F.array().cast("array<string>")
+    some = lambda when, *x: F.when(when, F.array(*x)).otherwise(none)
+    text_of = lambda p: F.concat(F.lit(p), i)
+    f = graph.FACETS[kind]
+    values = {
+        "kind": F.lit("person"), "properties": F.array(text_of("v")), "actions": some(i % 2 == 1, text_of("a"), F.lit("b")), "categories": F.array(F.concat(F.lit("c"), i % 3)),
+        "differentiators": some(i % 3 == 0, text_of("d")), "relations": some(i % 5 == 0, text_of("r")), "gaps": some(F.col("value") > 50, text_of("g")),
+    }
+    one = F.struct(F.concat(F.lit("user "), F.col("u")).alias("name"), *(v.alias(f[k]) for k, v in values.items()))
+    whole = F.struct(F.array(one).alias("entities"), some(i % 50 == 0, text_of("G")).alias(f["global"]))
+    return e.select(F.col("event_type").alias("graph"), i.alias("seq"), whole.alias("extraction"))
 
 
 @query("SELECT event_type AS graph, 'user ' || (user_id % 10) AS name, min(event_id) * 1000000 AS seq, 'v' || max(event_id) AS property FROM events GROUP BY 1, 2")
@@ -381,32 +401,67 @@ def graph_categories(spark, d):
     return graph.category_index(graph.entities(_extractions(spark, d))).select("graph", "category", F.array_join("names", ",").alias("names"))
 
 
-@query("SELECT event_type AS graph, 'user ' || (user_id % 10) AS entity, 'g' || event_id AS gap FROM events WHERE value > 50")
+GRAPH_GAPS = "SELECT event_type AS graph, event_id * 10 AS place, 'user ' || (user_id % 10) AS entity, 'g' || event_id AS gap FROM events WHERE value > 50 UNION ALL SELECT event_type, event_id * 10 + 9, '_global', 'G' || event_id FROM events WHERE event_id % 50 = 0"
+
+
+@query(f"SELECT graph, entity, gap FROM ({GRAPH_GAPS})")
 def graph_gaps(spark, d):
     x = _extractions(spark, d)
     return graph.gap_index(graph.entities(x), x).select("graph", "entity", "gap")
 
 
-@query("""WITH n AS (SELECT event_type AS graph, 'user ' || (user_id % 10) AS name, min(event_id) AS s, max(event_id) AS l FROM events GROUP BY 1, 2),
-  g AS (SELECT event_type AS graph, string_agg('- [user ' || (user_id % 10) || '] g' || event_id, chr(10) ORDER BY event_id) AS t FROM events WHERE value > 50 GROUP BY 1)
-  SELECT graph, 'constraint' AS query_type, '## Entities' || chr(10) || string_agg('- **' || name || '** (person)', chr(10) ORDER BY s) || chr(10) || chr(10) ||
-    coalesce('## Absences & Constraints' || chr(10) || any_value(g.t) || chr(10) || chr(10), '') || '## Properties' || chr(10) || string_agg('- **' || name || '**: v' || l, chr(10) ORDER BY s) AS context FROM n LEFT JOIN g USING (graph) GROUP BY graph""")
+def _retrieval_sql(kind: str) -> str:
+    nl = "chr(10)"
+    facets = " UNION ALL ".join(f"SELECT graph, '{f}' AS facet, string_agg('- **' || name || '**: ' || {v.format(e='l')}, {nl} ORDER BY s) AS body FROM n WHERE {w.format(e='l')} GROUP BY 1" for f, (v, w) in FACET_SQL.items())
+    plan = ", ".join(f"('{q}', {i}, '{f}', '{t}')" for q, x in graph.SECTIONS[kind].items() for i, (f, t) in enumerate([("entities", "Entities"), *x]))
+    return f"""WITH n AS (SELECT event_type AS graph, 'user ' || (user_id % 10) AS name, min(event_id) AS s, max(event_id) AS l FROM events GROUP BY 1, 2), g AS ({GRAPH_GAPS}),
+  c AS (SELECT event_type AS graph, 'c' || (event_id % 3) AS category, string_agg('user ' || (user_id % 10), ', ' ORDER BY event_id) AS names, min(event_id) AS s FROM events GROUP BY 1, 2),
+  b AS (SELECT graph, 'entities' AS facet, string_agg('- **' || name || '** (person)', {nl} ORDER BY s) AS body FROM n GROUP BY 1 UNION ALL {facets}
+    UNION ALL SELECT graph, 'categories', string_agg('- **' || category || '**: ' || names, {nl} ORDER BY s) FROM c GROUP BY 1
+    UNION ALL SELECT graph, 'gaps', string_agg('- ' || CASE entity WHEN '_global' THEN '' ELSE '[' || entity || '] ' END || gap, {nl} ORDER BY place) FROM g GROUP BY 1
+    UNION ALL SELECT graph, 'some_gaps', string_agg('- ' || gap, {nl} ORDER BY place) FROM (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY place) AS r FROM g) WHERE r <= 5 GROUP BY 1),
+  p AS (SELECT * FROM (VALUES {plan}) t(query_type, ord, facet, title))
+  SELECT graph, query_type, string_agg('## ' || title || {nl} || body, {nl} || {nl} ORDER BY ord) AS context FROM b JOIN p USING (facet) GROUP BY 1, 2"""
+
+
+@query(_retrieval_sql("seven"))
 def retrieval_context(spark, d):
     x = _extractions(spark, d)
-    return graph.retrieve(graph.entities(x), x).where("query_type = 'constraint'")
+    return graph.retrieve(graph.entities(x), x)
+
+
+@query(_retrieval_sql("generic"))
+def retrieval_generic(spark, d):
+    x = _extractions(spark, d, "generic")
+    return graph.retrieve(graph.entities(x, "generic"), x, "generic")
 
 
-@query("SELECT doc_id, 'Question:' || chr(10) || lang || chr(10) || chr(10) || 'Response A:' || chr(10) || CASE WHEN f THEN text ELSE source END || chr(10) || chr(10) || 'Response B:' || chr(10) || CASE WHEN f THEN source ELSE text END AS prompt FROM (SELECT *, ('0x' || substring(md5('coin|' || doc_id), 1, 1))::BIGINT % 2 = 1 AS f FROM documents)")
+@query(f"SELECT graph, query_type, '{graph.HEADERS['seven'].replace(chr(39), chr(39) * 2)}' || context AS context FROM ({_retrieval_sql('seven')})")
+def prompt_contexts(spark, d):
+    return graph.prompt_context(retrieval_context(spark, d))
+
+
+@query("SELECT doc_id, 'Question:' || chr(10) || coalesce(lang, '') || chr(10) || chr(10) || 'Response A:' || chr(10) || CASE WHEN f THEN coalesce(text, '') ELSE coalesce(source, '') END || chr(10) || chr(10) || 'Response B:' || chr(10) || CASE WHEN f THEN coalesce(source, '') ELSE coalesce(text, '') END AS prompt FROM (SELECT *, ('0x' || substring(md5('coin|' || doc_id), 1, 1))::BIGINT % 2 = 1 AS f FROM documents)")
 def judge_prompts(spark, d):
-    docs = table(spark, d, "documents").where("source is not null")
-    return docs.select("doc_id", templates.pairwise_prompt(F.col("lang"), F.col("source"), F.col("text"), scoring.coin("coin", F.col("doc_id").cast("string"))).alias("prompt"))
+    some = lambda c: F.coalesce(c, F.lit(""))
+    return table(spark, d, "documents").select("doc_id", templates.pairwise_prompt(some("lang"), some("source"), some("text"), scoring.coin("coin", F.col("doc_id").cast("string"))).alias("prompt"))
+
+
+FUNNEL = cte().rstrip() + f""", bal AS ({BALANCED}), test AS (SELECT DISTINCT query_id, md5('split|' || query_id) AS h FROM bal ORDER BY h, query_id LIMIT (SELECT greatest(1, floor(count(DISTINCT query_id) * 0.1))::BIGINT FROM bal)),
+  train AS (SELECT * FROM bal WHERE query_id NOT IN (SELECT query_id FROM test)), first AS (SELECT arg_min(seq, seq) AS seq FROM pairs GROUP BY query_id, stage)
+  SELECT (SELECT count(*) FROM judgments)::BIGINT AS total_raw, (SELECT count(*) FROM pairs WHERE total_delta >= 2)::BIGINT AS after_filter, (SELECT count(*) FROM first)::BIGINT AS after_dedup, (SELECT count(*) FROM bal)::BIGINT AS after_balance,
+    (SELECT count(*) FROM train)::BIGINT AS train_pairs, (SELECT count(*) FROM test)::BIGINT AS test_queries, (SELECT string_agg(k || ':' || n, ',' ORDER BY k) FROM (SELECT stage::VARCHAR AS k, count(*) AS n FROM train GROUP BY 1)) AS stages,
+    (SELECT string_agg(k || ':' || n, ',' ORDER BY k) FROM (SELECT source AS k, count(*) AS n FROM train GROUP BY 1)) AS sources"""
 
 
-@query(cte() + "SELECT (SELECT count(*) FROM judgments)::BIGINT AS total_raw, (SELECT count(*) FROM pairs WHERE total_delta >= 2)::BIGINT AS after_filter, count(*)::BIGINT AS balanced FROM (" + BALANCED + ")")
+@query(FUNNEL)
 def dataset_funnel(spark, d):
     p = scored_pairs(spark, d)
-    s = rel.group_split(rel.balance(p), "query_id", 0.1, "split")
-    return agg.dataset_stats(judgments(spark, d), p.where("total_delta >= 2"), p, rel.balance(p), s, "query_id").select("total_raw", "after_filter", F.col("after_balance").alias("balanced"))
+    balanced = rel.balance(p)
+    deduped = rel.dedup_first(p, F.col("query_id"), F.col("stage"))
+    stats = agg.dataset_stats(judgments(spark, d), p.where("total_delta >= 2"), deduped, balanced, rel.group_split(balanced, "query_id", 0.1, "split"), "query_id")
+    shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
+    return stats.withColumns({"stages": shown("stage_distribution"), "sources": shown("source_distribution")}).drop("stage_distribution", "source_distribution")
 
 
 @query()
@@ -419,12 +474,22 @@ def experiment_verdict(spark, d):
     return statistics.verdict(statistics.with_intervals(agg.win_rates(judgments(spark, d), "base")), "method", "generic", "random")
 
 
-@query()
+ANSWER = r"'answer ' || substring(md5('stub|' || key), 1, 8) || ' of ' || len(regexp_extract_all(key, '[^\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+')) || ' words'"
+
+
+@query(f"WITH g AS ({GRID}) SELECT key, min(seq) AS seq, {ANSWER} AS answer FROM g WHERE key NOT IN (SELECT key FROM g WHERE arm = 'base') GROUP BY key")
 def generate_stub(spark, d):
     g = _grid(spark, d)
-    return external.resume(g, g.where("arm = 'base'"), "key", "key", external.DeterministicProvider)
+    return external.resume(g, g.where("arm = 'base'"), "key", "key", external.DeterministicProvider).select("key", "seq", "answer")
 
 
-@query()
+@query("SELECT item_id, ['A', 'B', '='][('0x' || substring(md5('stub|' || text), 1, 2))::BIGINT % 3 + 1] AS winner, 1 + ('0x' || substring(md5('stub|' || text), 27, 2))::BIGINT % 5 AS value FROM benchmark")
 def judge_stub(spark, d):
-    return external.answer(table(spark, d, "benchmark").select("item_id", "text"), "text", external.DeterministicProvider, as_json=True)
+    rows = external.answer(table(spark, d, "benchmark").select("item_id", "text"), "text", external.DeterministicProvider, as_json=True)
+    return rows.select("item_id", F.get_json_object("answer", "$.winner").alias("winner"), F.get_json_object("answer", "$.overall_tool_value").cast("long").alias("value"))
+
+
+# The other modules register their queries as they are loaded.
+from . import io_queries, judging_queries, text_queries  # noqa: E402
+
+__all__ = ["QUERIES", "SQL", "io_queries", "judging_queries", "text_queries"]

@@ -27,15 +27,22 @@ def _scores(n_chars, query_id, ix):
     return F.map_from_arrays(F.array(*map(F.lit, DIMENSIONS)), F.array(*((1 + (F.floor(n_chars / (i + 1)) + query_id * (i + 2) + ix * i) % 5).cast("double") for i in range(5))))
 
 
-def judgments(spark: SparkSession, d: str, shift: int = 0) -> DataFrame:
-    """Judgments of each arm against the base; ``shift`` gives another judge."""
+def judgments(spark: SparkSession, d: str, shift: int = 0, baseline: str = "base") -> DataFrame:
+    """Judgments of each arm against the baseline; ``shift`` gives another judge."""
     r = responses(spark, d).drop("response")
-    j = rel.pair_arms(r, "base").withColumns({"scores_a": _scores(F.col("a_n_chars") + shift, F.col("query_id"), F.col("a_seq") % 4), "scores_b": _scores(F.col("b_n_chars") + shift, F.col("query_id"), F.col("b_seq") % 4)})
+    j = rel.pair_arms(r, baseline).withColumns({"scores_a": _scores(F.col("a_n_chars") + shift, F.col("query_id"), F.col("a_seq") % 4), "scores_b": _scores(F.col("b_n_chars") + shift, F.col("query_id"), F.col("b_seq") % 4)})
     a, b = scoring.score_sum(F.col("scores_a")), scoring.score_sum(F.col("scores_b"))
     winner = F.when(a > b, F.col("a_arm")).when(b > a, F.col("b_arm")).otherwise("TIE")
     return j.select("query_id", F.col("a_arm").alias("config_a"), F.col("b_arm").alias("config_b"), winner.alias("winner"), "scores_a", "scores_b", F.col("b_target_op").alias("target_op"), F.col("b_lang").alias("model"), F.col("b_seq").alias("seq"))
 
 
+def all_judgments(spark: SparkSession, d: str) -> DataFrame:
+    """Judgments with the base on either side, and those of method against generic."""
+    j, even = judgments(spark, d), F.col("seq") % 2 == 0
+    swapped = {a: F.when(even, F.col(b)).otherwise(F.col(a)) for x, y in (("config_a", "config_b"), ("scores_a", "scores_b")) for a, b in ((x, y), (y, x))}
+    return j.select(*(swapped.get(c, F.col(c)).alias(c) for c in j.columns)).unionByName(judgments(spark, d, baseline="generic").where("config_b = 'method'"))
+
+
 def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Winners over losers with stage, dominant dimension and deltas; ties are left out."""
     j = judgments(spark, d).where("winner <> 'TIE'")
@@ -54,9 +61,10 @@ WITH responses AS (
   SELECT a.query_id, a.arm AS config_a, b.arm AS config_b, b.target_op, b.lang AS model, b.seq,
          [(1 + ((a.n_chars + {s}) // (i + 1) + a.query_id * (i + 2) + (a.seq % 4) * i) % 5)::DOUBLE for i in range(5)] AS sa,
          [(1 + ((b.n_chars + {s}) // (i + 1) + b.query_id * (i + 2) + (b.seq % 4) * i) % 5)::DOUBLE for i in range(5)] AS sb
-  FROM responses a JOIN responses b ON a.query_id = b.query_id AND a.arm = 'base' AND b.arm <> 'base'
-), judgments AS (
+  FROM responses a JOIN responses b ON a.query_id = b.query_id AND (a.arm = 'base' AND b.arm <> 'base' OR a.arm = 'generic' AND b.arm = 'method')
+), judged AS (
   SELECT *, CASE WHEN list_sum(sa) > list_sum(sb) THEN config_a WHEN list_sum(sb) > list_sum(sa) THEN config_b ELSE 'TIE' END AS winner FROM paired
+), judgments AS (SELECT * FROM judged WHERE config_a = 'base'
 ), dims AS (
   SELECT i, ['factual_accuracy','completeness','calibration','reasoning_depth','usefulness'][i] AS dim FROM (SELECT unnest(range(1, 6)) AS i)
 ), ds AS (
@@ -71,5 +79,13 @@ WITH responses AS (
 """
 
 
+#: ``all_judgments``, to stand behind ``cte()``.
+ALL = """, all_judgments AS (
+  SELECT query_id, CASE WHEN swap THEN config_b ELSE config_a END AS config_a, CASE WHEN swap THEN config_a ELSE config_b END AS config_b, winner, target_op, model, seq
+  FROM (SELECT *, config_a = 'base' AND seq % 2 = 0 AS swap FROM judged)
+)
+"""
+
+
 def cte(shift: int = 0) -> str:
     return CTE.replace("{s}", str(shift))

@@ -10,13 +10,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def run_once(spark: SparkSession, path: str, schema, key: str, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, delay: str = "1 day", time_column: str | None = None) -> StreamingQuery:
-    """Processes what is new in ``path`` and appends it to ``out``, then stops.
+    """Processes what is new in ``path`` and writes it to ``out``, then stops.
 
-    With a time column, keys are remembered for ``delay`` (watermark), so that the state stays bounded.
+    Each batch has a folder of its own name, which a replayed batch overwrites, so a failure between
+    writing and the checkpoint repeats no row.  With a time column, keys are remembered for ``delay`` (watermark);
+    without one, the state grows with the number of keys.
     """
     rows = spark.readStream.schema(schema).parquet(path)
     rows = rows.withWatermark(time_column, delay).dropDuplicatesWithinWatermark([key]) if time_column else rows.dropDuplicates([key])
-    append = lambda batch, _: process(batch).write.mode("append").parquet(out)
+    append = lambda batch, n: process(batch).write.mode("overwrite").parquet(f"{out}/batch={n}")
     query = rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

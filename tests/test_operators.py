@@ -184,3 +184,45 @@ def test_stream_resumes(spark, tmp_path):
     spark.createDataFrame([(4, "c")], "seq long, key string").write.mode("append").parquet(src)
     resume.run_once(spark, src, schema, "key", lambda b: b, out, mark)
     assert spark.read.parquet(out).count() == 3
+
+
+def test_seq_of_files_and_registries(spark, tmp_path):
+    """Unique, in order of the registry, then of file names, then of lines; larger files and wildcards too."""
+    for folder, names in (("one", ("b", "a")), ("two", ("c",))):
+        (tmp_path / folder).mkdir()
+        for name in names:
+            n = 2 if name == "a" else 200
+            (tmp_path / folder / f"{name}.json").write_text("".join(f'{{"query": "{name}{i}"}}\n' for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+    try:
+        got = [r["query"] for r in files.json_lines(spark, str(tmp_path / "one/*.json"), "query string").orderBy("seq").collect()]
+        assert got == [f"a{i}" for i in range(2)] + [f"b{i}" for i in range(200)]
+        registry = [{"path": str(tmp_path / p), "kind": p, "source": p, "source_model": "m"} for p in ("two", "one")]
+        both = files.labelled_union(spark, registry, "query string").orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["query"] for r in both] == [f"c{i}" for i in range(200)] + got
+    assert len({r["seq"] for r in both}) == 402
+    assert files.labelled_union(spark, registry, "query string", set()).count() == 0
+
+
+def test_ranks_and_totals_in_skewed_groups(spark):
+    df = rows(spark, 300).withColumns({"g": F.when(F.col("seq") % 10 < 9, "big").otherwise("small"), "v": F.col("seq") % 4})
+    got = rel.ranked(df, "g", F.col("seq"), totals={"t": F.col("v")}).orderBy("seq").collect()
+    seen, total = {}, {}
+    for r in got:
+        seen[r["g"]] = seen.get(r["g"], 0) + 1
+        total[r["g"]] = total.get(r["g"], 0) + r["v"]
+        assert (r["rank"], r["t"]) == (seen[r["g"]], total[r["g"]])
+
+
+def test_stage_outside_the_table_fails(spark):
+    stages = spark.createDataFrame([(i, "x") for i in range(1, 6)], "stage int, name string")
+    with pytest.raises(Exception, match="no stage from 1 to 5"):
+        rel.stage_lookup(spark.createDataFrame([(6,)], "stage int"), stages).collect()
+
+
+def test_samples_are_no_single_task(spark):
+    df = rows(spark, 100)
+    for out in (rel.sample(df, 30, "s"), rel.group_split(df, "seq", 0.1, "s"), rel.stratified_sample(df, "seq", 30, "s")):
+        assert "TakeOrderedAndProject" not in out._jdf.queryExecution().executedPlan().toString()
