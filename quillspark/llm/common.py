@@ -42,7 +42,8 @@ BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
-def _small_batches(spark: SparkSession):
+def small_batches(spark: SparkSession):
+    """Holds Arrow batches small for the actions inside."""
     before = spark.conf.get(BATCH_KEY)
     spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
     try:
@@ -54,7 +55,7 @@ def _small_batches(spark: SparkSession):
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again: the lineage is cut, and a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, name)
-    with _small_batches(df.sparkSession):
+    with small_batches(df.sparkSession):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -105,7 +106,7 @@ def fit_in_a_task(rows: DataFrame, order: list, fit):
         model = fit(batches)
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    found = rows.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").first()
+    found = rows.repartition(1).sortWithinPartitions(*order).mapInArrow(tidy(run), "model binary").first()
     return pickle.loads(bytes(found["model"])) if found else None
 
 
@@ -113,6 +114,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy(run):
+    """``run`` for ``mapInArrow``, giving memory back when it is done."""
+
+    def tidied(batches):
+        from .textnp import release
+
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def map_texts(df: DataFrame, make, fields: str, text: str = "text", drop_text: bool = True) -> DataFrame:
     """Adds columns computed from whole texts, a few megabytes at a time.
 
@@ -149,4 +164,4 @@ def map_texts(df: DataFrame, make, fields: str, text: str = "text", drop_text: b
             columns += [pa.concat_arrays(p).cast(t) for p, t in zip(parts, types, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=keep + [x.name for x in new.fields])
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(tidy(run), out)

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as T
-from .common import map_texts, shuffle_partitions, stored, table, temporary
+from .common import map_texts, shuffle_partitions, stored, table, temporary, tidy
 from .components import components
 
 K = 5
@@ -249,8 +249,8 @@ def join_keys(docs: DataFrame, n_shingles: int) -> DataFrame:
                 size += len(held[-1][0]) // 6
         yield from flush()
 
-    sent = docs.select("text").mapInArrow(send, "part int, block int, keys binary, docs binary, classes binary")
-    return sent.repartition(parts, "part").sortWithinPartitions("block").select("block", "keys", "docs", "classes").mapInArrow(meet, FOUND)
+    sent = docs.select("text").mapInArrow(tidy(send), "part int, block int, keys binary, docs binary, classes binary")
+    return sent.repartition(parts, "part").sortWithinPartitions("block").select("block", "keys", "docs", "classes").mapInArrow(tidy(meet), FOUND)
 
 
 def _unpacked(row: list[bytes], turn: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,7 +317,7 @@ def _filtered(pairs: DataFrame) -> DataFrame:
             keep = [i for i, (_, _, na, nb, sa, sb) in enumerate(zip(*columns, strict=True)) if may_link(na, nb, sa, sb)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def check(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -359,7 +359,7 @@ def check(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     sets = map_texts(texts.join(roles, "id").select("id", "a", "part", "role", "text"), make, "own binary")
-    return sets.repartition(shuffle_partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(compare, "a long, b long").distinct()
+    return sets.repartition(shuffle_partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(tidy(compare), "a long, b long").distinct()
 
 
 class ShingleSet:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as T
-from .common import shuffle_partitions, stored, table
+from .common import shuffle_partitions, stored, table, tidy
 
 WINDOW, GRAM = 35, 8
 BLOCK_BYTES, BLOCKS = 32 << 20, 4096
@@ -217,8 +217,8 @@ def find_factors(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({k: np.ascontiguousarray(own[k]) for k in FACTOR_TYPE.names})
         yield from flush()
 
-    sent = docs.select(ID, KEY, "text").mapInArrow(send, "part int, block int, docs binary, runs binary, hashes binary, found binary")
-    return sent.repartition(parts, "part").sortWithinPartitions("block").select("block", "docs", "runs", "hashes", "found").mapInArrow(index, FACTOR)
+    sent = docs.select(ID, KEY, "text").mapInArrow(tidy(send), "part int, block int, docs binary, runs binary, hashes binary, found binary")
+    return sent.repartition(parts, "part").sortWithinPartitions("block").select("block", "docs", "runs", "hashes", "found").mapInArrow(tidy(index), FACTOR)
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def remove(docs: DataFrame) -> DataFrame:
 
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-    return rows.mapInArrow(run, StructType([*kept, StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())]))
+    return rows.mapInArrow(tidy(run), StructType([*kept, StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,9 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -140,6 +143,14 @@ class Words:
         return data[keep], size[self.first]
 
 
+def release() -> None:
+    """Gives freed memory back to the system at the end of a task, since Python workers live on to run others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lanes(raw: np.ndarray) -> np.ndarray:
     """The bytes as little-endian 64-bit numbers, with room behind them."""
     out = np.zeros(len(raw) // 8 + 2, "<u8")

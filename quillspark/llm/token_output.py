@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnp as T
-from .common import scratch_path, shuffle_partitions, table
+from .common import scratch_path, shuffle_partitions, small_batches, table, tidy
 
 MAGIC = b"QTOK1"
 END = 0
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 20_000, 64 << 10
 #: Distinct pieces that one Python process remembers, and bytes of text that it encodes at once.
-CACHE, PIECE = 1_500_000, 512 << 10
+CACHE, PIECE = 1_000_000, 1 << 20
 SEGMENT_TOKENS = 4_000_000
 LEVEL = 3
 
@@ -96,6 +96,23 @@ def _cuttable(tokenizer) -> bool:
     return spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not any(c in t for t in tokens for c in " \n.,")
 
 
+class _Grown:
+    """An array that grows at its end; what lies behind its values is 0."""
+
+    def __init__(self, dtype, *first):
+        self.data, self.n = np.zeros(1 << 12, dtype), 0
+        self.add(np.array(first, dtype))
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end + 16 > len(self.data):
+            data = np.zeros((end + end // 2) // 16 * 16 + 64, self.data.dtype)
+            data[: self.n] = self.data[: self.n]
+            self.data = data
+        self.data[self.n : end] = values
+        self.n = end
+
+
 class Encoder:
     """Encodes texts piece by piece and remembers the ids of pieces; a piece is known by its bytes, which its hash only finds."""
 
@@ -109,29 +126,42 @@ class Encoder:
 
     def _reset(self) -> None:
         self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.begin, self.length, self.flat = np.zeros(1, np.int64), np.ones(1, np.int32), np.full(1, END, f"<u{self.width}")
-        # Slot 0 is the end id, without bytes.
-        self.text, self.lanes = np.zeros(0, np.uint8), T.lanes(np.zeros(0, np.uint8))
-        self.text_at, self.text_size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        # Of each slot: where its ids begin and how many there are, where its bytes begin and how many.  Slot 0 is the end id, without bytes.
+        self.begin, self.length, self.flat = _Grown(np.int64, 0), _Grown(np.int32, 1), _Grown(f"<u{self.width}", END)
+        self.text_at, self.text_size, self.text = _Grown(np.int64, 0), _Grown(np.int32, 0), _Grown(np.uint8)
+        self.used = _Grown(bool, True)
+
+    def _forget(self) -> None:
+        """Drops the pieces that came only once, and all of them where most came again."""
+        keep = self.used.data[self.slot]
+        keys, slot = self.keys[keep], self.slot[keep]
+        parts = [(g.data[slot].astype(np.int64), n.data[slot].astype(np.int64), v.data) for g, n, v in ((self.begin, self.length, self.flat), (self.text_at, self.text_size, self.text))]
+        self._reset()
+        if len(keys) > CACHE // 2:
+            return
+        for (begin, length, values), (g, n, v) in zip(parts, ((self.begin, self.length, self.flat), (self.text_at, self.text_size, self.text)), strict=True):
+            g.add(v.n + np.cumsum(length) - length)
+            n.add(length)
+            v.add(values[T.ragged(begin, length)])
+        self.used.add(np.zeros(len(keys), bool))
+        self.keys, self.slot = keys, np.arange(1, len(keys) + 1, dtype=np.int32)
 
     def _add(self, pieces: list[bytes], keys: np.ndarray | None = None) -> np.ndarray:
-        """Slots of new pieces; those with keys are found again."""
+        """Slots of new pieces; those with (ascending) keys are found again."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
         length = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), self.flat.dtype, int(length.sum()))
-        slot = np.arange(len(self.begin), len(self.begin) + len(ids), dtype=np.int32)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, flat])
-        self.text_at = np.concatenate([self.text_at, len(self.text) + np.cumsum(size) - size])
-        self.text_size = np.concatenate([self.text_size, size])
-        self.text = np.concatenate([self.text, np.frombuffer(b"".join(pieces), np.uint8)])
-        self.lanes = T.lanes(self.text)
+        size = np.fromiter(map(len, pieces), np.int32, len(pieces))
+        slot = np.arange(self.begin.n, self.begin.n + len(ids), dtype=np.int32)
+        self.begin.add(self.flat.n + np.cumsum(length, dtype=np.int64) - length)
+        self.length.add(length)
+        self.flat.add(np.fromiter(chain.from_iterable(ids), self.flat.data.dtype, int(length.sum())))
+        self.text_at.add(self.text.n + np.cumsum(size, dtype=np.int64) - size)
+        self.text_size.add(size)
+        self.text.add(np.frombuffer(b"".join(pieces), np.uint8))
+        self.used.add(np.zeros(len(pieces), bool))
         if keys is not None:
-            keys, known = np.concatenate([self.keys, keys]), np.concatenate([self.slot, slot])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.slot = keys[order], known[order]
+            at = np.searchsorted(self.keys, keys)
+            self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, slot)
         return slot
 
     def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,27 +173,28 @@ class Encoder:
         first = np.searchsorted(start, off)
         u, at, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
         if len(self.keys) > CACHE:
-            self._reset()
+            self._forget()
         where = np.searchsorted(self.keys, u)
         known = np.zeros(len(u), bool)
         inside = where < len(self.keys)
         known[inside] = self.keys[where[inside]] == u[inside]
+        self.used.data[self.slot[where[known]]] = True
         if not known.all():
             data = raw.tobytes()
             new = np.flatnonzero(~known)
             self._add([data[a:b] for a, b in zip(start[at[new]].tolist(), words.end[at[new]].tolist(), strict=True)], u[new])
         slots = self.slot[np.searchsorted(self.keys, u)][inverse] if len(u) else np.zeros(0, np.int64)
         size = words.end - words.start
-        same = size == self.text_size[slots]
-        same[same] = T.same_bytes(raw, start[same], self.text, self.text_at[slots[same]], size[same], self.lanes)
+        same = size == self.text_size.data[slots]
+        same[same] = T.same_bytes(raw, start[same], self.text.data, self.text_at.data[slots[same]], size[same], self.text.data.view("<u8"))
         if not same.all():
             # Other bytes under the same hash: encoded by themselves.
             other = np.flatnonzero(~same)
             slots[other] = self._add([raw[start[i] : words.end[i]].tobytes() for i in other.tolist()])
         slots = np.insert(slots, first[1:], 0)
-        length = self.length[slots]
+        length = self.length.data[slots]
         total = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[T.ragged(self.begin[slots], length)]
+        ids = self.flat.data[T.ragged(self.begin.data[slots], length)]
         return ids, total[first + np.arange(n + 1)]
 
 
@@ -266,7 +297,8 @@ def write(docs: DataFrame, where: str, path: str | None = None) -> bytes:
 
     docs = docs.withColumn("salt", F.xxhash64("text"))
     ordered = docs.repartitionByRange(shuffle_partitions(spark), "doc_id", "salt").sortWithinPartitions("doc_id", "salt", "text").select("doc_id", "text")
-    ordered.mapInArrow(run, "file int, segment int, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{where}/segments")
+    with small_batches(spark):
+        ordered.mapInArrow(tidy(run), "file int, segment int, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{where}/segments")
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{where}/dictionary")
     return dictionary
 
@@ -296,7 +328,7 @@ def _read(spark, where: str, field: str, value, kind) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(s.doc_ids[lo:hi], mask=s.null[lo:hi]), "start": pa.array(start[lo:hi]), "n_tokens": pa.array(s.counts[lo:hi]), name: pa.array([value(s[i]) for i in range(lo, hi)], kind)})
 
     joined = segments.select("file", "segment", "payload").join(starts, ["file", "segment"]).select("begin", "payload")
-    return joined.mapInArrow(run, f"doc_id long, start long, n_tokens long, {field}")
+    return joined.mapInArrow(tidy(run), f"doc_id long, start long, n_tokens long, {field}")
 
 
 def write_and_digest(docs: DataFrame) -> DataFrame:

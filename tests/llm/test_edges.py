@@ -444,6 +444,21 @@ def test_encoder_tells_pieces_apart_by_bytes(monkeypatch):
     assert encoded(e) == want
 
 
+def test_encoder_forgets_what_it_does_not_use(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "CACHE", 40)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "of", f"w{rng.random()}"]) for _ in range(30)) for _ in range(60)]
+    t = Tokenizer.from_file(token_output.default_tokenizer())
+    e = token_output.Encoder(token_output.default_tokenizer())
+    for lo, hi, raw, off in T.pieces(pa.array(texts), 300):
+        ids, at = e(raw, off)
+        for i in range(hi - lo):
+            assert ids[at[i] : at[i + 1]].tolist() == [*t.encode(texts[lo + i], add_special_tokens=False).ids, 0]
+    assert e.begin.n < 300
+
+
 def test_segment_of_another_dictionary_is_refused():
     import zstandard
 
