@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import struct
 import zlib
 from functools import lru_cache
@@ -44,8 +45,10 @@ MAGIC = b"QTOK1"
 END = 0
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 20_000, 64 << 10
 #: Distinct pieces that one Python process remembers, and bytes of text that it encodes at once.
-CACHE, PIECE = 1_000_000, 1 << 20
-SEGMENT_TOKENS = 4_000_000
+CACHE, PIECE = 700_000, 512 << 10
+#: New pieces that go to the tokenizer at once.
+AT_ONCE = 8192
+SEGMENT_TOKENS = 1_000_000
 LEVEL = 3
 
 
@@ -117,6 +120,8 @@ class Encoder:
     """Encodes texts piece by piece and remembers the ids of pieces; a piece is known by its bytes, which its hash only finds."""
 
     def __init__(self, path: str):
+        # Tasks fill the cores; threads of the library's own would take memory without sparing time.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -148,7 +153,10 @@ class Encoder:
 
     def _add(self, pieces: list[bytes], keys: np.ndarray | None = None) -> np.ndarray:
         """Slots of new pieces; those with (ascending) keys are found again."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        ids = []
+        # The library's own records of a piece are large, so only some are alive at once.
+        for lo in range(0, len(pieces), AT_ONCE):
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces[lo : lo + AT_ONCE]], add_special_tokens=False)]
         length = np.fromiter(map(len, ids), np.int32, len(ids))
         size = np.fromiter(map(len, pieces), np.int32, len(pieces))
         slot = np.arange(self.begin.n, self.begin.n + len(ids), dtype=np.int32)
