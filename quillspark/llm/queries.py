@@ -16,6 +16,9 @@ MODULES = {
     "op8_html": "html_extract",
     "op9_topk": "topk",
     "op10_chat": "chat",
+    "op11_branches": "branch_merge",
+    "op12_conversations": "conversation_repair",
+    "op13_urls": "url_filter",
 }
 
 _loaded = {name: importlib.import_module(f"{__package__}.{module}") for name, module in MODULES.items()}
