@@ -33,42 +33,40 @@ SAMPLE = 8
 BLOCK_CHARS = 2_000_000
 
 
-def _split(raw: np.ndarray, off: np.ndarray) -> T.Words:
-    return T.Words(T.LOWER[raw], off, T.ALNUM)
+def _split(raw: np.ndarray, off: np.ndarray, key: int) -> T.Words:
+    return T.Words(T.LOWER[raw], off, T.ALNUM, key)
 
 
 class Phrases:
     """The distinct windows of a block of benchmark items, as rows of symbols."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = N):
-        self.ids = [None if i is None else str(i) for i, _ in items]
-        text = pa.array([t or "" for _, t in items], pa.string())
-        rows, owner, keys = [], [], []
-        for lo, _, raw, off in T.pieces(text, 1 << 62):
-            words = _split(raw, off)
-            h = words.hashes()
-            keys.append(h)
-            for i in range(len(off) - 1):
-                own = h[words.first[i] : words.first[i + 1]]
-                k = min(n, len(own))
-                for j in range(len(own) - k + 1 if k else 0):
-                    rows.append(own[j : j + k])
-                    owner.append(lo + i)
-        #: Hashes of the symbols from ``WORDS`` on, and their bytes.
-        self.vocabulary, at = np.unique(np.concatenate(keys), return_index=True) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        data = words.raw.tobytes() if keys else b""
-        self.spelled = [data[words.start[i] : words.end[i]] for i in at.tolist()]
+        self.ids, self.key = [None if i is None else str(i) for i, _ in items], T.new_key()
+        raw, off = T.buffers(pa.array([t or "" for _, t in items], pa.large_string()))
+        words = _split(raw[off[0] : off[-1]], off - off[0], self.key)
+        data = words.raw.tobytes()
+        spelled = [data[a:b] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)]
+        known = dict(zip(spelled, words.hashes().tolist(), strict=True))
+        #: Words of the symbols from ``WORDS`` on, in order of their hashes, and these.
+        self.spelled = sorted(known, key=lambda w: (known[w], w))
+        self.vocabulary = np.array([known[w] for w in self.spelled], np.uint64)
+        #: Hashes that several words have.
+        self.shared = np.unique(self.vocabulary[1:][self.vocabulary[1:] == self.vocabulary[:-1]])
+        self.symbol = {w: i + WORDS for i, w in enumerate(self.spelled)}
+        symbols = [self.symbol[w] for w in spelled]
         seen: dict[tuple, int] = {}
         self.items: list[list[int]] = []
         distinct = []
-        for row, item in zip(rows, owner, strict=True):
-            symbols = tuple((np.searchsorted(self.vocabulary, row) + WORDS).tolist())
-            if symbols not in seen:
-                seen[symbols] = len(distinct)
-                distinct.append(symbols)
-                self.items.append([])
-            if item not in self.items[seen[symbols]]:
-                self.items[seen[symbols]].append(item)
+        for item, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+            k = min(n, b - a)
+            for j in range(a, b - k + 1 if k else a):
+                row = tuple(symbols[j : j + k])
+                if row not in seen:
+                    seen[row] = len(distinct)
+                    distinct.append(row)
+                    self.items.append([])
+                if item not in self.items[seen[row]]:
+                    self.items[seen[row]].append(item)
         self.length = np.array([len(s) for s in distinct], np.int64)
         self.longest, self.shortest = int(self.length.max(initial=0)), int(self.length.min(initial=0))
         #: Last symbol first, as backward search takes them; padded with 0.
@@ -76,6 +74,15 @@ class Phrases:
         for i, s in enumerate(distinct):
             self.backward[i, : len(s)] = s[::-1]
 
+    def symbols(self, words: T.Words) -> np.ndarray:
+        """The symbol of each word, by its hash; of a hash that several words of the benchmark have, by its bytes."""
+        h = words.hashes()
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        out = np.where(self.vocabulary[at] == h, at + WORDS, SEPARATOR)
+        for i in np.flatnonzero(np.isin(h, self.shared)).tolist() if len(self.shared) else ():
+            out[i] = self.symbol.get(words.raw[words.start[i] : words.end[i]].tobytes(), SEPARATOR)
+        return out
+
 
 class Wavelet:
     """A wavelet matrix of symbols: rank(c, i), how often c is among the first i."""
@@ -149,10 +156,8 @@ def _occurrences(p: Phrases, words: T.Words) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if not len(p.length) or not len(words):
         return none, none
-    h = words.hashes()
-    at = np.minimum(np.searchsorted(p.vocabulary, h), len(p.vocabulary) - 1)
-    symbol = np.where(p.vocabulary[at] == h, at + WORDS, SEPARATOR)
-    ends = np.zeros(len(h) + 1, bool)
+    symbol = p.symbols(words)
+    ends = np.zeros(len(symbol) + 1, bool)
     ends[words.first] = True
     begins = (symbol != SEPARATOR) & (np.concatenate([[True], symbol[:-1] == SEPARATOR]) | ends[:-1])
     stops = (symbol != SEPARATOR) & (np.concatenate([symbol[1:] == SEPARATOR, [True]]) | ends[1:])
@@ -178,7 +183,7 @@ def _occurrences(p: Phrases, words: T.Words) -> tuple[np.ndarray, np.ndarray]:
     first = place[index.locate(rows)]
     # Equal hashes aren't yet equal words: spell out each word of an occurrence once.
     used = np.unique(np.repeat(first, p.length[phrase]) + np.arange(int(p.length[phrase].sum())) - np.repeat(np.cumsum(p.length[phrase]) - p.length[phrase], p.length[phrase]))
-    wrong = np.zeros(len(h) + 1, np.int64)
+    wrong = np.zeros(len(symbol) + 1, np.int64)
     for i in used.tolist():
         wrong[i + 1] = words.raw[words.start[i] : words.end[i]].tobytes() != p.spelled[symbol[i] - WORDS]
     wrong = np.cumsum(wrong)
@@ -196,7 +201,7 @@ def _pass(docs: DataFrame, phrases: Phrases) -> DataFrame:
         p = held.value
 
         def run(raw, off):
-            words, n = _split(raw, off), len(off) - 1
+            words, n = _split(raw, off, p.key), len(off) - 1
             first, phrase = _occurrences(p, words)
             edge = np.zeros(len(words) + 1, np.int64)
             np.add.at(edge, first, 1)

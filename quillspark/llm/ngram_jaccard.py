@@ -17,9 +17,9 @@ Filter.  A second sketch, of 2 to 4 bits for each shingle, has bit hash(s)
 flipped for every shingle s.  The Hamming distance of two such sketches is a lower
 bound of the number of differing shingles; pairs over D are dropped.
 
-Check.  What is left is compared shingle by shingle: 64-bit hashes find the
-shingles that two documents may share, and their words are compared byte by
-byte before they count.
+Check.  What is left is compared shingle by shingle: 64-bit hashes, by a key that is new in
+every run, find the shingles that are the same in a document or in two, and their words are compared byte by
+byte before they count as one.
 
 Groups.  Documents with equal words (a 128-bit digest of them; of the sorted set for
 sets under ``SMALLEST``) are one class and join once.  A key shared
@@ -64,12 +64,12 @@ CHUNK_BYTES = 2 << 20
 U = np.uint64
 
 
-def _shingles(words: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the shingles of each text, their texts and their first words; not distinct."""
+def _shingles(words: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each text, their texts, first words and last words; not distinct."""
     h, counts = words.hashes(), words.counts()
     at = np.flatnonzero(T.window_starts(words.first, K))
     value, doc = [T.windows(h, K)[at]], [T.text_of(words.first)[at]]
-    at = [at]
+    at, last = [at], [at + K - 1]
     for k in range(1, K):
         # A text of fewer words is one shingle.
         short = np.flatnonzero(counts == k)
@@ -77,35 +77,55 @@ def _shingles(words: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             value.append(T.mix(T.windows(h, k)[words.first[short]] + U(k)))
             doc.append(short)
             at.append(words.first[short])
-    return np.concatenate(value), np.concatenate(doc), np.concatenate(at)
+            last.append(words.first[short] + k - 1)
+    return tuple(map(np.concatenate, (value, doc, at, last)))
 
 
-def _distinct(value: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values of each text in ascending order, offsets of the texts, and where each was first."""
+def distinct_shingles(words: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each text in ascending order, offsets of the texts (texts + 1), first byte and length of each.
+
+    ``words``: of texts whose words are joined by one space.  Shingles are distinct if their bytes are, so a
+    hash occurs twice where two of a text have the same.
+    """
+    value, doc, at, last = _shingles(words)
     order = np.argsort(value, kind="stable")
     order = order[np.argsort(doc[order].astype(np.uint32), kind="stable")]
     value, doc = value[order], doc[order]
+    start = words.start[at[order]]
+    length = words.end[last[order]] - start
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-    return value[new], np.searchsorted(doc[new], np.arange(n + 1)), order[new]
+    again = np.flatnonzero(~new)
+    same = length[again] == length[again - 1]
+    same[same] = T.same_bytes(words.raw, start[again[same]], words.raw, start[again[same] - 1], length[again[same]])
+    if not same.all():
+        group = np.cumsum(new) - 1
+        for g in np.unique(group[again[~same]]).tolist():
+            seen = set()
+            for i in np.flatnonzero(group == g).tolist():
+                own = words.raw[start[i] : start[i] + length[i]].tobytes()
+                new[i] = own not in seen
+                seen.add(own)
+    return value[new], np.searchsorted(doc[new], np.arange(len(words.first))), start[new], length[new]
 
 
 def shingles(words: T.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, in ascending order; offsets of the texts (texts + 1)."""
-    value, doc, _ = _shingles(words)
-    return _distinct(value, doc, len(words.first) - 1)[:2]
+    """``distinct_shingles`` without the places."""
+    return distinct_shingles(words)[:2]
 
 
-def _split(raw: np.ndarray, off: np.ndarray) -> T.Words:
-    return T.Words(T.LOWER[raw], off)
+def _split(raw: np.ndarray, off: np.ndarray, key: int) -> T.Words:
+    """The lower-cased words of each text, joined by one space."""
+    data, at = T.Words(T.LOWER[raw], off).joined()
+    return T.Words(data, at, key=key)
 
 
 def class_digests(words: T.Words, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits for each text that are equal for texts of equal words, and for equal sets of fewer than ``SMALLEST`` shingles."""
-    data, at = words.joined()
-    whole = data.tobytes()
+    whole = words.raw.tobytes()
+    bounds = words.offsets.tolist()
     out = np.zeros((len(n), 2), "<i8")
-    for i, (a, b, size) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), n.tolist(), strict=True)):
+    for i, (a, b, size) in enumerate(zip(bounds[:-1], bounds[1:], n.tolist(), strict=True)):
         own = whole[a:b]
         if 0 < size < SMALLEST:
             w = own.split(b" ")
@@ -125,12 +145,12 @@ def _sketches(value: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [packed[a:b] for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist(), strict=True)]
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, hash_key: int) -> DataFrame:
     """doc_id, text, ... -> doc_id, n, h1, h2, sketch."""
 
     def make():
         def run(raw, off):
-            words = _split(raw, off)
+            words = _split(raw, off, hash_key)
             value, first = shingles(words)
             return [np.diff(first), *class_digests(words, np.diff(first)), pa.array(_sketches(value, first), pa.binary())]
 
@@ -185,7 +205,7 @@ def keys(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 FOUND = "gid long, a long, b long"
 
 
-def join_keys(docs: DataFrame, n_shingles: int) -> DataFrame:
+def join_keys(docs: DataFrame, n_shingles: int, hash_key: int) -> DataFrame:
     """Classes (h1) that share a key: pairs (a, b), and (gid, a) for the classes of a key that has more than ``ALL_PAIRS``.
 
     ``n_shingles``: the sum over all documents, about three times the number of keys.
@@ -198,7 +218,7 @@ def join_keys(docs: DataFrame, n_shingles: int) -> DataFrame:
         for batch in batches:
             for top in range(0, batch.num_rows, 60_000):
                 for _, _, raw, off in T.pieces(batch.column(0).slice(top, 60_000)):
-                    words = _split(raw, off)
+                    words = _split(raw, off, hash_key)
                     value, first = shingles(words)
                     h1, _ = class_digests(words, np.diff(first))
                     _, one = np.unique(h1, return_index=True)
@@ -320,7 +340,7 @@ def _filtered(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
-def check(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def check(docs: DataFrame, pairs: DataFrame, hash_key: int) -> DataFrame:
     """The pairs (a, b) of document ids whose similarity is 0.8 or more, shingle by shingle.
 
     A document is sent once for each centre a that it is compared with; the
@@ -337,7 +357,7 @@ def check(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def make():
         def run(raw, off):
-            data, at = _split(raw, off).joined()
+            data, at = T.Words(T.LOWER[raw], off).joined()
             whole = data.tobytes()
             return [pa.array([whole[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())]
 
@@ -350,7 +370,7 @@ def check(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for doc, a, part, role, own in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
                 if (a, part) != at:
                     at, centres = (a, part), []
-                x = ShingleSet(own.as_py())
+                x = ShingleSet(own.as_py(), hash_key)
                 if role == 0:
                     centres.append(x)
                 elif any(100 * (both := c.shared(x)) >= 80 * (len(c) + len(x) - both) for c in centres):
@@ -365,20 +385,23 @@ def check(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 class ShingleSet:
     """The distinct shingles of one text of lower-cased words that are joined by one space."""
 
-    def __init__(self, joined: bytes):
+    def __init__(self, joined: bytes, hash_key: int = 0):
         self.raw = np.frombuffer(joined, np.uint8)
-        words = T.Words(self.raw, np.array([0, len(joined)]))
-        value, doc, at = _shingles(words)
-        self.value, _, first = _distinct(value, doc, 1)
-        last = at[first] + min(K, len(words)) - 1
-        self.start = words.start[at[first]]
-        self.length = words.end[last] - self.start
+        words = T.Words(self.raw, np.array([0, len(joined)]), key=hash_key)
+        self.value, _, self.start, self.length = distinct_shingles(words)
+        self.repeats = bool((self.value[1:] == self.value[:-1]).any())
 
     def __len__(self) -> int:
         return len(self.value)
 
+    def _spelled(self) -> set[bytes]:
+        whole = self.raw.tobytes()
+        return {whole[a : a + n] for a, n in zip(self.start.tolist(), self.length.tolist(), strict=True)}
+
     def shared(self, other: ShingleSet) -> int:
         """How many shingles both have, byte by byte."""
+        if self.repeats or other.repeats:  # one hash of several shingles
+            return len(self._spelled() & other._spelled())
         _, i, j = np.intersect1d(self.value, other.value, assume_unique=True, return_indices=True)
         alike = self.length[i] == other.length[j]
         i, j = i[alike], j[alike]
@@ -432,20 +455,21 @@ def linked(docs: DataFrame) -> DataFrame:
     linked with nothing and has a null component.  Ids are integers (others fail).  Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = stored(signatures(docs), "signatures")
+    hash_key = T.new_key()
+    sig = stored(signatures(docs, hash_key), "signatures")
     with temporary(docs.sparkSession) as keep:
-        of_class = stored(_components_of_classes(docs, sig), "classes")
+        of_class = stored(_components_of_classes(docs, sig, hash_key), "classes")
         keep(of_class)
     out = sig.drop("sketch").join(of_class, ["h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("_c")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
-def _components_of_classes(docs: DataFrame, sig: DataFrame) -> DataFrame:
+def _components_of_classes(docs: DataFrame, sig: DataFrame, hash_key: int) -> DataFrame:
     """h1, h2, _c."""
     classes = sig.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = stored(sig.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("rep"), "n", "h1", "h2", "sketch").dropDuplicates(["rep", "h1", "h2"]), "reps")
     n_shingles = reps.agg(F.sum("n")).first()[0] or 0
-    found = stored(join_keys(docs.where("doc_id is not null"), n_shingles), "found")
+    found = stored(join_keys(docs.where("doc_id is not null"), n_shingles, hash_key), "found")
     left, right = (reps.select(F.col("h1").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     pairs = found.where("gid is null").select("a", "b").distinct()
     # Sizes first: the sketches of pairs that differ too much in size are not fetched.
@@ -456,7 +480,7 @@ def _components_of_classes(docs: DataFrame, sig: DataFrame) -> DataFrame:
     # Rows that share an id keep their classes together.
     several = sig.where("n > 0 and doc_id is not null").groupBy("doc_id").agg((F.min("h1") != F.max("h1")).alias("x")).where("x").select("doc_id")
     shared = sig.join(several, "doc_id", "left_semi").where("n > 0").join(classes, ["h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = stored(check(docs, near).unionByName(shared), "checked")
+    links = stored(check(docs, near, hash_key).unionByName(shared), "checked")
     known = components(links)
     members = found.where("gid is not null").select("gid", F.col("a").alias("h1"))
     for most in NEAREST:
@@ -465,7 +489,7 @@ def _components_of_classes(docs: DataFrame, sig: DataFrame) -> DataFrame:
             break
         new = stored(left_over.join(near, ["a", "b"], "left_anti"), "untried")
         if new.limit(1).count():
-            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(check(docs, new)))
+            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(check(docs, new, hash_key)))
             near = near.unionByName(new)
     return classes.join(known, classes["rep"] == known["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("_c"))
 

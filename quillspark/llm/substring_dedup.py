@@ -13,8 +13,9 @@ that isn't inside the factor.  So a window that lies across two factors is
 looked up itself, and none is missed.  Factors span at least 35 words; the words
 they cover are the duplicate spans.  All occurrences count, the first one too.
 
-A word of a run is known by the window that ends in it.  Two windows are equal if
-their 64-bit hashes and the 64-bit hashes of their minimizers are, 128 bits in all.
+A word of a run is known by the window that ends in it.  Two windows are taken for equal if their 64-bit hashes are and those of their minimizers.
+Words are hashed by a key that is new in every run, so no text can bring a false match about; by
+chance, it takes two windows of one minimizer (they share eight words) with equal hashes, a probability of about 2**-64 a pair.
 
 Skew: texts held together (about 2 MB) are first factored against themselves,
 and send each distinct window once.  A passage that is in a third of all
@@ -118,10 +119,10 @@ def factors(places: tuple[np.ndarray, np.ndarray, np.ndarray], doc: np.ndarray,
     return doc[f], pos[f], size, doc[q], pos[q]
 
 
-def _cut(column_ids, keys, text):
+def _cut(column_ids, keys, text, hash_key):
     """Windows of each piece of texts: (documents, window hashes, text, position, block value)."""
     for lo, hi, raw, off in T.pieces(text):
-        words = T.Words(raw, off)
+        words = T.Words(raw, off, key=hash_key)
         h = words.hashes()
         w = T.windows(h, WINDOW)
         at = np.flatnonzero(T.window_starts(words.first, WINDOW))
@@ -153,14 +154,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 def find_factors(docs: DataFrame) -> DataFrame:
     """Every duplicate factor of ``keyed`` documents, with its source."""
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    parts, hash_key = shuffle_partitions(spark), T.new_key()
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(4 * parts, min(BLOCKS, n_bytes // BLOCK_BYTES))
 
     def send(batches):
         for batch in batches:
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for docs_, h, doc, pos, anchor in _cut(ids, keys, batch.column(2)):
+            for docs_, h, doc, pos, anchor in _cut(ids, keys, batch.column(2), hash_key):
                 places = _places(h, anchor)
                 own = factors(places, doc, pos)
                 found = np.zeros(len(own[0]), FACTOR_TYPE)

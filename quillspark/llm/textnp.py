@@ -2,9 +2,10 @@
 
 Texts never become Python strings here: the UTF-8 bytes of an Arrow batch are
 viewed as one numpy array, and words are runs of bytes outside a separator class.
-64-bit hashes chain a bijective mixer over the eight-byte lanes of a word, and over
-the halves of a window, so that no structure of a text makes two of them equal;
-``same_bytes`` compares what hashes call equal.  A batch is cut into pieces of about ``PIECE`` bytes (whole texts, never parts of one),
+64-bit hashes of words depend on a key: a bijective mixer for words of up to eight bytes, SipHash-1-3
+over the lanes of longer ones.  Operators draw a new key for every run (``new_key``), so no text can be made for which two words are
+taken for one; by chance two different words are with a probability of about 2**-64.
+``same_bytes`` compares what hashes call equal, wherever the bytes are at hand.  A batch is cut into pieces of about ``PIECE`` bytes (whole texts, never parts of one),
 so memory is bounded by the piece or by the longest single text.
 
 Null texts count as empty.
@@ -16,6 +17,7 @@ import contextlib
 import ctypes
 import gc
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,12 +87,12 @@ def pieces(column, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np
 
 
 class Words:
-    """The words of several texts: ``start``/``end`` in bytes, and ``first``: word offsets (texts + 1)."""
+    """The words of several texts (``offsets`` in ``raw``): ``start``/``end`` in bytes, and ``first``: word offsets (texts + 1)."""
 
-    __slots__ = ("raw", "start", "end", "first")
+    __slots__ = ("raw", "offsets", "start", "end", "first", "key")
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD):
-        self.raw = raw
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD, key: int = 0):
+        self.raw, self.offsets, self.key = raw, offsets, key
         inside = table[raw]
         edge = np.zeros(len(raw) + 1, dtype=bool)
         if len(raw):
@@ -117,14 +119,18 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+        """A 64-bit hash of each word's bytes, by the key."""
         length = self.end - self.start
-        h = mix(length.astype(np.uint64) * _P + _Q)
         wide = lanes(self.raw)
-        for j, at in _by_lane(length):
-            h[at] = mix(h[at] ^ _lane(wide, self.start[at] + 8 * j, length[at] - 8 * j))
+        h = mix(length.astype(np.uint64) * _P + (_Q ^ U64(self.key)))
+        short = np.flatnonzero(length <= 8)
+        h[short] = mix(h[short] ^ _lane(wide, self.start[short], length[short]))
+        at = np.flatnonzero((length > 8) & (length <= LONG))
+        if len(at):
+            h[at] = _sip(wide, self.start[at], length[at], self.key)
         for i in np.flatnonzero(length > LONG).tolist():
-            h[i] = int.from_bytes(hashlib.blake2b(self.raw[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
+            own = self.raw[self.start[i] : self.end[i]].tobytes()
+            h[i] = int.from_bytes(hashlib.blake2b(own, digest_size=8, key=self.key.to_bytes(8, "little")).digest(), "little")
         return h
 
     def joined(self) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +149,60 @@ class Words:
         return data[keep], size[self.first]
 
 
+def new_key() -> int:
+    """A key for the hashes of one run; drawn on the driver, and the same in all its tasks."""
+    return secrets.randbits(64)
+
+
+def _sip(wide: np.ndarray, start: np.ndarray, length: np.ndarray, key: int) -> np.ndarray:
+    """SipHash-1-3 of spans of up to ``LONG`` bytes, by the key and a second half made from it."""
+    order = np.argsort(-length, kind="stable")  # those with a j-th lane come first
+    start, length = start[order], length[order]
+    k0, k1 = U64(key), mix(np.array([key], np.uint64) + _P)[0]
+    v = [np.full(len(start), x) for x in (k0 ^ U64(0x736F6D6570736575), k1 ^ U64(0x646F72616E646F6D), k0 ^ U64(0x6C7967656E657261), k1 ^ U64(0x7465646279746573))]
+    most = int(length[0]) + 7 >> 3
+    for j in range(most):
+        n = int(np.searchsorted(-length, -8 * j, side="left"))
+        w = [x[:n] for x in v]
+        m = _lane(wide, start[:n] + 8 * j, length[:n] - 8 * j)
+        w[3] ^= m
+        _sip_round(*w)
+        w[0] ^= m
+    last = length.astype(np.uint64) << U64(56)
+    v[3] ^= last
+    _sip_round(*v)
+    v[0] ^= last
+    v[2] ^= U64(0xFF)
+    for _ in range(3):
+        _sip_round(*v)
+    out = np.empty(len(start), np.uint64)
+    out[order] = v[0] ^ v[1] ^ v[2] ^ v[3]
+    return out
+
+
+def _turn(x: np.ndarray, by: int) -> None:
+    high = x >> U64(64 - by)
+    x <<= U64(by)
+    x |= high
+
+
+def _sip_round(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> None:
+    a += b
+    _turn(b, 13)
+    b ^= a
+    _turn(a, 32)
+    c += d
+    _turn(d, 16)
+    d ^= c
+    a += d
+    _turn(d, 21)
+    d ^= a
+    c += b
+    _turn(b, 17)
+    b ^= c
+    _turn(c, 32)
+
+
 def release() -> None:
     """Gives freed memory back to the system at the end of a task, since Python workers live on to run others."""
     gc.collect()

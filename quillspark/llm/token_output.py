@@ -177,7 +177,7 @@ class Encoder:
         n = len(off) - 1
         start = cuts(raw, off) if self.cuttable else np.unique(off[:-1][np.diff(off) > 0])
         words = T.Words.__new__(T.Words)
-        words.raw, words.start, words.end = raw, start, np.append(start[1:], len(raw)) if len(start) else start
+        words.raw, words.key, words.start, words.end = raw, 0, start, np.append(start[1:], len(raw)) if len(start) else start
         first = np.searchsorted(start, off)
         u, at, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
         if len(self.keys) > CACHE:
