@@ -1,19 +1,19 @@
 """Text metrics as column expressions.
 
 Patterns run with Unicode classes and with line ends at \\n alone, which is
-how the lists in ``lexicons`` are meant.
+how the lists in ``lexicons`` are meant.  Lists of them are counted in one pass (``scan``).
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicons
-
-FLAGS = "(?Ud)"
+from .scan import FLAGS, Term, count_groups, counts, terms_of
 
 
 def strip(text: Column) -> Column:
@@ -24,36 +24,42 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(FLAGS + pattern))
 
 
-def count_all(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, (count(text, p) for p in patterns))
-
-
 def tag_counts(text: Column, tags: list[str] = lexicons.CLAIM_TAGS) -> Column:
     """Map of bracketed label -> occurrences, with their total."""
-    counts = [(t, count(text, rf"\[{t}\]")) for t in tags]
-    total = reduce(lambda a, b: a + b, (c for _, c in counts))
-    return F.create_map(*(x for t, c in [*counts, ("total", total)] for x in (F.lit(t), c)))
+    found = counts(text, [[rf"\[{t}\]"] for t in tags])
+    total = reduce(lambda a, b: a + b, found)
+    return F.create_map(*(x for t, c in zip([*tags, "total"], [*found, total], strict=True) for x in (F.lit(t), c)))
+
+
+def marker_counts(text: Column, **lists: list[str]) -> dict[str, Column]:
+    """How often the patterns of each list match in the lower-cased text, all of them in one pass."""
+    return dict(zip(lists, counts(F.lower(text), list(lists.values())), strict=True))
 
 
 def example_markers(text: Column) -> Column:
-    return count_all(F.lower(text), lexicons.EXAMPLE_MARKERS)
+    return marker_counts(text, n=lexicons.EXAMPLE_MARKERS)["n"]
 
 
 def grounding_markers(text: Column) -> Column:
-    return count_all(F.lower(text), lexicons.GROUNDING_MARKERS)
+    return marker_counts(text, n=lexicons.GROUNDING_MARKERS)["n"]
 
 
 def hedges(text: Column, patterns: list[str] = lexicons.HEDGES) -> Column:
-    return count_all(F.lower(text), patterns)
+    return marker_counts(text, n=patterns)["n"]
 
 
 def reasoning_steps(text: Column) -> Column:
-    return count(text, r"(?m)^\s*\d+[.)]\s") + count(text, rf"(?m)^\s*(?:{'|'.join(lexicons.STEP_LABELS)})[:\s]")
+    labelled = rf"(?m)^\s*(?:{'|'.join(lexicons.STEP_LABELS)})[:\s]"
+    return count(text, r"(?m)^\s*\d+[.)]\s") + counts(text, [[labelled]])[0]
 
 
 def syllogism(text: Column) -> Column:
     """Struct of the count of each step and of complete ones (the least count)."""
-    steps = {s: count(text, rf"(?i)(?:^|\n)\s*(?:\d+\.?\s*)?(?:\*\*)?{s}") for s in lexicons.SYLLOGISM_STEPS}
+    # Without letters that other ones than their capitals stand for, if case is ignored.
+    parts = [max(re.split("[isk]", s.lower()), key=len) for s in lexicons.SYLLOGISM_STEPS]
+    held = count_groups(F.lower(text), [[Term(p)] for p in parts])
+    step = lambda s: count(text, rf"(?i)(?:^|\n)\s*(?:\d+\.?\s*)?(?:\*\*)?{s}")
+    steps = {s: F.when(F.get(held, F.lit(i)) == 0, 0).otherwise(step(s)) for i, s in enumerate(lexicons.SYLLOGISM_STEPS)}
     return F.struct(*(c.alias(s.lower()) for s, c in steps.items()), F.least(*steps.values()).alias("complete"))
 
 
@@ -91,25 +97,26 @@ def or_sentinel(text: Column, message: str = "[ERROR]") -> Column:
 
 def structure(text: Column, tool_queries: Column | None = None) -> Column:
     """All metrics of a response in one struct."""
+    found = marker_counts(text, grounding=lexicons.GROUNDING_MARKERS, hedges=lexicons.HEDGES_SHORT)
     queries = F.coalesce(tool_queries, F.array().cast("array<string>")) if tool_queries is not None else F.array().cast("array<string>")
     return F.struct(
-        tag_counts(text, lexicons.CLAIM_TAGS_SHORT).alias("tags"), claims(text).alias("claim_count"), syllogism(text).alias("steps"), grounding_markers(text).alias("grounded_examples"),
-        hedges(text, lexicons.HEDGES_SHORT).alias("hedging_count"), F.size(queries).alias("total_searches"), queries.alias("search_queries"), words(text).alias("word_count"),
+        tag_counts(text, lexicons.CLAIM_TAGS_SHORT).alias("tags"), claims(text).alias("claim_count"), syllogism(text).alias("steps"), found["grounding"].alias("grounded_examples"),
+        found["hedges"].alias("hedging_count"), F.size(queries).alias("total_searches"), queries.alias("search_queries"), words(text).alias("word_count"),
     )
 
 
-def has_term(lowered: Column, term: str) -> Column:
+def category_term(term: str) -> Term:
     """A phrase with a space: as a substring; a single term: at word boundaries."""
-    quoted = "".join("\\" + c if not (c.isalnum() or c == "_" or c == " ") else c for c in term.lower())
-    return lowered.contains(term.lower()) if " " in term else lowered.rlike(rf"(?U)\b{quoted}\b")
+    return Term(term.lower()) if " " in term else Term(term.lower(), True, True)
 
 
 def category_hits(text: Column, categories: dict[str, list[str]] = lexicons.CATEGORIES, threshold: int = 2) -> Column:
     """array<struct<category, hits>> of the categories with that many different terms, most hits first; ties in order of declaration."""
-    lowered = F.lower(text)
-    scored = [F.struct((-reduce(lambda a, b: a + b, (has_term(lowered, t).cast("int") for t in terms))).alias("neg"), F.lit(i).alias("ord"), F.lit(c).alias("category")) for i, (c, terms) in enumerate(categories.items())]
-    found = F.array_sort(F.filter(F.array(*scored), lambda s: s["neg"] <= -threshold))
-    return F.transform(found, lambda s: F.struct(s["category"].alias("category"), (-s["neg"]).alias("hits")))
+    hits = count_groups(F.lower(text), [list(map(category_term, terms)) for terms in categories.values()], distinct=True)
+    names = F.array(*map(F.lit, categories))
+    scored = F.transform(hits, lambda n, i: F.struct((-n).alias("neg"), i.alias("ord")))
+    found = F.array_sort(F.filter(scored, lambda s: s["neg"] <= -threshold))
+    return F.transform(found, lambda s: F.struct(F.get(names, s["ord"]).alias("category"), (-s["neg"]).alias("hits")))
 
 
 def category(text: Column, categories: dict[str, list[str]] = lexicons.CATEGORIES, threshold: int = 2) -> Column:
@@ -118,7 +125,10 @@ def category(text: Column, categories: dict[str, list[str]] = lexicons.CATEGORIE
 
 
 def needs_search(question: Column, triggers: list[str] = lexicons.SEARCH_TRIGGERS) -> Column:
-    return F.lower(question).rlike("(?U)" + "|".join(f"(?:{t})" for t in triggers))
+    lowered, terms = F.lower(question), [terms_of(t, apart=False) for t in triggers]
+    found = F.get(count_groups(lowered, [[x for t in terms for x in t or ()]], distinct=True), F.lit(0)) > 0
+    rest = [t for t, x in zip(triggers, terms, strict=True) if x is None]
+    return found | lowered.rlike("(?U)" + "|".join(f"(?:{t})" for t in rest)) if rest else found
 
 
 def route(question: Column, triggers: list[str] = lexicons.SEARCH_TRIGGERS) -> Column:

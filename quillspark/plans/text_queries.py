@@ -1,4 +1,4 @@
-"""Text functions over texts that hold what the lexicons look for: an item's text and one of the fragments below, by its id."""
+"""Text functions over texts that hold what the lexicons look for: every document's whole text, and behind it one of the fragments below, by its id."""
 
 from __future__ import annotations
 
@@ -38,12 +38,12 @@ def _pattern(p: str) -> str:
     return p.replace("'", "''")
 
 
-MARKED = f"WITH m AS (SELECT item_id, [{', '.join(map(_quoted, FRAGMENTS))}][item_id % {len(FRAGMENTS)} + 1] || CASE WHEN item_id % 3 = 0 THEN ' ' || text ELSE '' END AS t FROM benchmark)\n"
+MARKED = f"WITH m AS (SELECT doc_id, coalesce(text, '') || chr(10) || [{', '.join(map(_quoted, FRAGMENTS))}][doc_id % {len(FRAGMENTS)} + 1] AS t FROM documents)\n"
 
 
 def marked(spark, d):
-    fragment = F.element_at(F.array(*map(F.lit, FRAGMENTS)), (F.col("item_id") % len(FRAGMENTS) + 1).cast("int"))
-    return table(spark, d, "benchmark").select("item_id", F.concat(fragment, F.when(F.col("item_id") % 3 == 0, F.concat(F.lit(" "), "text")).otherwise(F.lit(""))).alias("t"))
+    fragment = F.element_at(F.array(*map(F.lit, FRAGMENTS)), (F.col("doc_id") % len(FRAGMENTS) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), fragment).alias("t"))
 
 
 def _n(p: str, of: str = "t") -> str:
@@ -57,26 +57,26 @@ def _sum(patterns: list[str]) -> str:
 TAGS = {t: _n(rf"\[{t}\]") for t in lexicons.CLAIM_TAGS}
 
 
-@query(MARKED + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT item_id, '{t}' AS tag, ({n})::BIGINT AS n FROM m" for t, n in {**TAGS, "total": " + ".join(TAGS.values())}.items()) + ")")
+@query(MARKED + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS tag, ({n})::BIGINT AS n FROM m" for t, n in {**TAGS, "total": " + ".join(TAGS.values())}.items()) + ")")
 def claim_tags(spark, d):
-    return marked(spark, d).select("item_id", F.explode(text.tag_counts(F.col("t"))).alias("tag", "n")).withColumn("n", F.col("n").cast("long"))
+    return marked(spark, d).select("doc_id", F.explode(text.tag_counts(F.col("t"))).alias("tag", "n")).withColumn("n", F.col("n").cast("long"))
 
 
-@query(MARKED + f"SELECT item_id, {_sum(lexicons.EXAMPLE_MARKERS)} AS examples, {_sum(lexicons.GROUNDING_MARKERS)} AS grounding, {_sum(lexicons.HEDGES)} AS hedges, {_sum(lexicons.HEDGES_SHORT)} AS hedges_short FROM m")
+@query(MARKED + f"SELECT doc_id, {_sum(lexicons.EXAMPLE_MARKERS)} AS examples, {_sum(lexicons.GROUNDING_MARKERS)} AS grounding, {_sum(lexicons.HEDGES)} AS hedges, {_sum(lexicons.HEDGES_SHORT)} AS hedges_short FROM m")
 def markers(spark, d):
     t = F.col("t")
-    found = {"examples": text.example_markers(t), "grounding": text.grounding_markers(t), "hedges": text.hedges(t), "hedges_short": text.hedges(t, lexicons.HEDGES_SHORT)}
-    return marked(spark, d).select("item_id", *(c.cast("long").alias(k) for k, c in found.items()))
+    found = text.marker_counts(t, examples=lexicons.EXAMPLE_MARKERS, grounding=lexicons.GROUNDING_MARKERS, hedges=lexicons.HEDGES, hedges_short=lexicons.HEDGES_SHORT)
+    return marked(spark, d).select("doc_id", *(c.cast("long").alias(k) for k, c in found.items()))
 
 
 STEPS = [_n(rf"(?i)(?:^|\n)\s*(?:\d+\.?\s*)?(?:\*\*)?{s}") for s in lexicons.SYLLOGISM_STEPS]
 REASONING = _n(r"(?m)^\s*\d+[.)]\s") + " + " + _n(rf"(?m)^\s*(?:{'|'.join(lexicons.STEP_LABELS)})[:\s]")
 
 
-@query(MARKED + f"SELECT item_id, ({REASONING})::BIGINT AS steps, ({STEPS[2]})::BIGINT AS udaharana, least({', '.join(STEPS)})::BIGINT AS complete FROM m")
+@query(MARKED + f"SELECT doc_id, ({REASONING})::BIGINT AS steps, ({STEPS[2]})::BIGINT AS udaharana, least({', '.join(STEPS)})::BIGINT AS complete FROM m")
 def reasoning_structure(spark, d):
     s = text.syllogism(F.col("t"))
-    return marked(spark, d).select("item_id", text.reasoning_steps(F.col("t")).cast("long").alias("steps"), s["udaharana"].cast("long").alias("udaharana"), s["complete"].cast("long").alias("complete"))
+    return marked(spark, d).select("doc_id", text.reasoning_steps(F.col("t")).cast("long").alias("steps"), s["udaharana"].cast("long").alias("udaharana"), s["complete"].cast("long").alias("complete"))
 
 
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -84,17 +84,17 @@ WORDS = rf"len(list_filter(regexp_split_to_array(t, '{WS}+'), lambda x: x <> '')
 CLAIMS = rf"len(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda x: length(regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')) > 20))::BIGINT"
 
 
-@query(MARKED + f"SELECT item_id, ({' + '.join(TAGS[t] for t in lexicons.CLAIM_TAGS_SHORT)})::BIGINT AS tags, {CLAIMS} AS claims, least({', '.join(STEPS)})::BIGINT AS complete, {_sum(lexicons.GROUNDING_MARKERS)} AS grounded, {_sum(lexicons.HEDGES_SHORT)} AS hedging, (item_id % 3)::BIGINT AS searches, {WORDS} AS words FROM m")
+@query(MARKED + f"SELECT doc_id, ({' + '.join(TAGS[t] for t in lexicons.CLAIM_TAGS_SHORT)})::BIGINT AS tags, {CLAIMS} AS claims, least({', '.join(STEPS)})::BIGINT AS complete, {_sum(lexicons.GROUNDING_MARKERS)} AS grounded, {_sum(lexicons.HEDGES_SHORT)} AS hedging, (doc_id % 3)::BIGINT AS searches, {WORDS} AS words FROM m")
 def response_structure(spark, d):
-    s = text.structure(F.col("t"), F.array_repeat(F.lit("q"), (F.col("item_id") % 3).cast("int")))
+    s = text.structure(F.col("t"), F.array_repeat(F.lit("q"), (F.col("doc_id") % 3).cast("int")))
     rows = marked(spark, d).withColumn("s", s)
     fields = {"tags": F.col("s.tags")["total"], "claims": F.col("s.claim_count"), "complete": F.col("s.steps.complete"), "grounded": F.col("s.grounded_examples"), "hedging": F.col("s.hedging_count"), "searches": F.col("s.total_searches"), "words": F.col("s.word_count")}
-    return rows.select("item_id", *(c.cast("long").alias(k) for k, c in fields.items()))
+    return rows.select("doc_id", *(c.cast("long").alias(k) for k, c in fields.items()))
 
 
-@query(MARKED + rf"SELECT item_id, array_to_string(string_split(regexp_replace(t, '([.!?]){WS}+', '\1' || chr(1), 'g'), chr(1))[1:2], ' ') AS first_two, substring(t, 1, 20) AS start FROM m")
+@query(MARKED + rf"SELECT doc_id, array_to_string(string_split(regexp_replace(t, '([.!?]){WS}+', '\1' || chr(1), 'g'), chr(1))[1:2], ' ') AS first_two, substring(t, 1, 20) AS start FROM m")
 def sentences(spark, d):
-    return marked(spark, d).select("item_id", text.first_sentences(F.col("t"), 2).alias("first_two"), text.truncated(F.col("t"), 20).alias("start"))
+    return marked(spark, d).select("doc_id", text.first_sentences(F.col("t"), 2).alias("first_two"), text.truncated(F.col("t"), 20).alias("start"))
 
 
 
@@ -107,9 +107,9 @@ CLOSED = _stripped("regexp_replace(t, '(?s)<think>.*?</think>', '', 'g')")
 ALL = _stripped(rf"regexp_replace(regexp_replace(t, '(?s)<think>.*?</think>{WS}*', '', 'g'), '(?s)<think>.*$', '', 'g')")
 
 
-@query(MARKED + f"SELECT item_id, {CLOSED} AS closed, CASE WHEN {ALL} = '' THEN t ELSE {ALL} END AS everything FROM m")
+@query(MARKED + f"SELECT doc_id, {CLOSED} AS closed, CASE WHEN {ALL} = '' THEN t ELSE {ALL} END AS everything FROM m")
 def without_thinking(spark, d):
-    return marked(spark, d).select("item_id", text.strip_thinking(F.col("t")).alias("closed"), text.strip_all_thinking(F.col("t")).alias("everything"))
+    return marked(spark, d).select("doc_id", text.strip_thinking(F.col("t")).alias("closed"), text.strip_all_thinking(F.col("t")).alias("everything"))
 
 
 LETTER = r"[^\p{L}\p{N}_]"
@@ -119,31 +119,31 @@ def _term(t: str) -> str:
     return f"contains(lower(t), {_quoted(t)})" if " " in t else rf"regexp_matches(lower(t), '(?:^|{LETTER}){t}(?:$|{LETTER})')"
 
 
-HITS = " UNION ALL ".join(f"SELECT item_id, {i} AS ord, '{c}' AS category, " + " + ".join(f"({_term(t)})::BIGINT" for t in terms) + " AS hits FROM m" for i, (c, terms) in enumerate(lexicons.CATEGORIES.items()))
+HITS = " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, '{c}' AS category, " + " + ".join(f"({_term(t)})::BIGINT" for t in terms) + " AS hits FROM m" for i, (c, terms) in enumerate(lexicons.CATEGORIES.items()))
 
 
-@query(MARKED + f", h AS ({HITS}) SELECT item_id, category, hits FROM h WHERE hits >= 2")
+@query(MARKED + f", h AS ({HITS}) SELECT doc_id, category, hits FROM h WHERE hits >= 2")
 def knowledge_categories(spark, d):
-    return marked(spark, d).select("item_id", F.explode(text.category_hits(F.col("t"))).alias("h")).select("item_id", "h.category", F.col("h.hits").cast("long").alias("hits"))
+    return marked(spark, d).select("doc_id", F.explode(text.category_hits(F.col("t"))).alias("h")).select("doc_id", "h.category", F.col("h.hits").cast("long").alias("hits"))
 
 
-TOP = "SELECT m.item_id, coalesce(arg_min(category, ord - 100 * hits) FILTER (WHERE hits >= 2), 'unclassified') AS category FROM m LEFT JOIN h USING (item_id) GROUP BY 1"
+TOP = "SELECT m.doc_id, coalesce(arg_min(category, ord - 100 * hits) FILTER (WHERE hits >= 2), 'unclassified') AS category FROM m LEFT JOIN h USING (doc_id) GROUP BY 1"
 
 
 def _order_sql(order: list[str]) -> str:
     return "CASE category " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(order)) + f" ELSE {len(order)} END"
 
 
-@query(MARKED + f", h AS ({HITS}) SELECT item_id, category, (row_number() OVER (ORDER BY {_order_sql(lexicons.ONTOLOGICAL_ORDER)}, item_id) - 1)::BIGINT AS ontological, (row_number() OVER (ORDER BY {_order_sql(lexicons.TAXONOMY_ORDER)}, item_id) - 1)::BIGINT AS taxonomic FROM ({TOP})")
+@query(MARKED + f", h AS ({HITS}) SELECT doc_id, category, (row_number() OVER (ORDER BY {_order_sql(lexicons.ONTOLOGICAL_ORDER)}, doc_id) - 1)::BIGINT AS ontological, (row_number() OVER (ORDER BY {_order_sql(lexicons.TAXONOMY_ORDER)}, doc_id) - 1)::BIGINT AS taxonomic FROM ({TOP})")
 def knowledge_order(spark, d):
-    rows = marked(spark, d).select("item_id", F.col("item_id").alias("seq"), text.category(F.col("t")).alias("category"))
-    one = rel.by_category(rows, lexicons.ONTOLOGICAL_ORDER).select("item_id", "category", F.col("pos").alias("ontological"))
-    return one.join(rel.by_category(rows, lexicons.TAXONOMY_ORDER).select("item_id", F.col("pos").alias("taxonomic")), "item_id")
+    rows = marked(spark, d).select("doc_id", F.col("doc_id").alias("seq"), text.category(F.col("t")).alias("category"))
+    one = rel.by_category(rows, lexicons.ONTOLOGICAL_ORDER).select("doc_id", "category", F.col("pos").alias("ontological"))
+    return one.join(rel.by_category(rows, lexicons.TAXONOMY_ORDER).select("doc_id", F.col("pos").alias("taxonomic")), "doc_id")
 
 
-@query(MARKED + f"SELECT item_id, {' OR '.join(_n(p, 'lower(t)') + ' > 0' for p in lexicons.SEARCH_TRIGGERS)} AS use_search FROM m")
+@query(MARKED + f"SELECT doc_id, {' OR '.join(_n(p, 'lower(t)') + ' > 0' for p in lexicons.SEARCH_TRIGGERS)} AS use_search FROM m")
 def search_triggers(spark, d):
-    return marked(spark, d).select("item_id", text.needs_search(F.col("t")).alias("use_search"))
+    return marked(spark, d).select("doc_id", text.needs_search(F.col("t")).alias("use_search"))
 
 
 @query("SELECT item_id, CASE WHEN item_id % 4 = 0 THEN item_id % 8 = 0 ELSE item_id % 5 = 0 OR coalesce(CASE WHEN item_id % 7 <> 0 THEN item_id % 2 = 0 END, true) OR coalesce(CASE WHEN item_id % 3 <> 0 THEN (item_id % 10) / 10 END, 0) < 0.6 END AS searches FROM benchmark")
