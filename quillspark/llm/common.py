@@ -93,6 +93,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def drawn_below(drawn: Column, share: Column) -> Column:
+    """Whether a 64-bit hash, taken as a number from 0 to 1, is below a share; right for any number of rows."""
+    return F.shiftrightunsigned(drawn, 11) / F.lit(2.0**53) < share
+
+
 def fit_in_a_task(rows: DataFrame, order: list, fit):
     """What ``fit`` (an iterator of Arrow batches in the given order -> a model) gives for a bounded sample of rows; None without rows.
 

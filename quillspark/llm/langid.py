@@ -7,7 +7,8 @@ popcounts of its n-grams' masks per language, corrected for the share of false
 positives that the fill of each language's bits implies.
 
 Fitting takes about ``max_docs`` labelled rows of each language and
-``max_total`` of all (every row of a rarer language), chosen by a hash of the id, with whole texts, in one task.  An n-gram belongs to a
+``max_total`` of all (every row of a rarer language), chosen by a hash of the id, in one task, and ``max_bytes`` of text of each language (the text that
+reaches it is cut there, later ones are left out).  The filter has as many slots as the language with the most n-grams needs.  An n-gram belongs to a
 language if it occurs there more than once and at a tenth at least of the
 highest rate that any language has.  Prediction reads whole texts.
 """
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as T
-from .common import fit_in_a_task, held_out, map_texts, table
+from .common import drawn_below, fit_in_a_task, held_out, map_texts, table
 
 ORDERS = (3, 5)
-SLOTS = 1 << 21
+#: Slots of the filter for each n-gram of the largest language, at least.
+ROOM = 32
 UNKNOWN = "und"
 
 #: Lower-cased ASCII letters and the bytes of other characters stay; all else is a space.
@@ -45,28 +47,29 @@ def grams(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return T.mix(v[inside] + np.uint64(n << 56)), text[:size][inside]
 
 
-def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h & np.uint64(SLOTS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
 class Model:
-    """``planes``: tables of up to 64 languages each; ``wrong``: share of false positives by language."""
+    """``planes``: tables of up to 64 languages each, of ``slots`` (a power of two); ``wrong``: share of false positives by language."""
 
     def __init__(self, langs: list[str], prior: int, members: list[np.ndarray]):
         self.langs, self.prior = langs, prior
         self.planes, self.wrong = [], []
+        self.slots = 1 << max(16, (ROOM * max(map(len, members), default=1) - 1).bit_length())
         for lo in range(0, len(langs), 64):
             own = members[lo : lo + 64]
             kind = np.uint8 if len(own) <= 8 else np.uint16 if len(own) <= 16 else np.uint64
-            plane = np.zeros(SLOTS, kind)
+            plane = np.zeros(self.slots, kind)
             for i, h in enumerate(own):
                 bit = kind(1 << i)
-                for s in _slots(h):
+                for s in self._slots(h):
                     plane[np.unique(s)] |= bit
                 self.wrong.append(float(((plane & bit) > 0).mean() ** 2))
             self.planes.append(plane)
         self.wrong = np.minimum(np.array(self.wrong), 0.999)
 
+    def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        last = np.uint64(self.slots - 1)
+        return (h & last).astype(np.int64), ((h >> np.uint64(32)) & last).astype(np.int64)
+
     def counts(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Corrected popcounts: (texts, languages)."""
         n = len(off) - 1
@@ -75,7 +78,7 @@ class Model:
             h, text = grams(raw, off, order)
             first = np.searchsorted(text, np.arange(n + 1))
             total += np.diff(first)
-            a, b = _slots(h)
+            a, b = self._slots(h)
             for p, plane in enumerate(self.planes):
                 mask = plane[a] & plane[b]
                 for i in range(min(64, len(self.langs) - 64 * p)):
@@ -85,7 +88,37 @@ class Model:
         return np.maximum(corrected, 0).T
 
 
-def fit(rows: DataFrame, max_docs: int = 1500, max_total: int = 30_000) -> Model | None:
+class _Counts:
+    """Distinct n-grams of one language with their counts."""
+
+    def __init__(self):
+        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.bytes = 0
+
+    def add(self, h: np.ndarray) -> None:
+        self.held.append(h)
+        if sum(map(len, self.held)) > 4_000_000:
+            self.merge()
+
+    def merge(self) -> None:
+        u, n = np.unique(np.concatenate(self.held or [self.keys[:0]]), return_counts=True)
+        self.keys, where = np.unique(np.concatenate([self.keys, u]), return_inverse=True)
+        self.n = np.bincount(where, weights=np.concatenate([self.n, n]), minlength=len(self.keys)).astype(np.int64)
+        self.held = []
+
+
+def members(counts: list[_Counts]) -> list[np.ndarray]:
+    """The n-grams that belong to each language: met twice, and at a tenth at least of the highest rate of any."""
+    rates = [c.n / max(c.n.sum(), 1) for c in counts]
+    keys, where = np.unique(np.concatenate([c.keys for c in counts]), return_inverse=True)
+    highest = np.zeros(len(keys))
+    np.maximum.at(highest, where, np.concatenate(rates))
+    ends = np.cumsum([0, *(len(c.keys) for c in counts)])
+    return [c.keys[(c.n >= 2) & (r >= highest[where[a:b]] / 10)] for c, r, a, b in zip(counts, rates, ends[:-1], ends[1:], strict=True)]
+
+
+def fit(rows: DataFrame, max_docs: int = 1500, max_total: int = 30_000, max_bytes: int = 32 << 20) -> Model | None:
     """Learns from the rows of ``rows`` (doc_id, text, lang); None if no row has both text and lang."""
     rows = rows.where("text is not null and lang is not null")
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -94,29 +127,22 @@ def fit(rows: DataFrame, max_docs: int = 1500, max_total: int = 30_000) -> Model
     langs = sorted(n)
     max_docs = max(1, min(max_docs, max_total // len(langs)))
     # One row for each language.
-    share = rows.sparkSession.createDataFrame([(k, min(1_000_000, int(1_000_000 * max_docs / n[k]) + 1)) for k in langs], "lang string, share int")
+    share = rows.sparkSession.createDataFrame([(k, min(1.0, max_docs / n[k])) for k in langs], "lang string, share double")
     drawn = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid"))
-    chosen = rows.select("lang", "text", drawn.alias("drawn")).join(F.broadcast(share), "lang").where(F.pmod("drawn", F.lit(1_000_000)) < F.col("share"))
+    chosen = rows.select("lang", "text", drawn.alias("drawn")).join(F.broadcast(share), "lang").where(drawn_below(F.col("drawn"), F.col("share")))
 
     def run(batches):
-        # One table of distinct n-grams with their counts for each language, merged piece by piece.
-        keys, counts = np.zeros(0, np.uint64), np.zeros((len(langs), 0), np.int32)
-        place = {k: i for i, k in enumerate(langs)}
+        counts = {k: _Counts() for k in langs}
         for batch in batches:
-            lang = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
-            for lo, hi, raw, off in T.pieces(batch.column(1)):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                c = counts[lang]
+                raw = np.frombuffer(text.as_buffer(), np.uint8)[: max_bytes - c.bytes]
+                c.bytes += len(raw)
                 for order in ORDERS:
-                    h, t = grams(raw, off, order)
-                    u, inverse = np.unique(h, return_inverse=True)
-                    own = np.bincount(lang[lo:hi][t] * len(u) + inverse, minlength=len(langs) * len(u)).reshape(len(langs), len(u))
-                    merged, where = np.unique(np.concatenate([keys, u]), return_inverse=True)
-                    both = np.zeros((len(langs), len(merged)), np.int32)
-                    both[:, where[: len(keys)]] = counts
-                    both[:, where[len(keys) :]] += own.astype(np.int32)
-                    keys, counts = merged, both
-        rate = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-        belongs = (counts >= 2) & (rate >= rate.max(0, initial=0, keepdims=True) / 10)
-        return Model(langs, langs.index(max(langs, key=lambda k: n[k])), [keys[b] for b in belongs])
+                    c.add(grams(raw, np.array([0, len(raw)]), order)[0])
+        for c in counts.values():
+            c.merge()
+        return Model(langs, langs.index(max(langs, key=lambda k: n[k])), members([counts[k] for k in langs]))
 
     return fit_in_a_task(chosen.select("lang", "text", "drawn"), ["drawn", "lang", "text"], run)
 

@@ -57,8 +57,8 @@ ALL_PAIRS = 8
 NEAREST = (8, None)
 LEAVES = 1000
 IDS_BROADCAST = 500_000
-#: Join keys of a block; at most so many blocks, each of which may be passed in several turns.
-BLOCK_KEYS, BLOCKS = 1_000_000, 4096
+#: Join keys of a block, about; one that has more is passed in several turns.
+BLOCK_KEYS = 1_000_000
 #: Bytes of bit sketches of a chunk of a key's members.
 CHUNK_BYTES = 2 << 20
 U = np.uint64
@@ -205,14 +205,14 @@ def keys(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 FOUND = "gid long, a long, b long"
 
 
-def join_keys(docs: DataFrame, n_shingles: int, hash_key: int) -> DataFrame:
+def join_keys(docs: DataFrame, n_shingles: int, hash_key: int, block_keys: int = BLOCK_KEYS) -> DataFrame:
     """Classes (h1) that share a key: pairs (a, b), and (gid, a) for the classes of a key that has more than ``ALL_PAIRS``.
 
     ``n_shingles``: the sum over all documents, about three times the number of keys.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    blocks = max(parts, min(BLOCKS, n_shingles // (3 * BLOCK_KEYS)))
+    blocks = max(parts, n_shingles // (3 * block_keys))
 
     def send(batches):
         for batch in batches:
@@ -255,7 +255,7 @@ def join_keys(docs: DataFrame, n_shingles: int, hash_key: int) -> DataFrame:
         at, held, size = None, [], 0
 
         def flush():
-            turns = -(-size // BLOCK_KEYS)
+            turns = -(-size // block_keys)
             for turn in range(turns):
                 yield from _met([_unpacked(row, turn, turns) for row in held], at, blocks, ALL_PAIRS)
             held.clear()
@@ -340,7 +340,7 @@ def _filtered(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
-def check(docs: DataFrame, pairs: DataFrame, hash_key: int) -> DataFrame:
+def check(docs: DataFrame, pairs: DataFrame, hash_key: int, ids_broadcast: int = IDS_BROADCAST) -> DataFrame:
     """The pairs (a, b) of document ids whose similarity is 0.8 or more, shingle by shingle.
 
     A document is sent once for each centre a that it is compared with; the
@@ -352,7 +352,7 @@ def check(docs: DataFrame, pairs: DataFrame, hash_key: int) -> DataFrame:
     ids = stored(roles.select("id").distinct(), "ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     # Texts that nothing is compared with stay where they are, while the list of ids is small enough to send around.
-    if ids.count() <= IDS_BROADCAST:
+    if ids.count() <= ids_broadcast:
         texts = texts.join(F.broadcast(ids), "id", "left_semi")
 
     def make():
@@ -446,7 +446,7 @@ def _again(members: DataFrame, known: DataFrame, reps: DataFrame, most: int | No
     return own.unionByName(asking).groupBy("gid", "chunk", "share").applyInArrow(run, "a long, b long").distinct()
 
 
-def linked(docs: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, block_keys: int = BLOCK_KEYS, ids_broadcast: int = IDS_BROADCAST) -> DataFrame:
     """doc_id, text, ... -> doc_id, n_shingles, component_id; one row for each row.
 
     Null or empty texts, and texts without words: n_shingles 0, a component of
@@ -458,18 +458,18 @@ def linked(docs: DataFrame) -> DataFrame:
     hash_key = T.new_key()
     sig = stored(signatures(docs, hash_key), "signatures")
     with temporary(docs.sparkSession) as keep:
-        of_class = stored(_components_of_classes(docs, sig, hash_key), "classes")
+        of_class = stored(_components_of_classes(docs, sig, hash_key, block_keys, ids_broadcast), "classes")
         keep(of_class)
     out = sig.drop("sketch").join(of_class, ["h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("_c")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
-def _components_of_classes(docs: DataFrame, sig: DataFrame, hash_key: int) -> DataFrame:
+def _components_of_classes(docs: DataFrame, sig: DataFrame, hash_key: int, block_keys: int, ids_broadcast: int) -> DataFrame:
     """h1, h2, _c."""
     classes = sig.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = stored(sig.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("rep"), "n", "h1", "h2", "sketch").dropDuplicates(["rep", "h1", "h2"]), "reps")
     n_shingles = reps.agg(F.sum("n")).first()[0] or 0
-    found = stored(join_keys(docs.where("doc_id is not null"), n_shingles, hash_key), "found")
+    found = stored(join_keys(docs.where("doc_id is not null"), n_shingles, hash_key, block_keys), "found")
     left, right = (reps.select(F.col("h1").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     pairs = found.where("gid is null").select("a", "b").distinct()
     # Sizes first: the sketches of pairs that differ too much in size are not fetched.
@@ -480,7 +480,7 @@ def _components_of_classes(docs: DataFrame, sig: DataFrame, hash_key: int) -> Da
     # Rows that share an id keep their classes together.
     several = sig.where("n > 0 and doc_id is not null").groupBy("doc_id").agg((F.min("h1") != F.max("h1")).alias("x")).where("x").select("doc_id")
     shared = sig.join(several, "doc_id", "left_semi").where("n > 0").join(classes, ["h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = stored(check(docs, near, hash_key).unionByName(shared), "checked")
+    links = stored(check(docs, near, hash_key, ids_broadcast).unionByName(shared), "checked")
     known = components(links)
     members = found.where("gid is not null").select("gid", F.col("a").alias("h1"))
     for most in NEAREST:
@@ -489,7 +489,7 @@ def _components_of_classes(docs: DataFrame, sig: DataFrame, hash_key: int) -> Da
             break
         new = stored(left_over.join(near, ["a", "b"], "left_anti"), "untried")
         if new.limit(1).count():
-            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(check(docs, new, hash_key)))
+            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(check(docs, new, hash_key, ids_broadcast)))
             near = near.unionByName(new)
     return classes.join(known, classes["rep"] == known["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("_c"))
 

@@ -35,7 +35,7 @@ from . import textnp as T
 from .common import shuffle_partitions, stored, table, tidy
 
 WINDOW, GRAM = 35, 8
-BLOCK_BYTES, BLOCKS = 32 << 20, 4096
+BLOCK_BYTES = 32 << 20
 #: Windows of a run that are parsed in one go.
 STRETCH = 256
 RUN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("count", "<u4"), ("anchor", "<u8")])
@@ -151,12 +151,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({ID: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), KEY: F.xxhash64("doc_id", "text")})
 
 
-def find_factors(docs: DataFrame) -> DataFrame:
-    """Every duplicate factor of ``keyed`` documents, with its source."""
+def find_factors(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Every duplicate factor of ``keyed`` documents, with its source.  There are as many blocks as have ``block_bytes`` of text on average."""
     spark = docs.sparkSession
     parts, hash_key = shuffle_partitions(spark), T.new_key()
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(4 * parts, min(BLOCKS, n_bytes // BLOCK_BYTES))
+    n = max(4 * parts, n_bytes // block_bytes)
 
     def send(batches):
         for batch in batches:
@@ -222,7 +222,7 @@ def find_factors(docs: DataFrame) -> DataFrame:
     return sent.repartition(parts, "part").sortWithinPartitions("block").select("block", "docs", "runs", "hashes", "found").mapInArrow(tidy(index), FACTOR)
 
 
-def remove(docs: DataFrame) -> DataFrame:
+def remove(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Replaces ``text`` by its kept words, joined by one space; adds n_words and n_removed.
 
     A word goes if a window of 35 consecutive words covers it whose words also
@@ -232,7 +232,7 @@ def remove(docs: DataFrame) -> DataFrame:
     added ones, and those that begin with quill__, are replaced.  Ids are integers (others fail).
     """
     docs = docs.select(*(c for c in docs.columns if c.lower() not in ("n_words", "n_removed") and not c.lower().startswith("quill__")))
-    found = stored(find_factors(keyed(docs)), "factors")
+    found = stored(find_factors(keyed(docs), block_bytes), "factors")
     spans = found.groupBy(F.col("doc_id").alias(ID), F.col("key").alias(KEY)).agg(F.collect_set(F.struct("start", "words")).alias(SPANS))
     rows = keyed(docs).join(spans, [ID, KEY], "left").drop(ID, KEY)
     kept = [f for f in docs.schema.fields if f.name != "text"]

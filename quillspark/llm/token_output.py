@@ -213,10 +213,12 @@ def encoder_of(path: str) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
-    """From ``SAMPLE_DOCS`` documents of up to ``SAMPLE_CHARS`` characters, the first by a hash of id and text."""
-    short = docs.where(F.length("text") <= SAMPLE_CHARS).select("text", F.xxhash64("doc_id", "text", F.lit("dictionary")).alias("drawn"))
+    """From the first ``SAMPLE_DOCS`` documents by a hash of id and text: of each a slice of up to ``SAMPLE_CHARS`` characters, at a place that the hash gives."""
+    drawn = docs.select("text", F.xxhash64("doc_id", "text", F.lit("dictionary")).alias("drawn"))
+    room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    slices = drawn.select("drawn", F.col("text").substr((F.pmod("drawn", room) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     # Each task keeps its first ones, so no more than that many a task are merged.
-    text = short.orderBy("drawn", "text").limit(SAMPLE_DOCS).toArrow()["text"].combine_chunks()
+    text = slices.orderBy("drawn", "text").limit(SAMPLE_DOCS).toArrow()["text"].combine_chunks()
     encoder, samples = Encoder(path), []
     for _, _, raw, off in T.pieces(text):
         ids, at = encoder(raw, off)

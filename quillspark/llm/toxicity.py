@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as T
-from .common import fit_in_a_task, held_out, map_texts, table
+from .common import drawn_below, fit_in_a_task, held_out, map_texts, table
 
 LEVEL, PAD = 19, b" " * 12
 STEPS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0)
-ORDINARY_BYTES, TOXIC_BYTES, SAMPLES = 256 << 10, 64 << 10, 400_000
+ORDINARY_BYTES, TOXIC_BYTES = 256 << 10, 64 << 10
 Z_MIN = 4.0
 CACHE = 1_000_000
 CELLS = 32 * 64 * 16
@@ -139,17 +139,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
     return {"mean": mean, "scale": scale, "b": b}
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_bytes: int = 64 << 20) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_bytes: int = 64 << 20, max_windows: int = 400_000) -> dict:
     """Learns from rows of ``docs`` that ``labels`` marks and that aren't held out.
 
+    The sample is bounded: about ``max_docs`` documents of each class, chosen by a hash of the id, with ``max_bytes`` of text in all (the
+    text that reaches it is cut there, later ones are left out); the ordinary dictionary is trained on every n-th of its windows, so that
+    about ``max_windows`` remain.  Scores read whole texts.
+
     Without an ordinary or a toxic document in the sample, the model gives every text the share of toxic labels.
     """
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     n = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = {k: min(1.0, max_docs / v) for k, v in n.items()}
-    cut = F.when(F.col("toxic") == 1, F.lit(int(share.get(1, 1) * 1e6))).otherwise(F.lit(int(share.get(0, 1) * 1e6)))
     drawn = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
-    chosen = marks.where(F.pmod(drawn, F.lit(1_000_000)) < cut)
+    chosen = marks.where(drawn_below(drawn, F.when(F.col("toxic") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))))
     # At most about 2 * max_docs (id, label) pairs are broadcast.
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("drawn", drawn)
     total = sum(n.values())
@@ -159,11 +162,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_bytes: int
         held, size = {0: [], 1: []}, {0: 0, 1: 0}
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if size[y] < max_bytes or not held[y]:
-                    held[y].append(text.as_py())
-                    size[y] += len(held[y][-1].encode())
+                if size[y] < max_bytes:
+                    own = text.as_buffer().to_pybytes()[: max_bytes - size[y]]
+                    held[y].append(own.decode("utf-8", "ignore"))
+                    size[y] += len(own)
         y = np.repeat([0.0, 1.0], [len(held[0]), len(held[1])])
-        return _fit(pa.array(held[0] + held[1], pa.large_string()), y, share)
+        return _fit(pa.array(held[0] + held[1], pa.large_string()), y, share, max_windows)
 
     return model | (fit_in_a_task(rows.select("toxic", "text", "drawn", "doc_id"), ["drawn", "doc_id", "toxic", "text"], run) or {})
 
@@ -183,7 +187,7 @@ def _copies(text, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fit(text, y: np.ndarray, share: dict) -> dict:
+def _fit(text, y: np.ndarray, share: dict, max_windows: int) -> dict:
     fresh = np.flatnonzero(~_copies(text, y))
     text, y = text.take(pa.array(fresh)), y[fresh]
     if min((y == 1).sum(), (y == 0).sum()) < 4:
@@ -191,7 +195,7 @@ def _fit(text, y: np.ndarray, share: dict) -> dict:
     half = np.zeros(len(y), bool)
     for k in (0, 1):
         half[np.flatnonzero(y == k)[::2]] = True
-    toxic, ordinary = _samples(text, y, half)
+    toxic, ordinary = _samples(text, y, half, max_windows)
     model = {"ordinary": _dictionary(ordinary, ORDINARY_BYTES), "toxic": _dictionary(toxic, TOXIC_BYTES)}
     del toxic, ordinary
     distance = Distance(model["ordinary"], model["toxic"])
@@ -201,7 +205,7 @@ def _fit(text, y: np.ndarray, share: dict) -> dict:
     return model | _logistic(x, y[~half], weight)
 
 
-def _samples(text, y: np.ndarray, half: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+def _samples(text, y: np.ndarray, half: np.ndarray, max_windows: int) -> tuple[list[bytes], list[bytes]]:
     """Windows for the toxic and for the ordinary dictionary, from the documents of ``half``."""
     # Documents that hold each window, all and toxic ones, piece by piece: no document is in two pieces.
     parts = []
@@ -226,7 +230,7 @@ def _samples(text, y: np.ndarray, half: np.ndarray) -> tuple[list[bytes], list[b
     total = 0
     for _, _, raw, off in T.pieces(text, FIT_PIECE):
         total += len(T.Words(raw, off))
-    stride = max(1, total // SAMPLES)
+    stride = max(1, total // max_windows)
     for lo, _, raw, off in T.pieces(text, FIT_PIECE):
         words, h = _split(raw, off)
         doc = T.text_of(words.first) + lo

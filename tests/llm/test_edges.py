@@ -178,10 +178,10 @@ def thue_morse(a, b, n=10):
     return x, y
 
 
-@pytest.mark.parametrize(("all_pairs", "block_keys", "chunk"), [(2, 50, 100), (8, 10**6, 1 << 20)])
-def test_jaccard_against_brute_force(spark, monkeypatch, all_pairs, block_keys, chunk):
+@pytest.mark.parametrize(("all_pairs", "block_keys", "chunk", "ids_broadcast"), [(2, 50, 100, 0), (8, 10**6, 1 << 20, 10**6)])
+def test_jaccard_against_brute_force(spark, monkeypatch, all_pairs, block_keys, chunk, ids_broadcast):
     """Chains of edits, sizes around the bands, groups over the all-pairs size, blocks in several turns, and keys in several chunks."""
-    for name, value in (("ALL_PAIRS", all_pairs), ("BLOCK_KEYS", block_keys), ("BLOCKS", 3), ("CHUNK_BYTES", chunk)):
+    for name, value in (("ALL_PAIRS", all_pairs), ("CHUNK_BYTES", chunk)):
         monkeypatch.setattr(ngram_jaccard, name, value)
     rng = random.Random(all_pairs)
     rows = []
@@ -199,7 +199,7 @@ def test_jaccard_against_brute_force(spark, monkeypatch, all_pairs, block_keys,
     p, q = (" ".join(x) for x in thue_morse("x", "y"))
     rows += [(2003, f"{p} end"), (2004, f"{q} end")]
     rng.shuffle(rows)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string"), block_keys, ids_broadcast).collect()}
     assert got == brute_components(rows)
 
 
