@@ -1,7 +1,7 @@
 """From raw documents to token files, one operator of ``quillspark.llm`` a stage.
 
 Every stage reads what its predecessor kept; all but the last return the
-columns of ``documents``.
+columns of ``documents``.  Other columns are ignored, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,7 +17,11 @@ TOXIC_FROM = 0.3
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold."""
+    """Documents whose toxicity score is below the threshold.
+
+    Every row is judged by its own text, repeated ones alike; null and empty texts are scored as texts without words.
+    Without labels nothing is rejected but by the share of toxic labels, which is 0 then.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(*COLUMNS), model).where(F.col("score") < TOXIC_FROM).select(*COLUMNS)
 
@@ -37,7 +41,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark contaminates."""
+    """Documents that no benchmark contaminates; null and empty texts have no words and stay, repeated rows fare alike."""
     marked = decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return marked.where(~F.col("contaminated")).select(*COLUMNS)
 
@@ -58,7 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the token files hold."""
+    """What the token files hold: a row for every row, a null text as the end id alone, rows of one id in order of a hash of the text."""
     return token_output.write_and_digest(docs.select("doc_id", "text"))
 
 
