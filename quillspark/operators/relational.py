@@ -64,8 +64,9 @@ def having(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def except_rows(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of ``left`` that are not equal, column by column, to one of ``right``."""
-    return left.exceptAll(right)
+    """Rows of ``left``, as often as they come, that are not equal, column by column (nulls equal nulls), to one of ``right``."""
+    a, b = left.alias("a"), right.select(*left.columns).distinct().alias("b")
+    return a.join(b, reduce(lambda x, y: x & y, (F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in left.columns)), "left_anti")
 
 
 def cumulative_gates(rows: DataFrame, gates: int = 5, default_stage: int = 0) -> DataFrame:

@@ -464,12 +464,30 @@ def dataset_funnel(spark, d):
     return stats.withColumns({"stages": shown("stage_distribution"), "sources": shown("source_distribution")}).drop("stage_distribution", "source_distribution")
 
 
-@query()
+# Intervals by summing the terms of the binomial distribution.
+TERM = "CASE WHEN wins IN (0, total) THEN (k = wins)::DOUBLE ELSE exp(lgamma(total + 1) - lgamma(k + 1) - lgamma(total - k + 1) + k * ln(win_rate) + (total - k) * ln(1 - win_rate)) END"
+CI_RATES = _rates(ARM) + f" WHERE {ARM} IS NOT NULL GROUP BY {ARM}"
+CI_HEAD, CI_TAIL = CI_RATES.rsplit("SELECT (CASE", 1)
+CI = CI_HEAD + f""", rates AS (SELECT (CASE{CI_TAIL}), ci AS (
+  SELECT config, any_value(wins) AS wins, any_value(losses) AS losses, any_value(ties) AS ties, any_value(total) AS total, any_value(win_rate) AS win_rate,
+         min(k) FILTER (WHERE cdf >= 0.025) / any_value(total)::DOUBLE AS ci_low, min(k) FILTER (WHERE cdf >= 0.975) / any_value(total)::DOUBLE AS ci_high
+  FROM (SELECT *, sum({TERM}) OVER (PARTITION BY config ORDER BY k) AS cdf FROM (SELECT *, unnest(range(total + 1)) AS k FROM rates)) GROUP BY config
+), effects AS (SELECT *, ci_low > 0.5 AS significant, 2 * (asin(sqrt(win_rate)) - asin(sqrt(0.5))) AS effect FROM ci)
+"""
+
+
+@query(CI + """SELECT config, wins, losses, ties, total, win_rate, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, significant, round(effect, 9) AS effect,
+  CASE WHEN abs(effect) < 0.2 THEN 'negligible' WHEN abs(effect) < 0.5 THEN 'small' WHEN abs(effect) < 0.8 THEN 'medium' ELSE 'large' END AS effect_size,
+  round_even(win_rate * 100, 0)::BIGINT || '% [' || round_even(ci_low * 100, 0)::BIGINT || '-' || round_even(ci_high * 100, 0)::BIGINT || '%]' AS rate_text FROM effects""")
 def bootstrap_ci(spark, d):
-    return statistics.with_intervals(agg.win_rates(judgments(spark, d), "base"))
+    return statistics.with_intervals(agg.win_rates(judgments(spark, d), "base")).withColumns({c: F.round(c, 9) for c in ("ci_low", "ci_high", "effect")})
 
 
-@query()
+OF = "coalesce(max({c}) FILTER (WHERE config = '{a}'), {d})"
+
+
+@query(CI + f"""SELECT m AS method_rate, c AS control_rate, r AS random_rate, CASE WHEN m > c AND m > r AND ms AND m - c > 0.05 THEN 'PROVEN' WHEN m > c AND m > r AND ms THEN 'PARTIALLY PROVEN' WHEN (m > r OR c > r) AND (ms OR cs) THEN 'PARTIALLY PROVEN' ELSE 'DISPROVEN' END AS verdict
+  FROM (SELECT {OF.format(c='win_rate', a='method', d='0.0')} AS m, {OF.format(c='win_rate', a='generic', d='0.0')} AS c, {OF.format(c='win_rate', a='random', d='0.0')} AS r, {OF.format(c='significant', a='method', d='false')} AS ms, {OF.format(c='significant', a='generic', d='false')} AS cs FROM effects)""")
 def experiment_verdict(spark, d):
     return statistics.verdict(statistics.with_intervals(agg.win_rates(judgments(spark, d), "base")), "method", "generic", "random")
 

@@ -132,24 +132,31 @@ def evidence_router(spark, d):
     return rows.select("item_id", text.routing_decision(F.lit(None).cast("boolean"), F.col("needs"), F.col("confidence"), F.col("failed")).alias("searches"))
 
 
-# --- statistics: draws differ between engines, their bounds don't
+# --- statistics
 
 
-@query(cte() + "SELECT config_b AS config, count(*)::BIGINT AS total, true AS holds_rate, true AS normal, true AS ordered FROM judgments GROUP BY 1")
+def _bounds_sql(rows: str, keys: str, alpha: float = 0.05) -> str:
+    """Quantiles of binomial distributions by summing their terms; ``rows`` has the keys, wins and total."""
+    term = "CASE WHEN wins IN (0, total) THEN (k = wins)::DOUBLE ELSE exp(lgamma(total + 1) - lgamma(k + 1) - lgamma(total - k + 1) + k * ln(wins / total::DOUBLE) + (total - k) * ln(1 - wins / total::DOUBLE)) END"
+    at = lambda q: f"min(k) FILTER (WHERE cdf >= {q}) / total::DOUBLE"
+    return f"SELECT {keys}, wins, total, round({at(alpha / 2)}, 9) AS low, round({at(1 - alpha / 2)}, 9) AS high FROM (SELECT *, sum({term}) OVER (PARTITION BY {keys} ORDER BY k) AS cdf FROM (SELECT *, unnest(range(total + 1)) AS k FROM ({rows}))) GROUP BY {keys}, wins, total"
+
+
+WINS = "SELECT config_b AS config, count(*) FILTER (WHERE winner = config_b)::BIGINT AS wins, count(*)::BIGINT AS total FROM judgments GROUP BY 1"
+
+
+@query(cte() + " UNION ALL ".join(f"SELECT {x}::DOUBLE AS alpha, * FROM ({_bounds_sql(WINS, 'config', x)})" for x in (0.1, 0.01)))
 def bootstrap_bounds(spark, d):
-    """Intervals hold the rate and lie within 0.03 of the normal approximation."""
-    rates = statistics.with_intervals(agg.win_rates(judgments(spark, d), "base"))
-    half = 1.96 * F.sqrt(F.col("win_rate") * (1 - F.col("win_rate")) / F.col("total"))
-    near = lambda x, y: F.abs(x - y) <= 0.03
-    normal = near(F.col("ci_low"), F.greatest(F.lit(0.0), F.col("win_rate") - half)) & near(F.col("ci_high"), F.least(F.lit(1.0), F.col("win_rate") + half))
-    return rates.select("config", "total", F.col("win_rate").between(F.col("ci_low"), F.col("ci_high")).alias("holds_rate"), normal.alias("normal"), (F.col("ci_low") <= F.col("ci_high")).alias("ordered"))
+    """Intervals of two levels."""
+    rates = agg.win_rates(judgments(spark, d), "base", scope="config_b_only").select("config", "wins", "total")
+    at = lambda x: rates.withColumn("i", statistics.interval(F.col("wins"), F.col("total"), x)).select(F.lit(x).alias("alpha"), "config", "wins", "total", F.round("i.low", 9).alias("low"), F.round("i.high", 9).alias("high"))
+    return at(0.1).unionByName(at(0.01))
 
 
-@query("SELECT lang, count(quality)::BIGINT AS total, true AS holds_mean FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+@query(_bounds_sql("SELECT lang, sum(quality)::BIGINT AS wins, count(quality)::BIGINT AS total FROM labels JOIN documents USING (doc_id) GROUP BY 1", "lang"))
 def resampled_interval(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    means = rows.groupBy("lang").agg(F.avg("quality").alias("m"))
-    return statistics.resampled(rows, "lang", "quality").join(means, "lang").select("lang", "total", F.col("m").between(F.col("low"), F.col("high")).alias("holds_mean"))
+    return statistics.resampled(rows, "lang", "quality").withColumns({c: F.round(c, 9) for c in ("low", "high")})
 
 
 @query("SELECT n, label, rate_text, verdict, replication FROM (VALUES (0, 'negligible', 'N/A', 'DISPROVEN', 'NOT CONFIRMED'), (10, 'small', '60% [50-70%]', 'PROVEN', 'PARTIAL'), (20, 'large', '62% [52-72%]', 'PARTIALLY PROVEN', 'CONFIRMED')) t(n, label, rate_text, verdict, replication)")
@@ -200,10 +207,14 @@ def join_having(spark, d):
     return rel.having(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
-@query("SELECT doc_id, lang FROM documents EXCEPT ALL SELECT doc_id, lang FROM documents WHERE doc_id % 3 = 0")
+@query("WITH l AS (SELECT lang, doc_id % 5 AS k FROM documents) SELECT lang, k FROM l WHERE NOT EXISTS (SELECT 1 FROM documents r WHERE r.doc_id < 40 AND r.doc_id % 3 = 0 AND r.lang IS NOT DISTINCT FROM l.lang AND r.doc_id % 5 = l.k) UNION ALL SELECT lang, doc_id FROM documents WHERE doc_id % 3 <> 0")
 def join_except(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang")
-    return rel.except_rows(docs, docs.where("doc_id % 3 = 0"))
+    """Rows that repeat, and rows that don't."""
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", "lang", (F.col("doc_id") % 5).alias("k"))
+    several = rel.except_rows(rows.select("lang", "k"), rows.where("doc_id < 40 and doc_id % 3 = 0").select("lang", "k"))
+    single = docs.select("lang", F.col("doc_id").alias("k"))
+    return several.unionByName(rel.except_rows(single, single.where("k % 3 = 0")))
 
 
 @query("""WITH f AS (SELECT lang, substring(text, 1, 300) AS content, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r, row_number() OVER (ORDER BY doc_id) AS g, doc_id FROM documents WHERE text IS NOT NULL),

@@ -1,4 +1,5 @@
 import json
+import math
 
 import numpy as np
 import pytest
@@ -113,6 +114,22 @@ def test_intervals():
     assert abs(high - 0.67) < 0.015
 
 
+def test_exact_intervals():
+    ks = np.arange(-1, 58)
+    terms = np.array([math.comb(57, k) * 0.2**k * 0.8 ** (57 - k) for k in range(58)])
+    assert np.allclose(statistics.binomial_cdf(ks, 57, 0.2), np.concatenate([[0], np.cumsum(terms)]), atol=1e-12)
+    low, high = statistics.exact_interval([120, 0, 5, 0], [200, 0, 5, 7])
+    assert (low.round(3).tolist(), high.round(3).tolist()) == ([0.53, 0, 1, 0], [0.665, 0, 1, 0])
+    low, high = statistics.exact_interval([6 * 10**8], [10**9])
+    assert abs((high[0] - low[0]) / (2 * 1.959964 * (0.24 / 1e9) ** 0.5) - 1) < 1e-3
+
+
+def test_except_rows_keeps_and_drops_repeats(spark):
+    left = spark.createDataFrame([("a", 1), ("a", 1), ("b", None), ("b", None), ("c", 2), ("c", 2)], "x string, y int")
+    right = spark.createDataFrame([("a", 1), ("b", None)], "x string, y int")
+    assert [tuple(r) for r in rel.except_rows(left, right).collect()] == [("c", 2), ("c", 2)]
+
+
 def test_verdicts(spark):
     def v(m, c, r, ms, cs):
         df = spark.createDataFrame([("m", m, ms), ("c", c, cs), ("r", r, False)], "config string, win_rate double, significant boolean")
