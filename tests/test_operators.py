@@ -243,3 +243,20 @@ def test_samples_are_no_single_task(spark):
     df = rows(spark, 100)
     for out in (rel.sample(df, 30, "s"), rel.group_split(df, "seq", 0.1, "s"), rel.stratified_sample(df, "seq", 30, "s")):
         assert "TakeOrderedAndProject" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("stages", "fails"), [([1, None, 2, None], False), ([None, None, 1], True), ([None], True), ([], False)])
+def test_rows_without_a_stage(spark, stages, fails):
+    df = spark.createDataFrame([(s,) for s in stages], "stage int")
+    if fails:
+        with pytest.raises(ValueError, match="have no stage"):
+            rel.require_stage(df)
+    else:
+        assert rel.require_stage(df).count() == len(stages)
+
+
+def test_report_of_a_comparison(spark):
+    rates = statistics.with_intervals(spark.createDataFrame([("b", 120, 200, 0.6), ("a", 0, 0, 0.0)], "config string, wins long, total long, win_rate double"))
+    lines = files.report(rates).split("\n")
+    assert lines[2].split() == ["a", "N/A"]
+    assert lines[3].split()[:3] == ["b", "60%", "[53-66%]"]
