@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import stored
+from .selection import ascending, hashed, mark_first, real
 
 
 def grid(questions: DataFrame, arms: DataFrame) -> DataFrame:
@@ -38,8 +39,10 @@ def upsert(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Work that is not done, each key once."""
-    return first_of(work, [key]).join(done.select(key).distinct(), key, "left_anti")
+    """Work that is not done, the first row by ``seq`` of each key; work without a key is one key and never done."""
+    left = work.join(done.select(key).distinct(), key, "left_anti")
+    rest = [c for c in work.columns if c != key]
+    return left.groupBy(key).agg(F.min_by(F.struct(*rest), "seq").alias("_r")).select(*(F.col(key) if c == key else F.col("_r")[c].alias(c) for c in work.columns))
 
 
 def pair_arms(responses: DataFrame, baseline: str, keys: list[str] = ["query_id"], arm: str = "arm") -> DataFrame:  # noqa: B006
@@ -87,13 +90,20 @@ def difficulty() -> Column:
 
 
 def balance(rows: DataFrame, group: str = "stage", k: int | None = None, default: int = 3) -> DataFrame:
-    """The k rows of largest difference of each group; k defaults to the size of the smallest group.  ``pos`` counts from 1."""
+    """The k rows of largest difference of each group; k defaults to the size of the smallest group.  ``pos`` counts from 1, which takes a sort; ``balanced`` goes without."""
     rows = rows.withColumn(group, F.coalesce(group, F.lit(default)))
     if k is None:
         k = rows.groupBy(group).count().agg(F.min("count")).first()[0] or 0
     return ranked(rows, group, difficulty().desc(), F.col("seq"), name="pos").where(F.col("pos") <= k).withColumn("pos", F.col("pos").cast("int"))
 
 
+def balanced(rows: DataFrame, group: str = "stage", k: int | None = None, default: int = 3) -> DataFrame:
+    """The rows of ``balance`` without their positions: selected without a sort."""
+    rows = rows.withColumn(group, F.coalesce(group, F.lit(default)))
+    need = k if k is not None else lambda sizes: F.lit(sizes.agg(F.min("count")).first()[0] or 0)
+    return mark_first(rows, [*real(difficulty(), descending=True), *ascending(F.col("seq"))], need, [group], "_kept", keep_keys=True).where("_kept").drop("_kept")
+
+
 def hash_order(seed: str, *key: Column) -> Column:
     """A reproducible shuffle key, the same for every partitioning."""
     return F.md5(F.concat_ws("|", F.lit(seed), *(k.cast("string") for k in key)))
@@ -130,8 +140,8 @@ def ranked(rows: DataFrame, group: str, *order: Column, name: str = "rank", tota
     if totals:
         first = out.alias("o").join(starts, F.col("_at") == F.col("_first")).select(F.col("_g"), "_first", *(F.col(k).alias(f"_{k}_with") for k in totals), *(v.alias(f"_{k}_own") for k, v in totals.items()))
         starts = first
-    # One row for each group.
-    out = out.join(F.broadcast(starts), F.col(group).eqNullSafe(F.col("_g"))).withColumn(name, F.col("_at") - F.col("_first") + 1)
+    # One row for each group, be they many.
+    out = out.join(starts, F.col(group).eqNullSafe(F.col("_g"))).withColumn(name, F.col("_at") - F.col("_first") + 1)
     out = out.withColumns({k: F.col(k) - F.col(f"_{k}_with") + F.col(f"_{k}_own") for k in totals}) if totals else out
     return out.select(*(c for c in rows.columns if c not in (name, *totals)), name, *totals)
 
@@ -144,32 +154,31 @@ def systematic_split(rows: DataFrame, *order: Column) -> DataFrame:
 
 
 def group_split(rows: DataFrame, key: str, ratio: float, seed: str) -> DataFrame:
-    """All rows of a key on one side; max(1, int(keys * ratio)) keys, in hash order, are test."""
-    keys = stored(rows.select(key).distinct(), "keys")
-    n = max(1, int(keys.count() * ratio))
-    test = numbered(keys, hash_order(seed, F.col(key)), F.col(key)).where(F.col("pos") < n).select(key, F.lit(True).alias("_t"))
+    """All rows of a key on one side; max(1, int(keys * ratio)) keys, in hash order, are test.  Rows without a key are for training."""
+    keys = stored(rows.where(F.col(key).isNotNull()).select(key).distinct(), "keys")
+    test = sample(keys, max(1, int(keys.count() * ratio)), seed, key).withColumn("_t", F.lit(True))
     return rows.join(test, key, "left").withColumn("split", F.when(F.col("_t"), "test").otherwise("train")).drop("_t")
 
 
 def sample(rows: DataFrame, n: int, seed: str, key: str = "seq") -> DataFrame:
-    """Exactly n rows (or all), reproducible, without replacement."""
-    return numbered(rows, hash_order(seed, F.col(key)), F.col(key), name="_pos").where(F.col("_pos") < n).drop("_pos")
+    """Exactly n rows (or all), reproducible, without replacement: the first ones in hash order, found without a sort."""
+    return mark_first(rows, hashed(hash_order(seed, F.col(key))), n, name="_in").where("_in").drop("_in")
 
 
 def holdout(rows: DataFrame, n: int, seed: str, key: str = "seq") -> DataFrame:
-    """split: n rows in hash order are held out, the rest is for training."""
-    return numbered(rows, hash_order(seed, F.col(key)), F.col(key), name="_pos").withColumn("split", F.when(F.col("_pos") < n, "holdout").otherwise("train")).drop("_pos")
+    """split: the first n rows in hash order are held out, the rest is for training."""
+    return mark_first(rows, hashed(hash_order(seed, F.col(key))), n, name="_in").withColumn("split", F.when(F.col("_in"), "holdout").otherwise("train")).drop("_in")
 
 
 def stratified_sample(rows: DataFrame, group: str, n: int, seed: str) -> DataFrame:
-    """chosen: n // groups rows of each group, the remainder from all others in hash order; the rest is the holdout."""
-    groups = rows.select(group).distinct().count()
-    share = n // max(groups, 1)
-    h = hash_order(seed, F.col("seq"))
-    own = stored(ranked(rows, group, h, F.col("seq"), name="_r").withColumn("_own", F.col("_r") <= share), "strata")
-    left = max(0, n - own.where("_own").count())
-    at = numbered(own, F.col("_own"), h, F.col("seq"), name="_pos")
-    return at.withColumn("chosen", F.col("_own") | (F.col("_pos") < left)).drop("_r", "_own", "_pos")
+    """chosen: n // groups rows of each group (null is none of them, but has its share), the remainder from all others in hash order; the rest is the holdout."""
+    sizes = stored(rows.groupBy(group).count(), "strata")
+    share = n // max(sizes.where(F.col(group).isNotNull()).count(), 1)
+    order = hashed(hash_order(seed, F.col("seq")))
+    left = max(0, n - (sizes.agg(F.sum(F.least("count", F.lit(share)))).first()[0] or 0))
+    own = mark_first(rows, order, share, [group], "_own")
+    more = mark_first(own, order, F.when(F.col("_g._own"), 0).otherwise(left), ["_own"], "_more")
+    return more.withColumn("chosen", F.col("_own") | F.col("_more")).drop("_own", "_more")
 
 
 def curriculum(rows: DataFrame, mode: str, default_stage: int = 3, seed: str = "order") -> DataFrame:

@@ -176,6 +176,11 @@ def balance_stages(spark, d):
     return rel.balance(scored_pairs(spark, d)).select("stage", "pos", "seq")
 
 
+@query("SELECT stage, seq FROM (" + SQL["balance_stages"] + ")")
+def balance_members(spark, d):
+    return rel.balanced(scored_pairs(spark, d)).select("stage", "seq")
+
+
 @query(cte() + "SELECT p.seq, CASE WHEN t.query_id IS NULL THEN 'train' ELSE 'test' END AS split FROM pairs p LEFT JOIN (SELECT DISTINCT query_id, md5('split|' || query_id) AS h FROM pairs ORDER BY h, query_id LIMIT (SELECT greatest(1, floor(count(DISTINCT query_id) * 0.1))::BIGINT FROM pairs)) t USING (query_id)")
 def group_split(spark, d):
     return rel.group_split(scored_pairs(spark, d), "query_id", 0.1, "split").select("seq", "split")
@@ -457,7 +462,7 @@ FUNNEL = cte().rstrip() + f""", bal AS ({BALANCED}), test AS (SELECT DISTINCT qu
 @query(FUNNEL)
 def dataset_funnel(spark, d):
     p = scored_pairs(spark, d)
-    balanced = rel.balance(p)
+    balanced = rel.balanced(p)
     deduped = rel.dedup_first(p, F.col("query_id"), F.col("stage"))
     stats = agg.dataset_stats(judgments(spark, d), p.where("total_delta >= 2"), deduped, balanced, rel.group_split(balanced, "query_id", 0.1, "split"), "query_id")
     shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
