@@ -513,6 +513,6 @@ def judge_stub(spark, d):
 
 
 # The other modules register their queries as they are loaded.
-from . import io_queries, judging_queries, text_queries  # noqa: E402
+from . import io_queries, judging_queries, stream_queries, text_queries  # noqa: E402
 
-__all__ = ["QUERIES", "SQL", "io_queries", "judging_queries", "text_queries"]
+__all__ = ["QUERIES", "SQL", "io_queries", "judging_queries", "stream_queries", "text_queries"]

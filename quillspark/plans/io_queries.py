@@ -89,14 +89,26 @@ def io_text_documents(spark, d):
     return files.text_documents(spark, where).select("seq", "doc_type", F.col("word_count").cast("long").alias("word_count"))
 
 
-@query(rf"""WITH p AS (SELECT doc_id, generate_subscripts(b, 1) - 1 AS passage_no, unnest(b) AS b FROM (SELECT doc_id, regexp_split_to_array(replace(text, '. ', '.' || chr(10) || ' ' || chr(10)), '\n[ \t\n\x{{0b}}\f\r]*\n') AS b FROM documents)),
+PARAGRAPHS = rf"""WITH p AS (SELECT doc_id, generate_subscripts(b, 1) - 1 AS passage_no, unnest(b) AS b FROM (SELECT doc_id, regexp_split_to_array(replace(text, '. ', '.' || chr(10) || ' ' || chr(10)), '\n[ \t\n\x{{0b}}\f\r]*\n') AS b FROM documents)),
   q AS (SELECT doc_id, passage_no, regexp_replace(regexp_replace(b, '[ \t\n\x{{0b}}\f\r]*\n[ \t\n\x{{0b}}\f\r]*', ' ', 'g'), '^{WS}+|{WS}+$', '', 'g') AS passage FROM p)
-  SELECT doc_id, passage_no::INTEGER AS passage_no, md5(passage) AS passage_md5 FROM q WHERE length(passage) > 100""")
+"""
+
+
+@query(PARAGRAPHS + "SELECT doc_id, passage_no::INTEGER AS passage_no, md5(passage) AS passage_md5 FROM q WHERE length(passage) > 100")
 def io_paragraphs(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n \n")).alias("value"))
     return files.paragraphs(docs).select("doc_id", "passage_no", F.md5(F.col("passage").cast("binary")).alias("passage_md5"))
 
 
+@query(PARAGRAPHS + "SELECT md5(passage) AS passage_md5, count(*)::BIGINT AS n FROM q WHERE length(passage) > 100 GROUP BY 1")
+def io_file_paragraphs(spark, d):
+    """Paragraphs of text files that hold many documents, read in splits."""
+    where = _where(spark, "paragraphs")
+    texts = table(spark, d, "documents").where("text is not null").select(F.concat(F.replace("text", F.lit(". "), F.lit(".\n \n")), F.lit("\n")).alias("value"))
+    texts.write.text(where)
+    return files.file_paragraphs(spark, where).groupBy(F.md5(F.col("passage").cast("binary")).alias("passage_md5")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT 'd' || doc_id AS query, substring(text, 1, 2000) AS result FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'nothing', NULL")
 def io_lookup(spark, d):
     docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("topic"), "text")

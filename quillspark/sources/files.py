@@ -7,13 +7,15 @@ decides ties later.  A missing path gives an empty frame.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.text import first_sentences, words
 from ..operators.relational import difficulty, union_all
 
@@ -99,6 +101,48 @@ def paragraphs(df: DataFrame, text: str = "value", longer_than: int = 100) -> Da
     return rows.withColumn("passage", F.regexp_replace(F.regexp_replace("_b", r"\s*\n\s*", " "), r"(?U)^\s+|\s+$", "")).where(F.length("passage") > longer_than).drop("_b")
 
 
+def file_paragraphs(spark: SparkSession, path: str, longer_than: int = 100) -> DataFrame:
+    """file, block, part, passage: ``paragraphs`` of text files that are read in splits, not whole.
+
+    A split gives its whole paragraphs, and the fragments before its first and after its last blank line (one fragment, if it has none).
+    Fragments of a file are put in order and joined from one that begins a paragraph to the next; only these, two a split, are shuffled,
+    by file.  ``block`` and ``part`` are those of a paragraph's beginning and sort a file's paragraphs in order.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, part, lines = None, 0, []
+        row = lambda opened, closed: (*at, part, opened, closed, " ".join(lines).strip())
+        for pdf in batches:
+            rows = []
+            for file, block, value in zip(pdf["file"], pdf["block"], pdf["value"], strict=True):
+                if (file, block) != at:
+                    if at:
+                        rows.append(row(part > 0, False))
+                    at, part, lines = (file, block), 0, []
+                line = value.strip()
+                if line:
+                    lines.append(line)
+                elif lines or not part:
+                    rows.append(row(part > 0, True))
+                    part, lines = part + 1, []
+            yield pd.DataFrame(rows, columns=names)
+        if at:
+            yield pd.DataFrame([row(part > 0, False)], columns=names)
+
+    names = ["file", "block", "part", "opened", "closed", "passage"]
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    parts = lines.mapInPandas(cut, "file string, block long, part long, opened boolean, closed boolean, passage string")
+    # Parts are read twice: whole paragraphs, and fragments.
+    parts = scratch.stored(parts.where((F.length("passage") > longer_than) | ~(F.col("opened") & F.col("closed"))), "paragraphs")
+    whole = parts.where("opened and closed").select("file", "block", "part", "passage")
+    fragments = parts.where("not (opened and closed)")
+    order = Window.partitionBy("file").orderBy("block", "part")
+    begun = F.sum(F.col("opened").cast("long")).over(order)
+    groups = fragments.withColumn("_g", begun).groupBy("file", "_g")
+    joined = groups.agg(F.array_sort(F.collect_list(F.struct("block", "part", "passage"))).alias("_f")).select("file", F.col("_f")[0]["block"].alias("block"), F.col("_f")[0]["part"].alias("part"), F.array_join(F.filter(F.transform("_f", lambda f: f["passage"]), lambda t: t != ""), " ").alias("passage"))
+    return whole.unionByName(joined).where(F.length("passage") > longer_than)
+
+
 def settings(text: str) -> dict[str, str]:
     """key=value lines; blank lines and comments are skipped, the first = parts."""
     lines = (x.strip() for x in text.splitlines())

@@ -1,8 +1,11 @@
 import json
 import math
+import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quillspark.operators import aggregates as agg
@@ -203,6 +206,64 @@ def test_stream_resumes(spark, tmp_path):
     assert spark.read.parquet(out).count() == 3
 
 
+def test_stream_of_pending_keys(spark, tmp_path):
+    """First rows by key over restarts, late rows, missing keys and times, and a key that comes back after the delay."""
+    src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
+    schema = "seq long, key string, ts timestamp, other string"
+    done = spark.createDataFrame([("d",), ("d",), (None,)], "key string")
+
+    def deliver(*values):
+        frame = [(seq, key, None if day is None else datetime(2024, 1, 1) + timedelta(days=day), "x") for seq, key, day in values]
+        spark.createDataFrame(frame, schema).repartition(3).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        resume.write_batches(resume.pending(stream, done, "key", "seq", "ts", "2 days"), out, mark, "update")
+        return sorted(r["seq"] for r in spark.read.parquet(out).select("seq").collect())
+
+    assert deliver((3, "a", 0), (1, "a", 0), (2, "d", 0), (4, "b", 1), (5, None, 1), (6, "n", None), (15, "n", 0)) == [1, 4, 5, 6]
+    assert deliver((7, "a", 1), (8, None, 1), (9, "n", None), (10, "c", 5)) == [1, 4, 5, 6, 10]
+    # Behind the watermark (day 3): dropped.  Day 6: a, whose last row is behind it, is new again.
+    assert deliver((11, "z", 1), (12, "a", 6), (13, "n", 6), (14, "c", 6)) == [1, 4, 5, 6, 10, 12]
+    assert deliver() == [1, 4, 5, 6, 10, 12]
+
+
+def test_replayed_batch_is_written_once(spark, tmp_path):
+    src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
+    rows = spark.createDataFrame([("base", "m", "m"), ("base", "m", "TIE"), ("m", "base", "base")], "config_a string, config_b string, winner string")
+    rows.write.parquet(src)
+
+    def stop(_):
+        raise RuntimeError("stop")
+
+    stream = lambda: resume.running_wins(spark.readStream.schema(rows.schema).parquet(src), "base")
+    with pytest.raises(StreamingQueryException):
+        resume.write_batches(stream(), out, mark, "update", stop)
+    for _ in range(2):
+        resume.write_batches(stream(), out, mark, "update")
+    assert [tuple(r) for r in resume.latest(spark.read.parquet(out), "config").select("wins", "losses", "ties", "total").collect()] == [(1, 1, 1, 3)]
+
+
+@pytest.mark.parametrize("split", [60, 500, 100_000])
+def test_paragraphs_over_splits(spark, tmp_path, split):
+    rng, want = random.Random(split), []
+    for f in range(3):
+        lines = [rng.choice(["", "  ", " é word", "w " * rng.randint(1, 30), "x"]) for _ in range(40)]
+        (tmp_path / f"{f}.txt").write_text("\n".join(lines))
+        blocks, block = [], []
+        for line in [*lines, ""]:
+            if line.strip():
+                block.append(line.strip())
+            elif block:
+                blocks.append(" ".join(block))
+                block = []
+        want += [b for b in blocks if len(b) > 10]
+    (tmp_path / "3.txt").write_text("")
+    s = spark.newSession()
+    s.conf.set("spark.sql.files.maxPartitionBytes", split)
+    s.conf.set("spark.sql.files.openCostInBytes", 0)
+    out = files.file_paragraphs(s, str(tmp_path), 10).orderBy("file", "block", "part")
+    assert [r["passage"] for r in out.collect()] == want
+
+
 def test_seq_of_files_and_registries(spark, tmp_path):
     """Unique, in order of the registry, then of file names, then of lines; larger files and wildcards too."""
     for folder, names in (("one", ("b", "a")), ("two", ("c",))):
