@@ -39,6 +39,21 @@ def dimension_deltas(judgments: DataFrame, dims: list[str] = DIMENSIONS) -> Data
     return unpivot_scores(judgments, dims).groupBy(F.col("config_b").alias("config"), "dim").agg(F.avg(z("score_b") - z("score_a")).alias("delta"))
 
 
+def dimension_deltas_by_order(judgments: DataFrame, arm: str, dims: list[str] = DIMENSIONS) -> DataFrame:
+    """Mean of a - b of each dimension where ``arm`` was shown first, and of b - a elsewhere; rows that lack a score don't count.
+
+    Scores that are already realigned to their arms change sign by the order shown; ``dimension_deltas`` is right for those.
+    """
+    rows = unpivot_scores(judgments, dims).where("score_a is not null and score_b is not null")
+    delta = F.col("score_a") - F.col("score_b")
+    return rows.groupBy("dim").agg(F.avg(F.when(F.get("order", F.lit(0)) == arm, delta).otherwise(-delta)).alias("delta"))
+
+
+def of_type(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows of one record type in a log that mixes them; a null type is of none."""
+    return rows.where(F.col("type") == kind)
+
+
 def dimension_means(judgments: DataFrame, dims: list[str] = DIMENSIONS, flag_over: float = 0.3) -> DataFrame:
     rows = unpivot_scores(judgments, dims).where("score_a is not null and score_b is not null").groupBy("dim").agg(F.avg("score_b").alias("exp_mean"), F.avg("score_a").alias("base_mean"))
     delta = F.col("exp_mean") - F.col("base_mean")

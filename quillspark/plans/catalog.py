@@ -11,6 +11,7 @@ from ..functions import json_text, scoring, templates, text
 from ..operators import aggregates as agg
 from ..operators import external, graph, statistics
 from ..operators import relational as rel
+from ..sources import files
 from . import derived
 from .derived import ALL, all_judgments, cte, judgments, responses, scored_pairs, table
 from .registry import QUERIES, SQL, query
@@ -512,6 +513,41 @@ def judge_stub(spark, d):
     return rows.select("item_id", F.get_json_object("answer", "$.winner").alias("winner"), F.get_json_object("answer", "$.overall_tool_value").cast("long").alias("value"))
 
 
+@query(CI + """SELECT config, printf('%-25s %20s %+10.3f %12s', config, round_even(win_rate * 100, 0)::BIGINT || '% [' || round_even(ci_low * 100, 0)::BIGINT || '-' || round_even(ci_high * 100, 0)::BIGINT || '%]', effect,
+  CASE WHEN abs(effect) < 0.2 THEN 'negligible' WHEN abs(effect) < 0.5 THEN 'small' WHEN abs(effect) < 0.8 THEN 'medium' ELSE 'large' END) AS line FROM effects""")
+def comparison_report(spark, d):
+    return files.report_lines(statistics.with_intervals(agg.win_rates(judgments(spark, d), "base")))
+
+
+@query(cte() + "SELECT dim, round(avg(CASE WHEN seq % 3 = 0 THEN sa[i] - sb[i] ELSE sb[i] - sa[i] END), 9) AS delta FROM judgments, dims WHERE config_b = 'method' GROUP BY dim")
+def dim_deltas_by_order(spark, d):
+    """Scores not realigned: the base was shown first in a third of the rows."""
+    rows = judgments(spark, d).where("config_b = 'method'")
+    shown = F.when(F.col("seq") % 3 == 0, F.array(F.lit("base"), F.lit("method"))).otherwise(F.array(F.lit("method"), F.lit("base")))
+    return agg.dimension_deltas_by_order(rows.withColumn("order", shown), "base").withColumn("delta", F.round("delta", 9))
+
+
+@query(cte(1) + f"SELECT config_b AS config, {RATES} FROM judgments GROUP BY 1")
+def second_judge_win_rates(spark, d):
+    """Win rates of the second judge's rows in a log that holds both judges'."""
+    kinds = [judgments(spark, d, shift).withColumn("type", F.lit(kind)) for shift, kind in ((0, "pairwise"), (1, "crossjudge"))]
+    return agg.win_rates(agg.of_type(kinds[0].unionByName(kinds[1]), "crossjudge"), "base")
+
+
+@query("SELECT event_type, round(coalesce(avg(CASE WHEN event_type <> 'view' AND value > 20 THEN value END), 0.0), 6) AS mean FROM events GROUP BY 1")
+def mean_or_zero(spark, d):
+    """One kind of event has no values."""
+    kept = table(spark, d, "events").select("event_type", F.when((F.col("event_type") != "view") & (F.col("value") > 20), F.col("value")).alias("value"))
+    return kept.groupBy("event_type").agg(F.round(agg.mean_or_zero("value"), 6).alias("mean"))
+
+
+@query("SELECT kind, n, (row_number() OVER (ORDER BY n DESC, kind NULLS FIRST) - 1)::BIGINT AS pos FROM (SELECT props AS kind, count(*)::BIGINT AS n FROM events GROUP BY 1)")
+def groups_by_count(spark, d):
+    """Groups from the most frequent to the rarest, by name among equals."""
+    groups = table(spark, d, "events").groupBy(F.col("props").alias("kind")).agg(F.count("*").alias("n"))
+    return rel.numbered(groups, F.col("n").desc(), F.col("kind").asc_nulls_first()).select("kind", "n", "pos")
+
+
 # The other modules register their queries as they are loaded.
 from . import io_queries, judging_queries, stream_queries, text_queries  # noqa: E402
 

@@ -236,12 +236,17 @@ def write_object(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def report_lines(rates: DataFrame) -> DataFrame:
+    """config and line: each row of a comparison (config, total, win_rate, rate_text, effect, effect_size) at fixed widths."""
+    without = F.format_string("%-25s %20s", F.col("config"), F.lit("N/A"))
+    line = F.format_string("%-25s %20s %+10.3f %12s", F.col("config"), F.col("rate_text"), F.col("effect"), F.col("effect_size"))
+    return rates.select("config", F.when(F.coalesce("total", F.lit(0)) == 0, without).otherwise(line).alias("line"))
+
+
 def report(rates: DataFrame) -> str:
-    """A fixed-width table of the rows of a comparison (config, total, win_rate, rate_text, effect, effect_size)."""
-    lines = [f"{'Config':<25} {'Win rate':>20} {'Effect':>10} {'Size':>12}", "-" * 70]
-    for r in rates.orderBy("config").toLocalIterator():
-        lines.append(f"{r['config']:<25} {'N/A':>20}" if not r["total"] else f"{r['config']:<25} {r['rate_text']:>20} {r['effect']:>+10.3f} {r['effect_size']:>12}")
-    return "\n".join(lines)
+    """``report_lines`` in order of config under a heading; one line an arm."""
+    head = [f"{'Config':<25} {'Win rate':>20} {'Effect':>10} {'Size':>12}", "-" * 70]
+    return "\n".join([*head, *(r["line"] for r in report_lines(rates).orderBy("config").toLocalIterator())])
 
 
 def local(path: str) -> str:
