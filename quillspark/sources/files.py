@@ -88,13 +88,21 @@ def json_object(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_documents(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """doc_type, content, word_count of whole files; missing ones are skipped."""
+    """doc_type, content, word_count of whole files; missing ones are skipped.  A file is one row, so it must fit in one; ``document_words`` counts larger ones."""
     frames = [spark.read.text(p, wholetext=True).select(F.lit(i).cast("long").alias("seq"), F.lit(k).alias("doc_type"), F.col("value").alias("content")) for i, (k, p) in enumerate(paths.items()) if exists(spark, p)]
     if not frames:
         return spark.createDataFrame([], "seq long, doc_type string, content string, word_count int")
     return reduce(DataFrame.unionByName, frames).withColumn("word_count", words(F.col("content")))
 
 
+def document_words(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """seq, doc_type, word_count of ``text_documents``, counted line by line in splits, so that a document may be of any size, and a folder of many files."""
+    frames = [spark.read.text(p, lineSep="\n").select(F.lit(i).cast("long").alias("seq"), F.lit(k).alias("doc_type"), words(F.col("value")).alias("_n")) for i, (k, p) in enumerate(paths.items()) if exists(spark, p)]
+    if not frames:
+        return spark.createDataFrame([], "seq long, doc_type string, word_count long")
+    return reduce(DataFrame.unionByName, frames).groupBy("seq", "doc_type").agg(F.sum("_n").alias("word_count"))
+
+
 def paragraphs(df: DataFrame, text: str = "value", longer_than: int = 100) -> DataFrame:
     """Blocks between blank lines, their lines joined by spaces, of more than so many characters."""
     rows = df.select("*", F.posexplode(F.split(text, r"\n\s*\n")).alias("passage_no", "_b"))
@@ -219,9 +227,10 @@ def write_train_valid(df: DataFrame, path: str, column: str, *order: str) -> Non
         df.where(F.col("split") == split).orderBy(*order).select(column).coalesce(1).write.mode("overwrite").json(f"{path}/{split}")
 
 
-def write_corpus(df: DataFrame, path: str, *order: str, text: str = "text") -> None:
-    """Texts with a blank line behind each."""
-    df.orderBy(*order).select(F.concat(text, F.lit("\n")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_corpus(df: DataFrame, path: str, *order: str, text: str = "text", whole: bool = True) -> None:
+    """Texts with a blank line behind each, in one file, or else in files whose names are in order."""
+    rows = df.orderBy(*order).select(F.concat(text, F.lit("\n")).alias("value"))
+    (rows.coalesce(1) if whole else rows).write.mode("overwrite").text(path)
 
 
 def write_array(df: DataFrame, path: str, *order: str) -> None:
