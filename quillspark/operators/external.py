@@ -10,11 +10,10 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Protocol
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lexicons import DIMENSIONS, FACET_DIMENSIONS
@@ -79,17 +78,26 @@ def with_retries(call: Callable[[], str | None], tries: int = 3, wait: Callable[
     return None
 
 
-def answer(work: DataFrame, prompt: str, provider: Callable[[], Provider], as_json: bool = False, out: str = "answer") -> DataFrame:
-    """Adds the provider's answer to each row's prompt (JSON text if ``as_json``); null where all tries fail.  One client for each partition."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in work.schema.fields)}, {out} string"
+def asked_in_tasks(provider: Callable[[], Provider], ask: Callable[[Provider, str | None], object], kind: str) -> Callable[[Column], Column]:
+    """A function of a prompt that asks the provider, called once a row; one client for each task.
+
+    Python gets the prompts alone, in Spark's small batches of rows, whatever other columns a row has.
+    """
+    client = []
+
+    def one(prompt):
+        if not client:
+            client.append(provider())
+        return ask(client[0], prompt)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = provider()
-        one = (lambda x: None if (found := p.call_json(x)) is None else json.dumps(found)) if as_json else p.call
-        for frame in frames:
-            yield frame.assign(**{out: [with_retries(lambda x=x: one(x)) for x in frame[prompt]]})
+    return F.udf(one, kind, useArrow=False).asNondeterministic()
 
-    return work.mapInPandas(run, schema)
+
+def answer(work: DataFrame, prompt: str, provider: Callable[[], Provider], as_json: bool = False, out: str = "answer") -> DataFrame:
+    """Adds the provider's answer to each row's prompt (JSON text if ``as_json``); null where all tries fail."""
+    as_text = lambda p, x: None if (found := p.call_json(x)) is None else json.dumps(found)
+    one = as_text if as_json else lambda p, x: p.call(x)
+    return work.withColumn(out, asked_in_tasks(provider, lambda p, x: with_retries(lambda: one(p, x)), "string")(F.col(prompt)))
 
 
 def answer_distinct(work: DataFrame, prompt: str, provider: Callable[[], Provider], out: str = "answer") -> DataFrame:
@@ -104,24 +112,20 @@ def resume(work: DataFrame, done: DataFrame, key: str, prompt: str, provider: Ca
 
 def tool_loop(work: DataFrame, prompt: str, provider: Callable[[], Provider], search: Callable[[str], str], most_searches: int = 3) -> DataFrame:
     """response, tool_calls, api_calls: a provider that may ask for searches ("SEARCH: query") before it answers; searches over the limit get an error."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in work.schema.fields)}, response string, tool_calls array<struct<query:string,result:string>>, api_calls int"
-
-    def run(frames):
-        p = provider()
-        for frame in frames:
-            rows = []
-            for text in frame[prompt]:
-                calls, n, reply = [], 0, None
-                while n <= most_searches:
-                    reply = with_retries(lambda t=text: p.call(t))
-                    n += 1
-                    if not (reply or "").startswith("SEARCH: "):
-                        break
-                    query = reply[8:]
-                    result = search(query) if len(calls) < most_searches else "error: no more searches"
-                    calls.append({"query": query, "result": result})
-                    text = f"{text}\n{result}"
-                rows.append((reply, calls, n))
-            yield frame.assign(response=[r[0] for r in rows], tool_calls=[r[1] for r in rows], api_calls=[r[2] for r in rows])
-
-    return work.mapInPandas(run, schema)
+
+    def loop(p, text):
+        calls, n, reply = [], 0, None
+        while n <= most_searches:
+            reply = with_retries(lambda t=text: p.call(t))
+            n += 1
+            if not (reply or "").startswith("SEARCH: "):
+                break
+            query = reply[8:]
+            result = search(query) if len(calls) < most_searches else "error: no more searches"
+            calls.append({"query": query, "result": result})
+            text = f"{text}\n{result}"
+        return reply, calls, n
+
+    found = asked_in_tasks(provider, loop, "response string, tool_calls array<struct<query:string,result:string>>, api_calls int")
+    names = ["response", "tool_calls", "api_calls"]
+    return work.withColumn("_found", found(F.col(prompt))).select(*(c for c in work.columns if c not in names), *(F.col(f"_found.{c}") for c in names))

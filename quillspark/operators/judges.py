@@ -6,15 +6,14 @@ A row whose call fails has null results; judgments of such rows are left out, so
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring, templates
 from ..lexicons import DIMENSIONS
-from .external import Provider, answer, answer_distinct, with_retries
+from .external import Provider, answer, answer_distinct, asked_in_tasks, with_retries
 
 Make = Callable[[], Provider]
 
@@ -62,22 +61,16 @@ def pointwise(work: DataFrame, provider: Make, dims: list[str], framework: str)
 
 def extract(docs: DataFrame, provider: Make, schema: str, limit: int = 4000, tries: int = 3) -> DataFrame:
     """text, ... + extraction (of ``schema``) of the first ``limit`` characters; an answer without entities is asked for again, null after ``tries``."""
-    fields = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, _answer string"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = provider()
+    def one(p, text):
+        for _ in range(tries):
+            found = with_retries(lambda: p.call_json(f"Extract knowledge from:\n\n{text}"), tries=1)
+            if found and "entities" in found:
+                return json.dumps(found)
+        return None
 
-        def one(text):
-            for _ in range(tries):
-                found = with_retries(lambda: p.call_json(f"Extract knowledge from:\n\n{(text or '')[:limit]}"), tries=1)
-                if found and "entities" in found:
-                    return json.dumps(found)
-            return None
-
-        for frame in frames:
-            yield frame.assign(_answer=[one(t) for t in frame["text"]])
-
-    return docs.mapInPandas(run, fields).withColumn("extraction", F.from_json("_answer", schema)).drop("_answer")
+    start = F.substring(F.coalesce("text", F.lit("")), 1, limit)
+    return docs.withColumn("_answer", asked_in_tasks(provider, one, "string")(start)).withColumn("extraction", F.from_json("_answer", schema)).drop("_answer")
 
 
 def evidence(work: DataFrame, question: str, provider: Make) -> DataFrame:

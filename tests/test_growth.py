@@ -4,6 +4,7 @@ from pathlib import Path
 
 import pytest
 
+from quillspark.operators import external, judges
 from quillspark.plans import catalog
 from quillspark.sources import files
 
@@ -35,3 +36,13 @@ def test_words_of_documents_in_splits(spark, tmp_path):
 def test_no_document_is_read_as_one_row(spark, monkeypatch):
     monkeypatch.setattr(files, "text_documents", lambda *_: pytest.fail("whole files in one row"))
     assert catalog.QUERIES["io_text_documents"](spark, D).count() == 3
+
+
+def test_python_gets_prompts_only(spark):
+    """Other columns stay in the JVM, as they are, and no block of rows is held as a frame."""
+    rows = spark.createDataFrame([(2**53 + 1, "a"), (None, "b")], "seq long, text string")
+    work = rows.selectExpr("seq", "text AS key", "'q' AS query", "'x' AS config_a", "'y' AS config_b", "text AS response_a", "text AS response_b")
+    stub = external.DeterministicProvider
+    for out in (external.answer(rows, "text", stub), external.tool_loop(rows, "text", stub, str), judges.pairwise(work, stub), judges.extract(rows, stub, "entities array<struct<name:string>>")):
+        assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r["seq"] for r in out.select("seq", out.columns[-1]).collect()} == {2**53 + 1, None}
