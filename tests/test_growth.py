@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 from quillspark.operators import external, judges
-from quillspark.plans import catalog
+from quillspark.plans import catalog, derived
 from quillspark.sources import files
 
 D = "/root/testdata/sf0.001"
@@ -46,3 +46,10 @@ def test_python_gets_prompts_only(spark):
     for out in (external.answer(rows, "text", stub), external.tool_loop(rows, "text", stub, str), judges.pairwise(work, stub), judges.extract(rows, stub, "entities array<struct<name:string>>")):
         assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString()
         assert {r["seq"] for r in out.select("seq", out.columns[-1]).collect()} == {2**53 + 1, None}
+
+
+@pytest.mark.skipif(not Path(D).exists(), reason="no tables")
+def test_scores_are_built_once_a_row(spark):
+    """A filter on the winner is pushed into the join; it must not build the maps of scores there, once for each score."""
+    plan = derived.scored_pairs(spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_arrays") == 2
