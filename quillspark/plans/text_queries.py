@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import lexicons
+from .. import lexicons, scratch
 from ..functions import json_text, scoring, templates, text
 from ..operators import relational as rel
 from .derived import cte, judgments, responses, table
@@ -136,7 +136,8 @@ def _order_sql(order: list[str]) -> str:
 
 @query(MARKED + f", h AS ({HITS}) SELECT doc_id, category, (row_number() OVER (ORDER BY {_order_sql(lexicons.ONTOLOGICAL_ORDER)}, doc_id) - 1)::BIGINT AS ontological, (row_number() OVER (ORDER BY {_order_sql(lexicons.TAXONOMY_ORDER)}, doc_id) - 1)::BIGINT AS taxonomic FROM ({TOP})")
 def knowledge_order(spark, d):
-    rows = marked(spark, d).select("doc_id", F.col("doc_id").alias("seq"), text.category(F.col("t")).alias("category"))
+    # Both orders read their rows twice, and a category is a scan of the whole text.
+    rows = scratch.stored(marked(spark, d).select("doc_id", F.col("doc_id").alias("seq"), text.category(F.col("t")).alias("category")), "categories")
     one = rel.by_category(rows, lexicons.ONTOLOGICAL_ORDER).select("doc_id", "category", F.col("pos").alias("ontological"))
     return one.join(rel.by_category(rows, lexicons.TAXONOMY_ORDER).select("doc_id", F.col("pos").alias("taxonomic")), "doc_id")
 

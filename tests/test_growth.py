@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 from quillspark.operators import external, judges
+from quillspark.operators import relational as rel
 from quillspark.plans import catalog, derived
 from quillspark.sources import files
 
@@ -53,3 +54,17 @@ def test_scores_are_built_once_a_row(spark):
     """A filter on the winner is pushed into the join; it must not build the maps of scores there, once for each score."""
     plan = derived.scored_pairs(spark, D)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("map_from_arrays") == 2
+
+
+@pytest.mark.skipif(not Path(D).exists(), reason="no tables")
+@pytest.mark.parametrize("name", ["knowledge_order", "category_order"])
+def test_categories_are_found_once(spark, monkeypatch, name):
+    """Numbering reads its rows twice; texts must not be scanned again for that."""
+    number = rel.by_category
+
+    def checked(rows, *args):
+        assert "EvalPython" not in rows._jdf.queryExecution().optimizedPlan().toString()
+        return number(rows, *args)
+
+    monkeypatch.setattr(rel, "by_category", checked)
+    assert catalog.QUERIES[name](spark, D).count() > 0
