@@ -4,6 +4,7 @@ from pathlib import Path
 
 import pytest
 
+from quillspark.operators import aggregates as agg
 from quillspark.operators import external, judges
 from quillspark.operators import relational as rel
 from quillspark.plans import catalog, derived
@@ -68,3 +69,32 @@ def test_categories_are_found_once(spark, monkeypatch, name):
 
     monkeypatch.setattr(rel, "by_category", checked)
     assert catalog.QUERIES[name](spark, D).count() > 0
+
+
+@pytest.mark.skipif(not Path(D).exists(), reason="no tables")
+def test_pairs_of_the_funnel_are_joined_once(spark, monkeypatch):
+    count = agg.dataset_stats
+
+    def checked(raw, filtered, deduped, balanced, split, key):
+        for df in (filtered, deduped, balanced, split):
+            assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+        return count(raw, filtered, deduped, balanced, split, key)
+
+    monkeypatch.setattr(agg, "dataset_stats", checked)
+    assert catalog.QUERIES["dataset_funnel"](spark, D).count() == 1
+
+
+@pytest.mark.skipif(not Path(D).exists(), reason="no tables")
+def test_files_grow_in_number(spark, monkeypatch):
+    """Not in size: a table that is read in more splits is written in more files."""
+    found, read = [], files.json_lines
+    monkeypatch.setattr(files, "json_lines", lambda s, path, schema: found.append(len(s.read.text(path).inputFiles())) or read(s, path, schema))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        out = catalog.QUERIES["io_json_order"](spark, D)
+        assert [r["pos"] for r in out.orderBy("doc_id").collect()] == list(range(out.count()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found[0] > 5
