@@ -58,6 +58,10 @@ def pending(rows: DataFrame, done: DataFrame, key: str, seq: str, time: str, del
         groups = pdf.sort_values(seq, kind="stable").groupby(key, dropna=False, sort=False)
         return groups.head(1).assign(**{c: groups[c].transform("max") for c in (last, endless)})[columns]
 
+    def first_row(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Called for each key: grouping a frame would cost milliseconds.
+        return pdf if len(pdf) == 1 else pdf.iloc[pdf[seq].array.argsort(kind="stable", na_position="last")[:1]]
+
     def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield first_rows(pdf)
@@ -69,8 +73,9 @@ def pending(rows: DataFrame, done: DataFrame, key: str, seq: str, time: str, del
         best = None
         (until,) = state.get if state.exists else (0,)
         for pdf in batches:
-            best = first_rows(pdf if best is None else pd.concat([best, pdf]))
-            until = -1 if until < 0 or pdf[endless].any() else max(until, int(pdf[millis].max()))
+            if not state.exists:
+                best = first_row(pdf if best is None else pd.concat([best, pdf]))
+            until = -1 if until < 0 or pdf[endless].to_numpy().any() else max(until, int(pdf[millis].to_numpy().max()))
         if not state.exists:
             yield best[names]
         state.update((until,))
