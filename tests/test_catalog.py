@@ -47,3 +47,15 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["extraction_status", "extraction_statuses", "preference_pairs"])
+def test_null_and_empty_texts_against_sql(spark, tmp_path, name):
+    c = duckdb.connect()
+    text, n = "CASE WHEN doc_id % 7 = 1 THEN NULL WHEN doc_id % 7 = 2 THEN '' ELSE text END", "CASE WHEN doc_id % 7 IN (1, 2) THEN 0 ELSE n_chars END"
+    c.sql(f"CREATE TABLE documents AS SELECT * REPLACE ({text} AS text, {n} AS n_chars) FROM '{D}/documents.parquet'")
+    c.sql(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    want = c.sql(catalog.SQL[name])
+    rows = catalog.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted(want.fetchall(), key=repr)
+    assert rows

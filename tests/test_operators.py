@@ -45,6 +45,16 @@ def test_keep_first_last_upsert(spark):
     assert sorted(map(tuple, rel.upsert(r, ["k"]).select("k", "v", "seq").collect())) == [("a", 3, 0), ("b", 2, 1)]
 
 
+def test_missing_and_empty_responses(spark):
+    j = spark.createDataFrame([(q, "a", "b", "a", 5.0) for q in range(5)] + [(5, "a", "b", "TIE", 0.0), (6, "a", "b", "a", 1.0)], "query_id long, config_a string, config_b string, winner string, total_delta double")
+    texts = {0: ("x", "y"), 1: ("", "y"), 2: ("x", None), 4: ("x",), 5: ("", ""), 6: (None, "y")}
+    r = spark.createDataFrame([(q, arm, t, 2 * q + i) for q, pair in texts.items() for i, (arm, t) in enumerate(zip("ab", pair))], "query_id long, arm string, response string, seq long")
+    status = lambda **kw: [x["status"] for x in rel.extraction_status(j, r, 3.0, **kw).orderBy("query_id").collect()]
+    assert status() == ["kept", "missing", "missing", "missing", "missing", "tie", "missing"]
+    assert status(allow_empty=True) == ["kept", "kept", "kept", "missing", "missing", "tie", "weak"]
+    assert set(rel.extraction_status(j, r).columns) == {*j.columns, "loser", "preferred", "rejected", "status"}
+
+
 def test_group_split_does_not_leak(spark):
     out = rel.group_split(rows(spark, 100, q=F.col("id") % 20), "q", 0.12, "s")
     sides = out.groupBy("q").agg(F.count_distinct("split").alias("n")).agg(F.max("n")).first()[0]
