@@ -55,6 +55,28 @@ def test_missing_and_empty_responses(spark):
     assert set(rel.extraction_status(j, r).columns) == {*j.columns, "loser", "preferred", "rejected", "status"}
 
 
+def test_equal_scores_tie_however_they_are_spread(spark):
+    scores = rows(spark, 5000, scores=F.create_map(F.lit("x"), (F.col("id") * 7919 % 31 / 10), F.lit("y"), F.col("id") % 5 + 0.5))
+    one, many = scores.coalesce(1), scores.repartition(7, "seq").sortWithinPartitions(F.col("seq").desc())
+    for first, second in ((one, many), (many, one)):
+        got = {r["framework"]: r for r in agg.overall_variance({"first": first, "second": second}).collect()}
+        assert got["first"]["variance"] == got["second"]["variance"]
+        assert {k: r["most_discriminating"] for k, r in got.items()} == {"first": True, "second": False}
+    want = scores.agg(F.var_pop(F.col("scores")["x"] + F.col("scores")["y"])).first()[0]
+    assert got["first"]["variance"] == pytest.approx(want, rel=1e-12)
+
+
+def test_variance_of_odd_scores(spark):
+    frame = lambda *totals: spark.createDataFrame([(None if t is None else {"x": t} if t != "none" else {},) for t in totals], "scores map<string,double>")
+    variance = lambda **f: {r["framework"]: (r["n"], r["variance"], r["most_discriminating"]) for r in agg.overall_variance(f).collect()}
+    assert variance(a=frame(1.0, 3.0, None, "none"), b=frame(5.0)) == {"a": (2, 1.0, True), "b": (1, 0.0, False)}
+    assert variance(a=frame(1.0), b=frame(None, "none")) == {}
+    assert variance(a=frame(1e6 + 1, 1e6 - 1), b=frame(1e30, 3e30)) == {"a": (2, 1.0, False), "b": (2, pytest.approx(1e60), True)}
+    got = variance(a=frame(1.0, 3.0), b=frame(1.0, float("nan")))
+    assert math.isnan(got["b"][1])
+    assert got["a"] == (2, 1.0, False)
+
+
 def test_group_split_does_not_leak(spark):
     out = rel.group_split(rows(spark, 100, q=F.col("id") % 20), "q", 0.12, "s")
     sides = out.groupBy("q").agg(F.count_distinct("split").alias("n")).agg(F.max("n")).first()[0]
